@@ -6,11 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NULL_RULES = ("zero", "pairwise")
+_ROUNDING = 1e-24
+_MOMENTS = ["i", "j", "n", "mx", "my", "cxy", "vx", "vy"]
 
 
 def _check_rule(nulls: str) -> None:
@@ -38,76 +38,91 @@ def corr_pair(df: DataFrame, a: str, b: str, nulls: str = "zero") -> DataFrame:
     return df.agg(_pearson(x, y).alias("corr"))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], nulls: str = "zero") -> DataFrame:
-    """``(var_x, var_y, corr)`` for every ordered pair of different columns, in one job.
+def _pair_moments(width: int):
+    """A task function that reduces its rows to co-moments per pair of columns.
 
-    A pair with a constant column has a NULL correlation.
+    Per batch the sums come from matrix products of centred values; batches are merged by
+    the update rule for means and central moments, so no large sums cancel. Entry ``[i, j]``
+    covers the rows where both columns have a value.
     """
-    _check_rule(nulls)
-    names = list(cols)
-    return _corr_zero(df, names) if nulls == "zero" else _corr_pairwise(df, names)
 
+    def of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        seen = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+        x[~seen] = 0.0
+        shift = x.sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
+        x = np.where(seen, x - shift, 0.0)
+        mask = seen.astype(float)
+        n = mask.T @ mask
+        safe = np.maximum(n, 1.0)
+        sums = x.T @ mask
+        cross = x.T @ x - sums * sums.T / safe
+        spread = (x * x).T @ mask - sums * sums / safe
+        return n, sums / safe + shift[:, None], cross, spread
+
+    def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        n = a[0] + b[0]
+        step, share = b[1] - a[1], b[0] / np.maximum(n, 1.0)
+        weight = a[0] * share
+        return n, a[1] + step * share, a[2] + b[2] + step * step.T * weight, a[3] + b[3] + step * step * weight
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            part = of_batch(batch)
+            total = part if total is None else merged(total, part)
+        if total is not None:
+            n, mean, cross, spread = total
+            i, j = np.triu_indices(width, 1)
+            columns = [i, j, n[i, j], mean[i, j], mean[j, i], cross[i, j], spread[i, j], spread[j, i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_MOMENTS)
 
-def _corr_zero(df: DataFrame, names: list[str]) -> DataFrame:
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
-    assembled = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="keep").transform(filled)
-    # Only the columns-by-columns matrix reaches the driver.
-    matrix = Correlation.corr(assembled.select("v"), "v").first()[0].toArray()
-    rows = [
-        (x, y, None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, x in enumerate(names)
-        for j, y in enumerate(names)
-        if i != j
-    ]
-    return df.sparkSession.createDataFrame(rows, "var_x string, var_y string, corr double")
+    return reduce_rows
 
 
-def _corr_pairwise(df: DataFrame, names: list[str]) -> DataFrame:
-    """Each task reduces its rows to co-moment sums per pair with matrix products; Spark adds them up.
+def corr_matrix(df: DataFrame, cols: Sequence[str], nulls: str = "zero") -> DataFrame:
+    """``(var_x, var_y, corr)`` for every ordered pair of different columns, in one scan.
 
-    Values are centred on the column means first, so the sums do not cancel.
+    Every task reduces its rows to one small row per pair; those are shuffled by pair and
+    combined. A pair with a constant column has a NULL correlation.
     """
-    width = len(names)
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    means = values.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names]).first()
-    centred = values.select(*[(F.col(c) - means[c]).alias(c) for c in names])
-
-    def co_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((5, width, width))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            seen = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
-            x, seen = np.where(seen, x, 0.0), seen.astype(float)
-            square = x * x
-            total += (seen.T @ seen, x.T @ seen, seen.T @ x, square.T @ seen, x.T @ x)
-        # The second moments of the right-hand column are those of the left, transposed.
-        i, j = np.indices((width, width)).reshape(2, -1)
-        n, sx, sy, sxx, sxy = total.reshape(5, -1)
-        syy = total[3].T.ravel()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v) for v in (i, j, n, sx, sy, sxx, syy, sxy)],
-            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
-        )
-
-    shape = "i bigint, j bigint, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = (
-        centred.mapInArrow(co_moments, shape)
-        .where("i != j")
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    _check_rule(nulls)
+    names = list(cols)
+    values = [F.col(c).cast("double") for c in names]
+    if nulls == "zero":
+        values = [F.coalesce(v, F.lit(0.0)) for v in values]
+    rows = df.select(*[v.alias(c) for v, c in zip(values, names)])
+    shape = ", ".join(f"{c} {'bigint' if c in 'ij' else 'double'}" for c in _MOMENTS)
+    parts = rows.mapInArrow(_pair_moments(len(names)), shape).where("n > 0")
+
+    # Within-task moments plus the moments of the task means about the overall mean.
+    pair = Window.partitionBy("i", "j")
+    n, size = F.col("n"), F.sum("n").over(pair)
+    placed = parts.select(
+        "i", "j", "n", "cxy", "vx", "vy",
+        (F.col("mx") - F.sum(n * F.col("mx")).over(pair) / size).alias("dx"),
+        (F.col("my") - F.sum(n * F.col("my")).over(pair) / size).alias("dy"),
+        "mx", "my",
+    )
+    dx, dy = F.col("dx"), F.col("dy")
+    combined = placed.groupBy("i", "j").agg(
+        F.sum(F.col("cxy") + n * dx * dy).alias("c"),
+        F.sum(F.col("vx") + n * dx * dx).alias("vx"),
+        F.sum(F.col("vy") + n * dy * dy).alias("vy"),
+        F.sum(n * F.col("mx") * F.col("mx")).alias("sx"),
+        F.sum(n * F.col("my") * F.col("my")).alias("sy"),
     )
-    n = F.col("n")
-    vx = F.greatest(F.col("sxx") * n - F.col("sx") * F.col("sx"), F.lit(0.0))
-    vy = F.greatest(F.col("syy") * n - F.col("sy") * F.col("sy"), F.lit(0.0))
-    # A constant column leaves only rounding error in its variance.
-    tiny = 1e-12
-    flat = (vx <= F.col("sxx") * n * tiny) | (vy <= F.col("syy") * n * tiny)
-    corr = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0))
+    # A constant column leaves nothing but rounding error in its variance.
+    flat = (F.col("vx") <= _ROUNDING * F.col("sx")) | (F.col("vy") <= _ROUNDING * F.col("sy"))
+    corr = F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0))
+    bounded = F.when(F.isnan(corr), corr).otherwise(F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)))
     name = F.array(*[F.lit(c) for c in names])
-    return sums.select(
-        F.get(name, F.col("i")).alias("var_x"),
-        F.get(name, F.col("j")).alias("var_y"),
-        F.when(~flat, F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0))).alias("corr"),
+    x, y = F.get(name, F.col("i")), F.get(name, F.col("j"))
+    both_ways = F.array(
+        F.struct(x.alias("var_x"), y.alias("var_y")), F.struct(y.alias("var_x"), x.alias("var_y"))
+    )
+    return combined.select(F.explode(both_ways).alias("pair"), F.when(~flat, bounded).alias("corr")).select(
+        "pair.var_x", "pair.var_y", "corr"
     )
 
 

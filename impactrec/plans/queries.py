@@ -19,6 +19,7 @@ from impactrec.sources import (
     schema_table,
     score_table,
 )
+from impactrec.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -46,6 +47,11 @@ def _lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return load_table(spark, folder, "lineitem")
 
 
+def _stored_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Products written once, for steps that read them to fit and again to transform."""
+    return stage(product_table(spark, folder))
+
+
 def _encoded(spark: SparkSession, folder: str) -> DataFrame:
     return ops.encode_rules(product_table(spark, folder))
 
@@ -237,18 +243,20 @@ def reduced_feature_set(spark, folder):
 @query
 def string_index_keep(spark, folder):
     cols = ["Manufacturing_location", "Drying_instruction"]
-    return ops.index_strings(product_table(spark, folder).select("ID", *cols), cols, "keep")
+    return ops.index_strings(_stored_products(spark, folder).select("ID", *cols), cols, "keep")
 
 
 @query
 def string_index_skip(spark, folder):
     cols = ["Manufacturing_location", "Drying_instruction"]
-    return ops.index_strings(product_table(spark, folder).select("ID", *cols), cols, "skip")
+    return ops.index_strings(_stored_products(spark, folder).select("ID", *cols), cols, "skip")
 
 
 @query
 def one_hot(spark, folder):
-    encoded = ops.one_hot(product_table(spark, folder).select("ID", "Type", "Drying_instruction"), ["Type", "Drying_instruction"])
+    encoded = ops.one_hot(
+        _stored_products(spark, folder).select("ID", "Type", "Drying_instruction"), ["Type", "Drying_instruction"]
+    )
     return ops.expand_slots(ops.expand_slots(encoded, "Type_encoded"), "Drying_instruction_encoded")
 
 
@@ -263,7 +271,7 @@ def assemble_array(spark, folder):
 @query
 def standard_scale(spark, folder):
     cols = ["Cotton", "Polyester", "Transporation_distance", "no_spread"]
-    scaled = ops.scale(product_table(spark, folder).withColumn("no_spread", F.lit(3.0)), cols)
+    scaled = ops.scale(_stored_products(spark, folder).withColumn("no_spread", F.lit(3.0)), cols)
     values = vector_to_array(F.col("scaled_features"))
     return scaled.select("ID", *[F.round(values[i], 6).alias(c) for i, c in enumerate(cols)])
 
@@ -273,7 +281,7 @@ def standard_scale(spark, folder):
 
 def _binary_selection(spark, folder):
     """Slots of 0 and 1 only share their degrees of freedom, so the p-value ranks as the statistic."""
-    return ops.select_features(product_table(spark, folder), CATEGORICAL, ["Material_label"])
+    return ops.select_features(_stored_products(spark, folder), CATEGORICAL, ["Material_label"])
 
 
 @query
@@ -300,24 +308,24 @@ def chi_square_select(spark, folder):
 @query
 def select_with_numbers(spark, folder):
     """The selection over encoded strings and all numbers, each number a category."""
-    names = ops.select_features(product_table(spark, folder)).names
+    names = ops.select_features(_stored_products(spark, folder)).names
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position int, feature string")
 
 
 @query
 def pca_explained_variance(spark, folder):
-    return ops.pca(*ops.pca_inputs(_encoded(spark, folder))).variance
+    return ops.pca(*ops.pca_inputs(workflows.prepare(product_table(spark, folder)))).variance
 
 
 @query
 def pca_loadings(spark, folder):
-    return ops.pca(*ops.pca_inputs(_encoded(spark, folder))).loadings
+    return ops.pca(*ops.pca_inputs(workflows.prepare(product_table(spark, folder)))).loadings
 
 
 @query
 def pca_reconstruction(spark, folder):
     """All components put together again give the correlation of every pair of features."""
-    encoded = _encoded(spark, folder)
+    encoded = workflows.prepare(product_table(spark, folder))
     cols = numeric_columns(encoded, ("ID", "EI"))
     parts = ops.pca(encoded, cols)
     weighted = parts.loadings.join(parts.variance, "component")
@@ -470,7 +478,7 @@ def decision_tree_double_features(spark, folder):
 @query
 def skipped_rows(spark, folder):
     """Rows a model with string inputs leaves out of its scores."""
-    products = product_table(spark, folder).select("ID", "Cotton", "Drying_instruction", "Manufacturing_location", "EI")
+    products = _stored_products(spark, folder).select("ID", "Cotton", "Drying_instruction", "Manufacturing_location", "EI")
     return ops.skipped_rows(ops.train(products, "dt"), products)
 
 
