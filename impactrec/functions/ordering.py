@@ -25,10 +25,10 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<c>``, the total of ``c`` up to and including the row, and ``total_<c>`` of the group.
 
-    ``by`` and ``order`` together must be unique: aggregate first, so that a frequent value is
-    one row and no range can be skewed. The range of each row is fixed by writing it down,
-    because two evaluations of a sampled range partitioning need not agree. The number of
-    ranges is the session's, and AQE merges small ones, unless ``ranges`` is given.
+    ``by`` must not hold NULL. ``by`` and ``order`` together must be unique: aggregate first, so
+    that a frequent value is one row and no range can be skewed. The range of each row is fixed
+    by writing it down, because two evaluations of a sampled range partitioning need not agree.
+    The number of ranges is the session's, and AQE merges small ones, unless ``ranges`` is given.
     """
     layout = [*by, *order] if ranges is None else [ranges, *by, *order]
     ranged = stage(df.repartitionByRange(*layout).withColumn(_RANGE, F.spark_partition_id()))
@@ -46,9 +46,7 @@ def running_totals(
     # The window and the join share the partitioning on (group, range).
     upto = Window.partitionBy(*by, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(c).over(upto).alias(f"_local_{c}") for c in sums])
-    same = F.col(_RANGE) == F.col("_of")
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    same = [F.col(b) == F.col(f"_{b}") for b in by] + [F.col(_RANGE) == F.col("_of")]
     return local.join(offsets, same).select(
         *df.columns,
         *[(F.col(f"_local_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sums],

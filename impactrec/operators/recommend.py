@@ -50,8 +50,13 @@ def _top_per_type(table: DataFrame, order: list[Column], n: int | None) -> DataF
         ranking = Window.partitionBy("Type").orderBy(*order)
         return table.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= n)
     # A frequent type must not be ranked whole by one task: count along ranges instead.
-    ones = table.withColumn("one", F.lit(1).cast("bigint"))
-    ranked = running_totals(ones, ["Type"], order, ["one"]).select(
+    ones = table.select(
+        "*",
+        F.col("Type").isNull().alias("_untyped"),
+        F.coalesce("Type", F.lit("")).alias("_type"),
+        F.lit(1).cast("bigint").alias("one"),
+    )
+    ranked = running_totals(ones, ["_untyped", "_type"], order, ["one"]).select(
         *table.columns, F.col("cum_one").cast("int").alias("rank")
     )
     return ranked if n is None else ranked.where(F.col("rank") <= n)

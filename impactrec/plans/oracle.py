@@ -115,17 +115,17 @@ def _describe(table: str, numbers: list[str], strings: list[str], percents: tupl
 
 
 def _profile(table: str, numbers: list[str], strings: list[str], sketched: bool = False) -> str:
-    parts = []
+    parts, places = [], 6 if sketched else 8
     for c in numbers:
         extra = "" if sketched else (
             f", COUNT(DISTINCT {c}) AS n_distinct, "
-            + ", ".join(f"ROUND(quantile_cont(CAST({c} AS DOUBLE), {p / 100}), 6) AS p{p}" for p in (25, 50, 75))
+            + ", ".join(f"ROUND(quantile_cont(CAST({c} AS DOUBLE), {p / 100}), {places}) AS p{p}" for p in (25, 50, 75))
         )
         parts.append(
             f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_missing, "
-            f"ROUND(CAST(MIN({c}) AS DOUBLE), 6) AS min, ROUND(CAST(MAX({c}) AS DOUBLE), 6) AS max, "
+            f"ROUND(CAST(MIN({c}) AS DOUBLE), {places}) AS min, ROUND(CAST(MAX({c}) AS DOUBLE), {places}) AS max, "
             f"CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text, "
-            f"ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS stddev{extra} FROM {table}"
+            f"ROUND(AVG({c}), {places}) AS mean, ROUND(STDDEV_SAMP({c}), {places}) AS stddev{extra} FROM {table}"
         )
     for c in strings:
         known = f"NULLIF({c}, 'NaN')"

@@ -39,8 +39,8 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def _rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+def _rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in cols})
 
 
 def _lineitem(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +154,7 @@ def summary_long(spark, folder):
 @query
 def profile_columns(spark, folder):
     table = ops.profile(product_table(spark, folder), exact=True)
-    return _rounded(table, "min", "max", "mean", "stddev", "p25", "p50", "p75")
+    return _rounded(table, "min", "max", "mean", "stddev", "p25", "p50", "p75", places=8)
 
 
 @query
@@ -331,8 +331,18 @@ def pca_reconstruction(spark, folder):
     weighted = parts.loadings.join(parts.variance, "component")
     left = weighted.select("component", F.col("feature").alias("var_x"), F.col("loading").alias("x"), "ratio")
     right = parts.loadings.select("component", F.col("feature").alias("var_y"), F.col("loading").alias("y"))
-    product = F.sum(F.col("x") * F.col("y") * F.col("ratio")) * len(cols)
-    return left.join(right, "component").groupBy("var_x", "var_y").agg(F.round(product, 6).alias("corr"))
+    share = F.sum(F.col("x") * F.col("y") * F.col("ratio")).alias("share")
+    shares = left.join(right, "component").groupBy("var_x", "var_y").agg(share)
+    # A scaled column has variance 1, or 0 if it is constant: its share of the total tells which.
+    own = shares.where("var_x = var_y AND share > 1e-9")
+    own_x = own.select("var_x", F.col("share").alias("share_x"))
+    own_y = own.select("var_y", F.col("share").alias("share_y"))
+    corr = F.col("share") / F.sqrt(F.col("share_x") * F.col("share_y"))
+    return (
+        shares.join(own_x, "var_x", "left")
+        .join(own_y, "var_y", "left")
+        .select("var_x", "var_y", F.round(corr, 6).alias("corr"))
+    )
 
 
 def _line_variance(spark, folder):
