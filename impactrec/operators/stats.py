@@ -112,8 +112,9 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], nulls: str = "zero") -> Data
         F.sum(n * F.col("mx") * F.col("mx")).alias("sx"),
         F.sum(n * F.col("my") * F.col("my")).alias("sy"),
     )
-    # A constant column leaves nothing but rounding error in its variance.
+    # A constant column leaves nothing but rounding error in its variance; NaN stays NaN.
     flat = (F.col("vx") <= _ROUNDING * F.col("sx")) | (F.col("vy") <= _ROUNDING * F.col("sy"))
+    flat = flat & ~F.isnan("c")
     corr = F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0))
     bounded = F.when(F.isnan(corr), corr).otherwise(F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)))
     name = F.array(*[F.lit(c) for c in names])
