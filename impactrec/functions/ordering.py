@@ -7,48 +7,81 @@ and the totals of the ranges before it, one small row per range, are added.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from impactrec.staging import stage
 
 _RANGE = "_range"
 
 
+def _sums_within(by: list[str], sums: list[str]):
+    """A task function that adds the running totals of each group among the rows of the task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: dict[tuple, int] = {}
+        for batch in batches:
+            groups = pa.Table.from_batches([batch]).select(by).to_pandas().groupby(by, sort=False).indices
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in sums]
+            totals = [np.empty(batch.num_rows, dtype=np.int64) for _ in sums]
+            for key, rows in groups.items():
+                for i, value in enumerate(values):
+                    running = np.cumsum(value[rows]) + carried.get((key, i), 0)
+                    totals[i][rows] = running
+                    carried[key, i] = int(running[-1])
+            names = [*batch.schema.names, *[f"_local_{c}" for c in sums]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, totals)], names=names)
+
+    return add
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     sums: Sequence[str],
+    keep: Sequence[str] | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>``, the total of ``c`` up to and including the row, and ``total_<c>`` of the group.
 
-    ``by`` must not hold NULL. ``by`` and ``order`` together must be unique: aggregate first, so
-    that a frequent value is one row and no range can be skewed. The range of each row is fixed
-    by writing it down, because two evaluations of a sampled range partitioning need not agree.
-    The number of ranges is the session's, and AQE merges small ones, unless ``ranges`` is given.
+    ``by`` and ``sums`` must not hold NULL, and ``sums`` are whole numbers. ``by`` and ``order``
+    together must be unique: aggregate first, so that a frequent value is one row and no range
+    can be skewed. The number of ranges is the session's, and AQE merges small ones, unless
+    ``ranges`` is given. ``keep`` names the other columns the result needs, all by default.
+
+    The rows are shuffled once. Sorting a range by ``order`` alone leaves its groups mixed,
+    which the task keeps apart, and lets a single numeric column be sorted by radix. The rows
+    are then written down, because two evaluations of a sampled range partitioning need not
+    agree on the range of a row.
     """
+    by, sums = list(by), list(sums)
+    shown = df.columns if keep is None else list(dict.fromkeys([*by, *sums, *keep]))
     layout = [*by, *order] if ranges is None else [ranges, *by, *order]
-    ranged = stage(df.repartitionByRange(*layout).withColumn(_RANGE, F.spark_partition_id()))
+    ranged = df.repartitionByRange(*layout).sortWithinPartitions(*order).select(*shown)
+    local = [T.StructField(f"_local_{c}", T.LongType()) for c in sums]
+    running = ranged.mapInArrow(_sums_within(by, sums), T.StructType([*ranged.schema.fields, *local]))
+    summed = stage(running.withColumn(_RANGE, F.spark_partition_id()))
 
+    # At most one row per range and one more per group; written, so that its size is known
+    # when the join is planned.
     group = Window.partitionBy(*by)
     before = group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    per_range = ranged.groupBy(*by, _RANGE).agg(*[F.sum(c).alias(c) for c in sums])
-    offsets = per_range.select(
-        *[F.col(b).alias(f"_{b}") for b in by],
-        F.col(_RANGE).alias("_of"),
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
-        *[F.sum(c).over(group).alias(f"total_{c}") for c in sums],
+    per_range = summed.groupBy(*by, _RANGE).agg(*[F.sum(c).alias(c) for c in sums])
+    offsets = stage(
+        per_range.select(
+            *by,
+            _RANGE,
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
+            *[F.sum(c).over(group).alias(f"total_{c}") for c in sums],
+        )
     )
-
-    # The window and the join share the partitioning on (group, range).
-    upto = Window.partitionBy(*by, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(c).over(upto).alias(f"_local_{c}") for c in sums])
-    same = [F.col(b) == F.col(f"_{b}") for b in by] + [F.col(_RANGE) == F.col("_of")]
-    return local.join(offsets, same).select(
-        *df.columns,
+    return summed.join(offsets, [*by, _RANGE]).select(
+        *shown,
         *[(F.col(f"_local_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sums],
         *[F.col(f"total_{c}") for c in sums],
     )

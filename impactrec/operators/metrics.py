@@ -87,11 +87,6 @@ def _score_counts(df: DataFrame, scores: str, label: str, classes: Sequence[int]
     )
 
 
-def _ranked(df: DataFrame, scores: str, label: str, classes: Sequence[int]) -> DataFrame:
-    counts = _score_counts(df, scores, label, classes)
-    return running_totals(counts, ["label"], [F.col("score").desc()], ["p", "n"])
-
-
 def roc(
     df: DataFrame,
     scores: str = "probability",
@@ -111,7 +106,8 @@ def roc(
     if hard:
         df = _hard_scores(df, label, classes, prediction)
         scores = "_hard"
-    ranked = _ranked(df, scores, label, classes)
+    counts = _score_counts(df, scores, label, classes)
+    ranked = running_totals(counts, ["label"], [F.col("score").desc()], ["p", "n"])
     point = F.struct(
         F.col("score").alias("threshold"),
         (F.col("cum_n") / F.nullif(F.col("total_n"), F.lit(0))).alias("fpr"),
@@ -145,14 +141,14 @@ def auc(
     """
     if hard:
         return _hard_auc(df, label, prediction)
+    counts = _score_counts(df, scores, label, _class_list(df, label, classes))
+    known = counts.withColumn("known", F.col("score").isNotNull())
+    ranked = running_totals(known, ["label"], [F.col("score").desc()], ["n"], keep=["p", "known"])
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     lower = F.col("total_n") - F.col("cum_n")
-    pairs = F.nullif(F.max("total_p").cast("double") * F.max("total_n"), F.lit(0.0))
-    area = F.sum(p * (lower + 0.5 * n)) / pairs
-    return (
-        _ranked(df, scores, label, _class_list(df, label, classes))
-        .groupBy("label")
-        .agg(F.when(F.count("score") > 0, area).alias("auc"))
+    pairs = F.nullif(F.sum(p) * F.sum(n), F.lit(0.0))
+    return ranked.groupBy("label").agg(
+        F.when(F.max("known"), F.sum(p * (lower + 0.5 * n)) / pairs).alias("auc")
     )
 
 

@@ -92,7 +92,7 @@ def _quantiles_of(frequencies: DataFrame, probabilities: Sequence[float]) -> Dat
         .groupBy("column_name", "number")
         .agg(F.sum("n").alias("n"))
     )
-    ranked = running_totals(numbers, ["column_name"], [F.col("number")], ["n"])
+    ranked = running_totals(numbers, ["column_name"], [F.col("number")], ["n"], keep=["number"])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
 
     # The linear position q * (n - 1) falls between two ranks; a value is needed if it holds either.
@@ -213,7 +213,7 @@ def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:
             F.count(value).alias(f"n{i}"),
             F.min(value).alias(f"min{i}"),
             F.max(value).alias(f"max{i}"),
-            F.hll_sketch_agg(F.when(known, F.col(c).cast("string"))).alias(f"distinct{i}"),
+            F.hll_sketch_agg(F.when(known, F.xxhash64(c))).alias(f"distinct{i}"),
         ]
         low, high = F.min(f"min{i}"), F.max(f"max{i}")
         mean = stddev = F.lit(None).cast("double")

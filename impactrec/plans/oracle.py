@@ -266,7 +266,7 @@ def _roles() -> str:
     ])
 
 
-def _separable(extra: str = "") -> str:
+def _separable() -> str:
     return _with(_PRODUCTS) + f"SELECT ID, CAST(EI AS DOUBLE) AS prediction FROM products WHERE {_KEY_BUCKET} >= 80"
 
 
@@ -337,6 +337,7 @@ SELECT bucket, ROUND(lo + bucket * w, 6) AS lower, ROUND(lo + (bucket + 1) * w,
         "components_needed": _with(_EIGEN) + "SELECT MIN(component) AS k FROM running WHERE cumulative >= 0.95",
         "keyed_split": _with(_PRODUCTS)
         + f"SELECT ID, CASE WHEN {_KEY_BUCKET} < 80 THEN 0 ELSE 1 END AS part FROM products",
+        "random_split_whole": _with(_PRODUCTS) + "SELECT COUNT(ID) AS n_rows, COUNT(DISTINCT ID) AS n_products FROM products",
         "confusion_matrix": _with(_SCORES)
         + "SELECT CAST(EI AS DOUBLE) AS label, prediction, COUNT(*) AS n FROM scores GROUP BY ALL",
         "class_metrics": _with(_SCORES, _CONFUSION)

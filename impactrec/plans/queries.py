@@ -322,6 +322,13 @@ def pca_loadings(spark, folder):
     return ops.pca(*ops.pca_inputs(workflows.prepare(product_table(spark, folder)))).loadings
 
 
+@query
+def pca_first_loadings(spark, folder):
+    """The loadings of the first five components."""
+    parts = ops.pca(*ops.pca_inputs(workflows.prepare(product_table(spark, folder))))
+    return parts.loadings.where("component <= 5")
+
+
 @query
 def pca_reconstruction(spark, folder):
     """All components put together again give the correlation of every pair of features."""
@@ -374,6 +381,13 @@ def random_split_sizes(spark, folder):
     return sizes[0].unionByName(sizes[1])
 
 
+@query
+def random_split_whole(spark, folder):
+    """The parts of a random split together hold every product once."""
+    train, test = ops.split_random(_stored_products(spark, folder).select("ID"), (0.8, 0.2), 42)
+    return train.union(test).agg(F.count("ID").alias("n_rows"), F.count_distinct("ID").alias("n_products"))
+
+
 # Metrics
 
 

@@ -95,6 +95,14 @@ def test_feature_sets(products):
         use_feature_set(encoded, "other")
 
 
+def test_feature_sets_of_the_whole_product_table(spark):
+    encoded = encode_rules(spark.createDataFrame([], PRODUCT_SCHEMA))
+    sizes = {s: len(use_feature_set(encoded, s).columns) for s in ("full", "core_materials", "no_drying")}
+    # 43 columns less 6 unused materials and 3 encoded sources, plus 12 dummies.
+    assert sizes == {"full": 46, "core_materials": 28, "no_drying": 43}
+    assert len(numeric_columns(use_feature_set(encoded, "full"), ("ID", "EI"))) == 42
+
+
 def test_schema_table_counts_values(products):
     rows = {r.column_name: r for r in schema_table(products).collect()}
     assert rows["Manufacturing_location"].n_present < rows["Manufacturing_location"].n_rows == 2000
