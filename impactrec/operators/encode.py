@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from impactrec.functions.expressions import flag, is_missing
 from impactrec.sources.schema import FEATURE_SETS, slot_names
 
+# Far more values than a tree can split on or a one-hot vector should hold.
+MAX_CATEGORIES = 10_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -60,19 +63,41 @@ def use_feature_set(df: DataFrame, name: str = "full") -> DataFrame:
     return df.drop(*FEATURE_SETS[name])
 
 
-def string_indexer(cols: Sequence[str], handle_invalid: str = "skip", suffix: str = "_index") -> StringIndexer:
-    """Index by descending frequency, ties in value order; one pass covers all columns.
+def string_indexer(
+    df: DataFrame, cols: Sequence[str], handle_invalid: str = "skip", suffix: str = "_index",
+    max_categories: int = MAX_CATEGORIES,
+) -> PipelineModel:
+    """Fitted indices, one stage per column: by descending frequency, ties in value order.
 
     ``skip`` drops rows with a NULL or unseen value, ``keep`` gives them an index of their own.
-    The distinct values of a column are held on the driver, as its model needs them.
+    All columns are counted in one shuffle, so that no task holds every value. Only columns of
+    at most ``max_categories`` values reach the driver, where the model keeps them: a free-text
+    column is an error, not a full driver.
     """
-    return StringIndexer(
-        inputCols=list(cols), outputCols=[c + suffix for c in cols], handleInvalid=handle_invalid
+    names = list(cols)
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])
+    counts = (
+        df.select(F.explode(cells).alias("cell"))
+        .where("cell.value IS NOT NULL")
+        .groupBy("cell.name", "cell.value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    labels: dict[str, list[tuple[int, str]]] = {c: [] for c in names}
+    for name, value, n in counts.limit(max_categories * len(names) + 1).collect():
+        labels[name].append((-n, value))
+    crowded = [c for c, found in labels.items() if len(found) > max_categories]
+    if crowded:
+        raise ValueError(f"more than {max_categories} categories: {', '.join(crowded)}")
+    return PipelineModel([
+        StringIndexerModel.from_labels(
+            [value for _, value in sorted(labels[c])], inputCol=c, outputCol=c + suffix, handleInvalid=handle_invalid
+        )
+        for c in names
+    ])
 
 
 def index_strings(df: DataFrame, cols: Sequence[str], handle_invalid: str = "skip") -> DataFrame:
-    return string_indexer(cols, handle_invalid).fit(df).transform(df)
+    return string_indexer(df, cols, handle_invalid).transform(df)
 
 
 def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -80,7 +105,7 @@ def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     encoder = OneHotEncoder(
         inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_encoded" for c in cols]
     )
-    stages = [string_indexer(cols, "keep"), encoder]
+    stages = [string_indexer(df, cols, "keep"), encoder]
     return Pipeline(stages=stages).fit(df).transform(df).drop(*[f"{c}_index" for c in cols])
 
 

@@ -48,7 +48,7 @@ def feature_model(
     strings, numbers = model_columns(df, feature_mode, (key, label))
     stages = []
     if strings:
-        stages.append(string_indexer(strings, handle_invalid, "Index").fit(df))
+        stages += string_indexer(df, strings, handle_invalid, "Index").stages
     inputs = [f"{c}Index" for c in strings] + numbers
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return PipelineModel(stages)
@@ -59,8 +59,7 @@ def bins_needed(features: PipelineModel) -> int:
     sizes = [0]
     for stage in features.stages:
         if isinstance(stage, StringIndexerModel):
-            extra = 1 if stage.getHandleInvalid() == "keep" else 0
-            sizes += [len(labels) + extra for labels in stage.labelsArray]
+            sizes.append(len(stage.labels) + (stage.getHandleInvalid() == "keep"))
     return max(sizes)
 
 
@@ -149,8 +148,8 @@ def skipped_rows(model: PipelineModel, df: DataFrame) -> DataFrame:
     unknown = F.lit(False)
     for stage in model.stages:
         if isinstance(stage, StringIndexerModel) and stage.getHandleInvalid() == "skip":
-            for column, labels in zip(stage.getInputCols(), stage.labelsArray):
-                unknown = unknown | F.col(column).isNull() | ~F.col(column).isin(*labels)
+            column = F.col(stage.getInputCol())
+            unknown = unknown | column.isNull() | ~column.isin(*stage.labels)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(unknown).alias("n_skipped"))
 
 
@@ -170,6 +169,8 @@ def model_stages(model: PipelineModel, df: DataFrame) -> DataFrame:
     for i, stage in enumerate(model.stages):
         if stage.hasParam("inputCols") and stage.isDefined("inputCols"):
             inputs = stage.getInputCols()
+        elif stage.hasParam("inputCol") and stage.isDefined("inputCol"):
+            inputs = [stage.getInputCol()]
         elif stage.hasParam("featuresCol"):
             inputs = [stage.getFeaturesCol()]
         else:

@@ -21,6 +21,7 @@ from impactrec.sources.schema import KEY, LABEL, categorical_columns, numeric_co
 
 
 def feature_pipeline(
+    df: DataFrame,
     categorical: Sequence[str],
     numeric: Sequence[str],
     label: str = LABEL,
@@ -31,26 +32,24 @@ def feature_pipeline(
 ) -> Pipeline:
     """Index, optionally one-hot encode, assemble, and keep the ``k`` features best by chi-square.
 
-    The test takes every distinct number as a category; ``bins`` first cuts the numeric
-    columns into that many quantile bins, which a continuous column needs at scale.
+    The categories are those of ``df``. The test takes every distinct number as a category;
+    ``bins`` first cuts the numeric columns into that many quantile bins, which a continuous
+    column needs at scale.
     """
-    stages = []
-    inputs = list(numeric)
+    stages, inputs, categories = [], list(numeric), []
     if categorical:
-        indexed = [f"{c}_index" for c in categorical]
-        stages.append(string_indexer(categorical, handle_invalid))
+        categories = [f"{c}_index" for c in categorical]
+        stages += string_indexer(df, categorical, handle_invalid).stages
         if encode:
             encoded = [f"{c}_encoded" for c in categorical]
-            stages.append(OneHotEncoder(inputCols=indexed, outputCols=encoded))
-            indexed = encoded
-    else:
-        indexed = []
+            stages.append(OneHotEncoder(inputCols=categories, outputCols=encoded))
+            categories = encoded
     if bins and numeric:
         inputs = [f"{c}_binned" for c in numeric]
         stages.append(
             QuantileDiscretizer(inputCols=list(numeric), outputCols=inputs, numBucketsArray=[bins] * len(inputs))
         )
-    stages.append(VectorAssembler(inputCols=indexed + inputs, outputCol="features"))
+    stages.append(VectorAssembler(inputCols=categories + inputs, outputCol="features"))
     if k:
         selector = UnivariateFeatureSelector(
             featuresCol="features", labelCol=label, outputCol="selectedFeatures", selectionMode="numTopFeatures"
@@ -79,7 +78,7 @@ def select_features(
     """Fit the selection pipeline; ``names`` are the chosen slots, one-hot slots included."""
     categorical = categorical_columns(df) if categorical is None else categorical
     numeric = numeric_columns(df, (key, label)) if numeric is None else numeric
-    model = feature_pipeline(categorical, numeric, label, k=k, bins=bins).fit(df)
+    model = feature_pipeline(df, categorical, numeric, label, k=k, bins=bins).fit(df)
     table = model.transform(df)
     slots = slot_names(table, "features")
     return Selection(model, table, [slots[i] for i in model.stages[-1].selectedFeatures])
@@ -95,7 +94,7 @@ def pca_inputs(df: DataFrame, exclude: Sequence[str] = (KEY, LABEL)) -> tuple[Da
     """Index the string columns; return the table and its columns to analyse, indices first."""
     strings, numbers = categorical_columns(df, exclude), numeric_columns(df, exclude)
     if strings:
-        df = string_indexer(strings, "keep").fit(df).transform(df)
+        df = string_indexer(df, strings, "keep").transform(df)
     return df, [f"{c}_index" for c in strings] + numbers
 
 

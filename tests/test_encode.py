@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -57,14 +58,27 @@ def test_a_rule_can_be_added(products):
 def test_index_order_and_invalid_values(spark):
     fit = spark.createDataFrame([(v,) for v in ["b", "b", "c", "a", "a", "d", None]], "t string")
     other = spark.createDataFrame([("a",), ("new",), (None,)], "t string")
-    kept = string_indexer(["t"], "keep").fit(fit).transform(other)
+    kept = string_indexer(fit, ["t"], "keep").transform(other)
     assert {r.t: r.t_index for r in kept.collect()} == {"a": 0.0, "new": 4.0, None: 4.0}
-    skipped = string_indexer(["t"], "skip").fit(fit).transform(other)
+    skipped = string_indexer(fit, ["t"], "skip").transform(other)
     assert [(r.t, r.t_index) for r in skipped.collect()] == [("a", 0.0)]
     order = {r.t: r.t_index for r in index_strings(fit, ["t"]).collect()}
     assert order == {"a": 0.0, "b": 1.0, "c": 2.0, "d": 3.0}
 
 
+def test_index_agrees_with_the_estimator(products):
+    cols = ["Type", "Manufacturing_location", "Drying_instruction"]
+    estimator = StringIndexer(inputCols=cols, outputCols=[f"{c}_index" for c in cols], handleInvalid="keep")
+    assert estimator.fit(products).labelsArray == [s.labels for s in string_indexer(products, cols).stages]
+
+
+def test_free_text_is_not_collected(spark):
+    table = spark.range(300).select(F.col("id").cast("string").alias("t"), (F.col("id") % 3).cast("string").alias("u"))
+    with pytest.raises(ValueError, match="more than 100 categories: t"):
+        string_indexer(table, ["t", "u"], max_categories=100)
+    assert len(string_indexer(table, ["t", "u"], max_categories=300).stages[0].labels) == 300
+
+
 def test_one_hot_has_a_slot_per_value(spark):
     table = spark.createDataFrame([("a",), ("b",), (None,)], "t string")
     rows = {r.t: r for r in expand_slots(one_hot(table, ["t"]), "t_encoded").collect()}

@@ -63,10 +63,10 @@ def test_selected_names_cover_encoded_slots(spark):
 
 def test_continuous_columns_can_be_binned(products):
     table = products.withColumn("fine", F.col("ID") / 7.0)
-    model = feature_pipeline([], ["fine", "Cotton"], bins=10, k=1).fit(table)
+    model = feature_pipeline(table, [], ["fine", "Cotton"], bins=10, k=1).fit(table)
     assert model.stages[-1].selectedFeatures == [1]
 
 
 def test_pipeline_without_encoding_or_selection(products):
-    model = feature_pipeline(["Type"], ["Cotton"], encode=False, k=None).fit(products)
+    model = feature_pipeline(products, ["Type"], ["Cotton"], encode=False, k=None).fit(products)
     assert model.transform(products).first().features.size == 2
