@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from impactrec.functions.expressions import indicator, scores_array
+from impactrec.functions.expressions import scores_array
 from impactrec.functions.ordering import running_totals
-from impactrec.operators.models import class_values
 from impactrec.sources.schema import LABEL
 
 
@@ -62,29 +61,26 @@ def classification_metrics(df: DataFrame, label: str = LABEL, prediction: str =
     )
 
 
-def _class_list(df: DataFrame, label: str, classes: Sequence[int] | None) -> list[int]:
-    return list(classes) if classes is not None else class_values(df, label)
-
-
-def _score_counts(df: DataFrame, scores: str, label: str, classes: Sequence[int]) -> DataFrame:
+def _score_counts(df: DataFrame, scores: str, label: str, classes: Sequence[int] | None) -> DataFrame:
     """``(label, score, p, n)``: positives and negatives at every distinct score of every class.
 
-    Rows are combined on the map side, so a score that many rows share travels as one row.
+    Slot ``k`` of the scores belongs to class ``k``; a row whose own class has no slot counts
+    as a positive without a score. Rows are combined on the map side, so a score that many
+    rows share travels as one row. One pass: the classes need not be known beforehand.
     """
-    values = scores_array(df, scores)
-    wanted = F.array(*[
-        F.struct(
-            F.lit(int(c)).alias("label"),
-            F.get(values, F.lit(int(c))).alias("score"),
-            (F.col(label) == F.lit(int(c))).cast("bigint").alias("positive"),
-        )
-        for c in classes
-    ])
-    return (
-        df.select(F.explode(wanted).alias("s"))
-        .groupBy("s.label", "s.score")
-        .agg(F.sum("s.positive").alias("p"), F.sum(1 - F.col("s.positive")).alias("n"))
+    values, own = scores_array(df, scores), F.col(label).cast("int")
+    unscored = (own < 0) | (own >= F.size(values))
+    padded = F.when(unscored, F.concat(values, F.array(F.lit(None).cast("double")))).otherwise(values)
+    slots = df.where(own.isNotNull()).select(
+        own.alias("_own"), F.size(values).alias("_slots"), F.posexplode(padded).alias("_k", "score")
     )
+    cells = slots.select(
+        F.when(F.col("_k") == F.col("_slots"), F.col("_own")).otherwise(F.col("_k")).alias("label"), "_own", "score"
+    )
+    if classes is not None:
+        cells = cells.where(F.col("label").isin([int(c) for c in classes]))
+    hit = F.col("_own") == F.col("label")
+    return cells.groupBy("label", "score").agg(F.count_if(hit).alias("p"), F.count_if(~hit).alias("n"))
 
 
 def roc(
@@ -97,33 +93,60 @@ def roc(
 ) -> DataFrame:
     """One-against-rest curve ``(label, threshold, fpr, tpr)`` at every distinct score of every class.
 
-    Slot ``k`` of the scores belongs to class ``k``. ``hard=True`` scores a row 1 for its
-    predicted class and 0 otherwise. A rate without rows behind it is NULL, and a class the
+    The classes are those that occur, unless given. Slot ``k`` of the scores belongs to class
+    ``k``. ``hard=True`` scores a row 1 for its predicted class and 0 otherwise, which the
+    confusion table alone answers. A rate without rows behind it is NULL, and a class the
     model does not know has the one threshold NULL. The start of each curve, (0, 0), has an
     infinite threshold.
     """
-    classes = _class_list(df, label, classes)
     if hard:
-        df = _hard_scores(df, label, classes, prediction)
-        scores = "_hard"
+        return _hard_roc(df, label, prediction, classes)
     counts = _score_counts(df, scores, label, classes)
     ranked = running_totals(counts, ["label"], [F.col("score").desc()], ["p", "n"])
-    point = F.struct(
-        F.col("score").alias("threshold"),
-        (F.col("cum_n") / F.nullif(F.col("total_n"), F.lit(0))).alias("fpr"),
-        (F.col("cum_p") / F.nullif(F.col("total_p"), F.lit(0))).alias("tpr"),
-    )
-    origin = F.struct(
-        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    if classes is None:
+        ranked = ranked.where("total_p > 0")
+    point = _point(
+        F.col("score"),
+        F.col("cum_n") / F.nullif(F.col("total_n"), F.lit(0)),
+        F.col("cum_p") / F.nullif(F.col("total_p"), F.lit(0)),
     )
     is_first = (F.col("cum_p") == F.col("p")) & (F.col("cum_n") == F.col("n"))
-    points = F.when(is_first, F.array(origin, point)).otherwise(F.array(point))
+    points = F.when(is_first, F.array(_origin(), point)).otherwise(F.array(point))
     return ranked.select("label", F.inline(points))
 
 
-def _hard_scores(df: DataFrame, label: str, classes: Sequence[int], prediction: str) -> DataFrame:
-    found = [indicator(F.col(prediction), F.lit(float(k))) for k in range(max(classes) + 1)]
-    return df.select(label, F.array(*found).alias("_hard"))
+def _point(threshold: Column, fpr: Column, tpr: Column) -> Column:
+    return F.struct(threshold.alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+
+
+def _origin() -> Column:
+    return _point(F.lit(float("inf")), F.lit(0.0), F.lit(0.0))
+
+
+def _hard_rates(df: DataFrame, label: str, prediction: str, classes: Sequence[int] | None) -> DataFrame:
+    """``(label, predicted, n_rows, fpr, tpr)`` where a row scores 1 for its predicted class, else 0."""
+    whole = Window.partitionBy(F.lit(0))  # one row per class
+    counted = class_metrics(df, label, prediction).select(
+        F.col("label").cast("int").alias("label"), "tp", "predicted", "support",
+        F.sum("support").over(whole).alias("n_rows"),
+    )
+    wanted = F.col("support") > 0 if classes is None else F.col("label").isin([int(c) for c in classes])
+    return counted.where(wanted).select(
+        "label", "predicted", "n_rows",
+        ((F.col("predicted") - F.col("tp")) / F.nullif(F.col("n_rows") - F.col("support"), F.lit(0))).alias("fpr"),
+        (F.col("tp") / F.nullif(F.col("support"), F.lit(0))).alias("tpr"),
+    )
+
+
+def _hard_roc(df: DataFrame, label: str, prediction: str, classes: Sequence[int] | None) -> DataFrame:
+    rates = _hard_rates(df, label, prediction, classes)
+    end = [F.when(F.col(c).isNotNull(), F.lit(1.0)) for c in ("fpr", "tpr")]
+    points = F.array_compact(F.array(
+        _origin(),
+        F.when(F.col("predicted") > 0, _point(F.lit(1.0), F.col("fpr"), F.col("tpr"))),
+        F.when(F.col("predicted") < F.col("n_rows"), _point(F.lit(0.0), *end)),
+    ))
+    return rates.select("label", F.inline(points))
 
 
 def auc(
@@ -134,32 +157,23 @@ def auc(
     hard: bool = False,
     prediction: str = "prediction",
 ) -> DataFrame:
-    """Area under the one-against-rest curve of each class, ties counted half.
+    """Area under the one-against-rest curve of each class that occurs, ties counted half.
 
     NULL for a class without positives, without negatives, or without scores. With
     ``hard=True`` the area follows from the confusion table alone.
     """
     if hard:
-        return _hard_auc(df, label, prediction)
-    counts = _score_counts(df, scores, label, _class_list(df, label, classes))
-    known = counts.withColumn("known", F.col("score").isNotNull())
+        area = (1 + F.col("tpr") - F.col("fpr")) / 2
+        return _hard_rates(df, label, prediction, classes).select("label", area.alias("auc"))
+    known = _score_counts(df, scores, label, classes).withColumn("known", F.col("score").isNotNull())
     ranked = running_totals(known, ["label"], [F.col("score").desc()], ["n"], keep=["p", "known"])
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     lower = F.col("total_n") - F.col("cum_n")
     pairs = F.nullif(F.sum(p) * F.sum(n), F.lit(0.0))
-    return ranked.groupBy("label").agg(
-        F.when(F.max("known"), F.sum(p * (lower + 0.5 * n)) / pairs).alias("auc")
-    )
-
-
-def _hard_auc(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    per_class = class_metrics(df, label, prediction)
-    rows = per_class.agg(F.sum("support")).scalar()
-    tpr = F.col("tp") / F.nullif(F.col("support"), F.lit(0))
-    fpr = (F.col("predicted") - F.col("tp")) / F.nullif(rows - F.col("support"), F.lit(0))
-    return per_class.where("support > 0").select(
-        F.col("label").cast("int").alias("label"), ((1 + tpr - fpr) / 2).alias("auc")
+    areas = ranked.groupBy("label").agg(
+        F.when(F.max("known"), F.sum(p * (lower + 0.5 * n)) / pairs).alias("auc"), F.sum("p").alias("positives")
     )
+    return (areas if classes is not None else areas.where("positives > 0")).select("label", "auc")
 
 
 def mean_auc(areas: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from impactrec.functions.expressions import SENTINEL, is_missing
 from impactrec.functions.ordering import running_totals
+from impactrec.staging import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -173,7 +174,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Fals
 
 
 def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
-    frequencies = value_frequencies(df, names)
+    frequencies = stage(value_frequencies(df, names))
     known_number = F.col("number").isNotNull() & ~F.isnan("number")
     known_text = F.col("number").isNull() & F.col("text").isNotNull() & (F.col("text") != SENTINEL)
     known = known_number | known_text

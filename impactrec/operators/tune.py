@@ -10,6 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from impactrec.functions.expressions import indicator
 from impactrec.operators.models import bins_needed, feature_model, fit_classifier, train
 from impactrec.sources.schema import KEY, LABEL
 from impactrec.staging import stage
@@ -70,7 +71,7 @@ def tune_random(
 
     def trial(params: dict[str, Any]) -> float:
         model = PipelineModel(fit_classifier(fit_rows, algo, params, seed, label, floor))
-        hits = model.transform(check_rows).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")))
+        hits = model.transform(check_rows).agg(F.avg(indicator(F.col("prediction"), F.col(label))))
         return hits.first()[0]
 
     settings = sample_space(space, n, seed)

@@ -340,6 +340,8 @@ SELECT bucket, ROUND(lo + bucket * w, 6) AS lower, ROUND(lo + (bucket + 1) * w,
         "random_split_whole": _with(_PRODUCTS) + "SELECT COUNT(ID) AS n_rows, COUNT(DISTINCT ID) AS n_products FROM products",
         "confusion_matrix": _with(_SCORES)
         + "SELECT CAST(EI AS DOUBLE) AS label, prediction, COUNT(*) AS n FROM scores GROUP BY ALL",
+        "hit_indicator": _with(_SCORES)
+        + "SELECT ID, CAST(prediction = EI AS DOUBLE) AS hit, CAST(EI = 1 AS DOUBLE) AS is_first FROM scores",
         "class_metrics": _with(_SCORES, _CONFUSION)
         + "SELECT label, tp, predicted, support, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(f1, 6) AS f1 FROM scored",
         "classification_metrics": _with(_SCORES, _CONFUSION)

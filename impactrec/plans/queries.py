@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from impactrec import operators as ops
-from impactrec.functions.expressions import slot
+from impactrec.functions import indicator, slot
 from impactrec.plans import workflows
 from impactrec.sources import (
     CATEGORICAL,
@@ -396,6 +396,13 @@ def confusion_matrix(spark, folder):
     return ops.confusion(_scores(spark, folder))
 
 
+@query
+def hit_indicator(spark, folder):
+    """1.0 where the prediction, or the first class, is the label."""
+    hit = indicator(F.col("prediction"), F.col("EI")).alias("hit")
+    return _scores(spark, folder).select("ID", hit, indicator(F.col("EI"), F.lit(1.0)).alias("is_first"))
+
+
 @query
 def class_metrics(spark, folder):
     return _rounded(ops.class_metrics(_scores(spark, folder)), "precision", "recall", "f1")
