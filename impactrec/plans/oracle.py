@@ -362,6 +362,26 @@ SELECT bucket, ROUND(lo + bucket * w, 6) AS lower, ROUND(lo + (bucket + 1) * w,
         "decision_tree_separable": _separable(),
         "random_forest_separable": _separable(),
         "one_vs_rest_separable": _separable(),
+        "importances_separable": _with(_ENCODED) + _union([
+            f"SELECT '{f}' AS feature, CAST({1 if f == 'Cotton' else 0} AS DOUBLE) AS importance"
+            for f in ["TypeIndex", "Use_locationIndex", *_NUMBERS, *_DUMMIES]
+        ]),
+        "top_importances_separable": "SELECT 'Cotton' AS feature",
+        "evaluation_separable": _with(_PRODUCTS, f"held_out AS (SELECT EI FROM products WHERE {_KEY_BUCKET} >= 80)")
+        + _union([
+            f"SELECT '{m}' AS metric, CAST({v} AS DOUBLE) AS value"
+            for m, v in [("accuracy", 1), ("weighted_precision", 1), ("weighted_recall", 1), ("f1", 1), ("test_error", 0), ("least_auc", 1)]
+        ])
+        + " UNION ALL SELECT 'n_classes' AS metric, CAST(COUNT(DISTINCT EI) AS DOUBLE) AS value FROM held_out",
+        "decision_tree_double_features": _union([
+            f"SELECT {i} AS position, '{stage}' AS stage, '{column}' AS input_column"
+            for i, stage, column in [
+                (0, "StringIndexerModel", "Type"),
+                (1, "StringIndexerModel", "Use_location"),
+                *[(2, "VectorAssembler", c) for c in ["TypeIndex", "Use_locationIndex", *_NUMBERS[:4]]],
+                (3, "DecisionTreeClassificationModel", "features"),
+            ]
+        ]),
         "skipped_rows": _with(_PRODUCTS)
         + "SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE Drying_instruction IS NULL OR Manufacturing_location IS NULL) AS n_skipped FROM products",
         "recommend_by_probability": _with(_SCORES)

@@ -535,6 +535,35 @@ def top_importances(spark, folder):
     return ops.importances(trained.model, trained.products, 20)
 
 
+@query
+def importances_separable(spark, folder):
+    """Only the column that decides the label matters to the tree."""
+    trained = _separable(spark, folder, "dt")
+    return _rounded(ops.importances(trained.model, trained.products), "importance")
+
+
+@query
+def top_importances_separable(spark, folder):
+    trained = _separable(spark, folder, "rf")
+    return ops.importances(trained.model, trained.products, 1).select("feature")
+
+
+@query
+def evaluation_separable(spark, folder):
+    """All metrics and the mean area of a model that makes no mistake."""
+    result = workflows.evaluate(_separable(spark, folder, "dt").held_out)
+    areas = result.areas.agg(F.min("auc").alias("least_auc"), F.count("auc").alias("n_classes"))
+    names = result.summary.columns
+    metrics = result.summary.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.round(c, 6).alias("value")) for c in names
+    ])).alias("m")).select("m.*")
+    shown = areas.select(F.explode(F.array(
+        F.struct(F.lit("least_auc").alias("metric"), F.round("least_auc", 6).alias("value")),
+        F.struct(F.lit("n_classes").alias("metric"), F.col("n_classes").cast("double").alias("value")),
+    )).alias("m")).select("m.*")
+    return metrics.unionByName(shown)
+
+
 # Recommendations
 
 

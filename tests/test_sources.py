@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from impactrec import staging
 from impactrec.operators import encode_rules, use_feature_set
 from impactrec.sources import (
     PRODUCT_SCHEMA,
@@ -121,6 +122,14 @@ def test_stage_keeps_rows_and_metadata(spark):
     assert kept.count() == 5 and kept.schema["id"].metadata == metadata
 
 
+def test_release_deletes_staged_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "checkpoint_root", lambda session: str(tmp_path))
+    stage(spark.range(3))
+    assert list(tmp_path.rglob("*.parquet"))
+    staging.release(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_a_cluster_must_name_a_checkpoint_folder(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"
