@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -88,21 +90,26 @@ def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _quantiles_of(frequencies: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    numbers = (
-        frequencies.where("number IS NOT NULL AND NOT isnan(number)")
-        .groupBy("column_name", "number")
-        .agg(F.sum("n").alias("n"))
-    )
-    ranked = running_totals(numbers, ["column_name"], [F.col("number")], ["n"], keep=["number"])
+    numbers = frequencies.where("number IS NOT NULL AND NOT isnan(number)")
+    order = [F.col(c) for c in ("number", "text") if c in numbers.columns]
+    ranked = running_totals(numbers, ["column_name"], order, ["n"], keep=["number"])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
 
     # The linear position q * (n - 1) falls between two ranks; a value is needed if it holds either.
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    spot = F.col("probability") * (F.col("total_n") - 1)
-    low, high = F.floor(spot), F.ceil(spot)
+    def ranks(probability: Column) -> tuple[Column, Column, Column]:
+        spot = probability * (F.col("total_n") - 1)
+        return spot, F.floor(spot), F.ceil(spot)
+
+    def needed(probability: Column) -> Column:
+        _, low, high = ranks(probability)
+        return low.between(first, last) | high.between(first, last)
+
+    wanted = [F.lit(float(p)) for p in probabilities]
+    spot, low, high = ranks(F.col("probability"))
     return (
-        ranked.select("*", F.explode(wanted).alias("probability"))
-        .where(low.between(first, last) | high.between(first, last))
+        ranked.where(reduce(or_, map(needed, wanted)))
+        .select("*", F.explode(F.array(*wanted)).alias("probability"))
+        .where(needed(F.col("probability")))
         .select(
             "column_name",
             "probability",
@@ -111,15 +118,21 @@ def _quantiles_of(frequencies: DataFrame, probabilities: Sequence[float]) -> Dat
             F.when(high.between(first, last), F.col("number")).alias("high"),
         )
         .groupBy("column_name", "probability")
-        .agg(
-            (F.max("low") + (F.max("high") - F.max("low")) * F.max("weight")).alias("value")
-        )
+        .agg((F.max("low") + (F.max("high") - F.max("low")) * F.max("weight")).alias("value"))
     )
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact interpolated quantiles ``(column_name, probability, value)``, at any data size."""
-    return _quantiles_of(value_frequencies(df, cols), probabilities)
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("number")) for c in cols
+    ])
+    frequencies = (
+        df.select(F.explode(cells).alias("cell"))
+        .groupBy("cell.column_name", "cell.number")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return _quantiles_of(frequencies, probabilities)
 
 
 def _percent_name(probability: Column) -> Column:

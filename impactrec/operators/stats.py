@@ -46,7 +46,17 @@ def _pair_moments(width: int):
     covers the rows where both columns have a value.
     """
 
+    def of_full_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        x = np.array([c.to_numpy() for c in batch.columns])
+        mean = x.mean(axis=1, keepdims=True)
+        x -= mean
+        cross = x @ x.T
+        wide = np.ones((1, width))
+        return wide.T @ wide * batch.num_rows, mean @ wide, cross, np.diag(cross)[:, None] @ wide
+
     def of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        if not any(c.null_count for c in batch.columns):
+            return of_full_batch(batch)
         seen = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
         x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
         x[~seen] = 0.0
@@ -69,8 +79,9 @@ def _pair_moments(width: int):
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            part = of_batch(batch)
-            total = part if total is None else merged(total, part)
+            if batch.num_rows:
+                part = of_batch(batch)
+                total = part if total is None else merged(total, part)
         if total is not None:
             n, mean, cross, spread = total
             i, j = np.triu_indices(width, 1)
