@@ -35,6 +35,7 @@ DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
 _CLASSIFIERS = {"dt": DecisionTreeClassifier, "rf": RandomForestClassifier, "ovr_gbt": GBTClassifier}
 _SPARK_MAX_BINS = 32
 _MAX_CLASSES = 100
+_MODELS_AT_ONCE = 8
 
 
 def feature_model(
@@ -65,7 +66,8 @@ def bins_needed(features: PipelineModel) -> int:
 
 def class_values(df: DataFrame, label: str = LABEL) -> list[int]:
     """The classes present, in order."""
-    found = [int(r[0]) for r in df.select(label).where(F.col(label).isNotNull()).distinct().limit(_MAX_CLASSES + 1).collect()]
+    known = df.select(label).where(F.col(label).isNotNull()).distinct()
+    found = [int(r[0]) for r in known.limit(_MAX_CLASSES + 1).collect()]
     if len(found) > _MAX_CLASSES:
         raise ValueError(f"{label} has more than {_MAX_CLASSES} classes")
     return sorted(found)
@@ -109,7 +111,7 @@ def fit_classifier(
         featuresCol="features",
         labelCol="_class",
         predictionCol="_class_found",
-        parallelism=parallelism or len(classes),
+        parallelism=parallelism or min(len(classes), _MODELS_AT_ONCE),
     )
     back = SQLTransformer(
         statement=f"SELECT * EXCEPT (_class_found), "

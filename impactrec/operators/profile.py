@@ -69,7 +69,7 @@ def _described(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
 
 
 def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column_name, number, text, n)``: every value of every column with its count.
+    """``(column_id, number, text, n)``: every value of every column with its count.
 
     All columns share one shuffle. Values are counted on the map side first, so neither a
     frequent value nor a nearly constant column makes a hot key. ``text`` holds strings, and
@@ -77,22 +77,26 @@ def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     exact_double = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
     cells = []
-    for c in cols:
+    for i, c in enumerate(cols):
         kind = df.schema[c].dataType
         number = F.col(c).cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
         text = F.lit(None).cast("string") if isinstance(kind, exact_double) else F.col(c).cast("string")
-        cells.append(F.struct(F.lit(c).alias("column_name"), number.alias("number"), text.alias("text")))
+        cells.append(F.struct(F.lit(i).alias("column_id"), number.alias("number"), text.alias("text")))
     return (
         df.select(F.explode(F.array(*cells)).alias("cell"))
-        .groupBy("cell.column_name", "cell.number", "cell.text")
+        .groupBy("cell.column_id", "cell.number", "cell.text")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def _column_name(cols: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in cols]), F.col("column_id")).alias("column_name")
+
+
 def _quantiles_of(frequencies: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     numbers = frequencies.where("number IS NOT NULL AND NOT isnan(number)")
     order = [F.col(c) for c in ("number", "text") if c in numbers.columns]
-    ranked = running_totals(numbers, ["column_name"], order, ["n"], keep=["number"])
+    ranked = running_totals(numbers, ["column_id"], order, ["n"], keep=["number"])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
 
     # The linear position q * (n - 1) falls between two ranks; a value is needed if it holds either.
@@ -111,13 +115,13 @@ def _quantiles_of(frequencies: DataFrame, probabilities: Sequence[float]) -> Dat
         .select("*", F.explode(F.array(*wanted)).alias("probability"))
         .where(needed(F.col("probability")))
         .select(
-            "column_name",
+            "column_id",
             "probability",
             (spot - low).alias("weight"),
             F.when(low.between(first, last), F.col("number")).alias("low"),
             F.when(high.between(first, last), F.col("number")).alias("high"),
         )
-        .groupBy("column_name", "probability")
+        .groupBy("column_id", "probability")
         .agg((F.max("low") + (F.max("high") - F.max("low")) * F.max("weight")).alias("value"))
     )
 
@@ -125,14 +129,14 @@ def _quantiles_of(frequencies: DataFrame, probabilities: Sequence[float]) -> Dat
 def quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float] = QUARTILES) -> DataFrame:
     """Exact interpolated quantiles ``(column_name, probability, value)``, at any data size."""
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("number")) for c in cols
+        F.struct(F.lit(i).alias("column_id"), F.col(c).cast("double").alias("number")) for i, c in enumerate(cols)
     ])
     frequencies = (
         df.select(F.explode(cells).alias("cell"))
-        .groupBy("cell.column_name", "cell.number")
+        .groupBy("cell.column_id", "cell.number")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return _quantiles_of(frequencies, probabilities)
+    return _quantiles_of(frequencies, probabilities).select(_column_name(cols), "probability", "value")
 
 
 def _percent_name(probability: Column) -> Column:
@@ -196,7 +200,7 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
         F.max(F.when(F.col("stat") == "mean", F.col("value"))).alias("mean"),
         F.max(F.when(F.col("stat") == "stddev", F.col("value"))).alias("stddev"),
     )
-    counted = frequencies.groupBy("column_name").agg(
+    counted = frequencies.groupBy("column_id").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
         F.count_if(known).alias("n_distinct"),
@@ -205,14 +209,15 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
         F.min(F.when(known_text, F.col("text"))).alias("min_text"),
         F.max(F.when(known_text, F.col("text"))).alias("max_text"),
     )
-    quarters = _quantiles_of(frequencies, QUARTILES).groupBy("column_name").agg(
+    quarters = _quantiles_of(frequencies, QUARTILES).groupBy("column_id").agg(
         *[
             F.max(F.when(F.col("probability") == p, F.col("value"))).alias(f"p{round(p * 100)}")
             for p in QUARTILES
         ]
     )
     # One row per column on every side.
-    return counted.join(spread, "column_name", "left").join(quarters, "column_name", "left")
+    ranges = counted.join(quarters, "column_id", "left").select(_column_name(names), "*").drop("column_id")
+    return ranges.join(spread, "column_name", "left")
 
 
 def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:
