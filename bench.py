@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from impactrec.functions import slot
 from impactrec.operators import auc, classification_metrics, corr_matrix, encode_rules
-from impactrec.plans.queries import all_queries
+from impactrec.plans.queries import all_queries, line_scores
 from impactrec.session import local_session
 from impactrec.sources import load_table, numeric_columns, product_table, score_table
 from impactrec.staging import release, stage
@@ -55,6 +55,7 @@ def compared(spark, folder) -> dict[str, dict[str, float]]:
     """The same numbers at once and step by step, over stored tables."""
     encoded = stage(encode_rules(product_table(spark, folder)))
     scores = stage(score_table(product_table(spark, folder)))
+    lines = stage(line_scores(spark, folder))
     columns = numeric_columns(encoded)
 
     def pair_by_pair():
@@ -69,14 +70,15 @@ def compared(spark, folder) -> dict[str, dict[str, float]]:
 
     def class_by_class():
         judge = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="hit", numBins=0)
-        for k in range(1, 6):
+        for k in range(1, 4):
             hit = (F.col("EI") == k).cast("double").alias("hit")
-            judge.evaluate(scores.select(slot(scores, "probability", k).alias("score"), hit))
+            judge.evaluate(lines.select(slot(lines, "probability", k).alias("score"), hit))
 
+    consume(auc(scores))
     work = {
         "correlation": (lambda: consume(corr_matrix(encoded, columns)), pair_by_pair),
         "metrics": (lambda: consume(classification_metrics(scores)), metric_by_metric),
-        "areas": (lambda: consume(auc(scores)), class_by_class),
+        "areas": (lambda: consume(auc(lines)), class_by_class),
     }
     return {
         name: {"at_once": round(run(ours), 3), "step_by_step": round(run(steps), 3)}

@@ -195,11 +195,13 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
     known_number = F.col("number").isNotNull() & ~F.isnan("number")
     known_text = F.col("number").isNull() & F.col("text").isNotNull() & (F.col("text") != SENTINEL)
     known = known_number | known_text
-    moments = describe_long(df, [c for c in names if _is_numeric(df, c)])
-    spread = moments.groupBy("column_name").agg(
-        F.max(F.when(F.col("stat") == "mean", F.col("value"))).alias("mean"),
-        F.max(F.when(F.col("stat") == "stddev", F.col("value"))).alias("stddev"),
-    )
+    n, number = F.col("n"), F.when(known_number, F.col("number"))
+    total = F.sum(F.when(known_number, n))
+    # One mean per column; deviations from it do not cancel.
+    found = frequencies.groupBy("column_id").agg((F.sum(n * number) / total).alias("mean")).collect()
+    means = {row.column_id: row.mean for row in found}
+    mean = F.get(F.array(*[F.lit(means.get(i)).cast("double") for i in range(len(names))]), F.col("column_id"))
+    squares = F.sum(n * (number - mean) * (number - mean))
     counted = frequencies.groupBy("column_id").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
@@ -208,6 +210,8 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
         F.max(F.when(known_number, F.col("number"))).alias("max"),
         F.min(F.when(known_text, F.col("text"))).alias("min_text"),
         F.max(F.when(known_text, F.col("text"))).alias("max_text"),
+        F.max(mean).alias("mean"),
+        F.sqrt(squares / F.nullif(total - 1, F.lit(0))).alias("stddev"),
     )
     quarters = _quantiles_of(frequencies, QUARTILES).groupBy("column_id").agg(
         *[
@@ -215,9 +219,8 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
             for p in QUARTILES
         ]
     )
-    # One row per column on every side.
-    ranges = counted.join(quarters, "column_id", "left").select(_column_name(names), "*").drop("column_id")
-    return ranges.join(spread, "column_name", "left")
+    # One row per column on either side.
+    return counted.join(quarters, "column_id", "left").select(_column_name(names), "*").drop("column_id")
 
 
 def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:

@@ -60,7 +60,7 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
     return score_table(product_table(spark, folder))
 
 
-def _line_scores(spark: SparkSession, folder: str) -> DataFrame:
+def line_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A class per line item, from its return flag, and a continuous score for each class."""
     flags = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
     return _lineitem(spark, folder).select(
@@ -432,7 +432,7 @@ def roc_hard_label(spark, folder):
 
 @query
 def roc_curve_lines(spark, folder):
-    return _finite_start(ops.roc(_line_scores(spark, folder), classes=[1, 2, 3]))
+    return _finite_start(ops.roc(line_scores(spark, folder), classes=[1, 2, 3]))
 
 
 @query
@@ -442,7 +442,7 @@ def auc_per_class(spark, folder):
 
 @query
 def auc_lines(spark, folder):
-    return _rounded(ops.auc(_line_scores(spark, folder), classes=[1, 2, 3]), "auc")
+    return _rounded(ops.auc(line_scores(spark, folder), classes=[1, 2, 3]), "auc")
 
 
 @query
