@@ -28,13 +28,21 @@ def preview(df: DataFrame, n: int = 20, order_by: str | Sequence[str] | None = N
     return df.orderBy(*keys).limit(n)
 
 
-def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None, by_hash: bool = False) -> DataFrame:
     """One copy of every row that occurs more than once. NULLs count as equal.
 
     Copies are combined on the map side, so a row repeated billions of times is no hot key.
+    ``by_hash`` suits a wide stored table with few copies: a first scan shuffles only a hash
+    per row, and a second one compares in full those rows whose hash occurred twice.
     """
     names = list(cols or df.columns)
-    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names)
+    rows = df.select(*names)
+    if by_hash:
+        hashed = rows.withColumn("_hash", F.xxhash64(*names))
+        repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+        # Written, so that the join knows its size and broadcasts it only if it is small.
+        rows = hashed.join(stage(repeated), "_hash", "left_semi")
+    return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -286,6 +286,7 @@ def oracle_queries() -> dict[str, str]:
         + "SELECT COUNT(*) FILTER (WHERE Manufacturing_location = 'NaN') AS n_sentinel, "
         + "COUNT(*) FILTER (WHERE Manufacturing_location IS NULL OR Manufacturing_location = 'NaN') AS n_missing FROM products",
         "duplicate_rows": "SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1",
+        "duplicate_rows_by_hash": "SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1",
         "duplicate_products": _with(_PRODUCTS)
         + "SELECT Type, Manufacturing_location, Drying_instruction, Washing_instruction, EI FROM products GROUP BY ALL HAVING COUNT(*) > 1",
         "describe_long": _describe("lineitem", ["l_orderkey", *numbers], ["l_returnflag", "l_linestatus"]),

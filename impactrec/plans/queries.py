@@ -130,6 +130,12 @@ def duplicate_rows(spark, folder):
     return ops.duplicate_rows(_lineitem(spark, folder), ["l_orderkey", "l_linenumber"])
 
 
+@query
+def duplicate_rows_by_hash(spark, folder):
+    cols = ["l_orderkey", "l_linenumber", "l_linestatus"]
+    return ops.duplicate_rows(_lineitem(spark, folder), cols, by_hash=True)
+
+
 @query
 def duplicate_products(spark, folder):
     traits = product_table(spark, folder).select(

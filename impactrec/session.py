@@ -16,6 +16,8 @@ def local_session(cores: int | str = 8, partitions: int | None = None, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # Keeps code generation for summaries of wide tables.
+        .config("spark.sql.codegen.maxFields", "2000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

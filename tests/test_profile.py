@@ -23,6 +23,15 @@ def test_duplicates_count_nulls_as_equal(spark):
     assert {r.k for r in duplicate_rows(table, ["k"]).collect()} == {1, None}
 
 
+def test_duplicates_by_hash_are_the_same(spark):
+    rows = [(1.0, None), (1.0, None), (None, "a"), (0.0, "z"), (-0.0, "z"), (float("nan"), "n"), (float("nan"), "n")]
+    # A third of the rows are copies of one.
+    rows += [(float(i), f"v{i}") for i in range(10, 200)] + [(7.0, "hot")] * 100
+    table = spark.createDataFrame(rows, "x double, s string").repartition(6)
+    found = sorted(map(repr, duplicate_rows(table, by_hash=True).collect()))
+    assert found == sorted(map(repr, duplicate_rows(table).collect())) and len(found) == 4
+
+
 def test_preview(spark):
     table = spark.range(100).withColumn("id", 99 - F.col("id"))
     assert [r.id for r in preview(table, 3, "id").collect()] == [0, 1, 2]
