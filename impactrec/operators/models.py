@@ -33,6 +33,7 @@ DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
 }
 
 _CLASSIFIERS = {"dt": DecisionTreeClassifier, "rf": RandomForestClassifier, "ovr_gbt": GBTClassifier}
+_WHOLE_NUMBERS = {"numTrees", "maxDepth", "maxBins", "minInstancesPerNode", "maxIter"}
 _SPARK_MAX_BINS = 32
 _MAX_CLASSES = 100
 _MODELS_AT_ONCE = 8
@@ -80,10 +81,14 @@ def _with_classes(df: DataFrame, column: str, count: int) -> DataFrame:
 
 
 def classifier(algo: str, params: dict[str, Any] | None, seed: int, label: str, min_bins: int = 0):
-    """An unfitted classifier with the default settings, ``params`` on top, and enough bins."""
+    """An unfitted classifier with the default settings, ``params`` on top, and enough bins.
+
+    Settings that count something are cut to whole numbers, as a sampler may draw floats.
+    """
     if algo not in _CLASSIFIERS:
         raise ValueError(f"algo must be one of {sorted(_CLASSIFIERS)}")
     settings = {**DEFAULT_PARAMS[algo], **(params or {})}
+    settings = {k: int(v) if k in _WHOLE_NUMBERS else v for k, v in settings.items()}
     settings["maxBins"] = max(settings.get("maxBins", _SPARK_MAX_BINS), min_bins)
     return _CLASSIFIERS[algo](featuresCol="features", labelCol=label, seed=seed, **settings)
 

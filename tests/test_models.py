@@ -81,6 +81,8 @@ def test_settings_are_the_published_ones():
     assert (tree.getMaxDepth(), tree.getImpurity(), tree.getMinInfoGain()) == (20, "entropy", 0.01)
     boosted = classifier("ovr_gbt", {"maxIter": 3}, 1, "EI")
     assert (boosted.getMaxIter(), boosted.getStepSize(), boosted.getSeed()) == (3, 0.2, 1)
+    drawn = classifier("rf", {"numTrees": 17.9, "maxDepth": 6.0, "minInfoGain": 0.05}, 1, "EI")
+    assert (drawn.getNumTrees(), drawn.getMaxDepth(), drawn.getMinInfoGain()) == (17, 6, 0.05)
     with pytest.raises(ValueError):
         classifier("svm", None, 1, "EI")
 
