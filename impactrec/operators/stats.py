@@ -57,18 +57,18 @@ def _pair_moments(width: int):
     def of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         if not any(c.null_count for c in batch.columns):
             return of_full_batch(batch)
-        seen = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
-        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+        seen = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+        x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], dtype=float)
         x[~seen] = 0.0
-        shift = x.sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
+        shift = x.sum(axis=1, keepdims=True) / np.maximum(seen.sum(axis=1, keepdims=True), 1)
         x = np.where(seen, x - shift, 0.0)
         mask = seen.astype(float)
-        n = mask.T @ mask
+        n = mask @ mask.T
         safe = np.maximum(n, 1.0)
-        sums = x.T @ mask
-        cross = x.T @ x - sums * sums.T / safe
-        spread = (x * x).T @ mask - sums * sums / safe
-        return n, sums / safe + shift[:, None], cross, spread
+        sums = x @ mask.T
+        cross = x @ x.T - sums * sums.T / safe
+        spread = (x * x) @ mask.T - sums * sums / safe
+        return n, sums / safe + shift, cross, spread
 
     def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         n = a[0] + b[0]
