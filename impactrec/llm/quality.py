@@ -69,7 +69,7 @@ def _line_numbers(texts: Texts, words: Words) -> tuple[np.ndarray, ...]:
     last = np.searchsorted(words.starts, ends)
     full = last > first
     starts, ends, first, last = starts[full], ends[full], first[full], last[full]
-    raw = span_hashes(texts.data, starts, ends)
+    raw = words.spans.hashes(starts, ends)
     return texts.owner(starts), raw, first, last
 
 
@@ -103,7 +103,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = np.unique(np.stack([owner.astype(np.uint64), raw]), axis=1)[0].astype(np.int64)
         repeated = lines - np.bincount(distinct, minlength=texts.n)
         repeat_words = _repeated_words(words)
-        whole = span_hashes(texts.data, texts.offsets[:-1], texts.offsets[1:])
+        whole = words.spans.hashes(texts.offsets[:-1], texts.offsets[1:])
 
         lowered = span_hashes(LOWER[texts.data], words.starts, words.ends)
         normal = _line_hashes(lowered, first, last)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from impactrec.llm import mixing, quality, sharding
-from impactrec.llm.tables import table
+from impactrec.llm import language, mixing, quality, sharding, toxicity
+from impactrec.llm.tables import held_out, table
 
 #: The weights of the sources in code-point order, repeating.
 SOURCE_WEIGHTS = (3, 1, 2)
@@ -25,5 +25,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
+    """Learned from the labelled documents that aren't held out."""
+    known = labels.where(~held_out()).select("doc_id", "toxic")
+    return toxicity.fit(docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op3_mixing)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op3_mixing, op8_language, op10_toxicity)}

@@ -55,15 +55,24 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+class Spans:
+    """Hashes of runs of an array, all from one pass of prefix sums."""
+
+    def __init__(self, values: np.ndarray):
+        power, self._inverse = _power_tables(len(values) + 1)
+        self._sums = np.zeros(len(values) + 1, _U)
+        with np.errstate(over="ignore"):
+            np.cumsum((values.astype(_U) + _U(1)) * power[: len(values)], out=self._sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each run ``values[start:end]``; equal runs have equal hashes."""
+        with np.errstate(over="ignore"):
+            runs = (self._sums[ends] - self._sums[starts]) * self._inverse[starts]
+            return mix(runs + (ends - starts).astype(_U))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run ``values[start:end]``; equal runs have equal hashes."""
-    if not len(starts):
-        return np.empty(0, _U)
-    power, inverse = _power_tables(len(values) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, _U)
-        np.cumsum((values.astype(_U) + _U(1)) * power[: len(values)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
+    return Spans(values).hashes(starts, ends)
 
 
 class Texts:
@@ -127,7 +136,8 @@ class Words:
         self.text = texts.owner(self.starts)
         self.counts = np.bincount(self.text, minlength=texts.n).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        self.hash = span_hashes(texts.data, self.starts, self.ends)
+        self.spans = Spans(texts.data)
+        self.hash = self.spans.hashes(self.starts, self.ends)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` words inside a text, and the index of each run's first word."""
@@ -147,8 +157,11 @@ def gram_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into consecutive parts of at most ``limit`` bytes in ``column``, one row at least."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 10_000
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches into consecutive parts of at most ``rows`` rows, and of at most ``limit`` bytes in
+    ``column`` unless a single row has more."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -156,7 +169,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         begin, filled = 0, 0
         for row, size in enumerate(sizes.tolist()):
-            if row > begin and filled + size > limit:
+            if row > begin and (filled + size > limit or row - begin == rows):
                 yield batch.slice(begin, row - begin)
                 begin, filled = row, 0
             filled += size
