@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from impactrec.llm.licenses import PHRASES, TEMPLATES
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 QUALITY = rf"""
@@ -75,5 +77,67 @@ FROM cut
 """
 
 
+NEAREST = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(r AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
+"""
+
+_PHRASES = [(p.split(), l) for p, l in PHRASES.items()]
+_PLACES = " UNION ALL ".join(
+    f"SELECT k, i, '{label}' AS label FROM pos WHERE "
+    + " AND ".join(f"w[i + {j}] = '{word}'" for j, word in enumerate(words, 1))
+    for words, label in _PHRASES
+)
+_TEMPLATE_ROWS = ", ".join(
+    f"({n}, '{label}', '{text.lower()}')" for n, (label, text) in enumerate(TEMPLATES)
+)
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+LICENSES = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+word AS (SELECT k, doc_id, regexp_extract_all(t, '{ALNUM}') AS w FROM doc),
+pos AS (SELECT k, w, unnest(range(0, len(w))) AS i FROM word),
+place AS ({_PLACES}),
+base AS (
+  SELECT k, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base
+  FROM place GROUP BY k),
+tmpl AS (
+  SELECT n, label, unnest(list_distinct(regexp_extract_all(t, '{ALNUM}'))) AS word
+  FROM (VALUES {_TEMPLATE_ROWS}) AS v(n, label, t)),
+size AS (SELECT n, count(*) AS size FROM tmpl GROUP BY n),
+raw AS (SELECT k, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM doc),
+line AS (SELECT k, i, l, sum(CASE WHEN regexp_matches(l, '{ALNUM}') THEN 0 ELSE 1 END)
+           OVER (PARTITION BY k ORDER BY i) AS p FROM raw),
+block AS (
+  SELECT row_number() OVER () AS b, k, l FROM (
+    SELECT k, l FROM line UNION ALL
+    SELECT k, string_agg(l, chr(10) ORDER BY i) AS l FROM line WHERE regexp_matches(l, '{ALNUM}')
+    GROUP BY k, p HAVING count(*) > 1)),
+token AS (SELECT b, k, unnest(list_distinct(regexp_extract_all(l, '{ALNUM}'))) AS word FROM block),
+met AS (
+  SELECT b, k, n, label, common / size AS part FROM (
+    SELECT b, k, n, label, count(*) AS common FROM token JOIN tmpl USING (word) GROUP BY b, k, n, label)
+  JOIN size USING (n) WHERE common >= ceil(0.8 * size - 1e-9)),
+notice AS (SELECT k, count(*) AS n_notices, list(DISTINCT label) AS labels, max(part) AS score FROM met GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ','), '')
+    AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
+FROM word LEFT JOIN base USING (k) LEFT JOIN notice USING (k)
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op2_quality": QUALITY, "op3_mixing": MIXING}
+    return {"op2_quality": QUALITY, "op3_mixing": MIXING, "op5_nearest": NEAREST, "op7_licenses": LICENSES}
