@@ -91,6 +91,26 @@ SELECT query_id, CAST(r AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
 """
 
+JACCARD = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0))),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a AS doc_id, a AS other FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a)
+SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc.doc_id, coalesce(m, doc.doc_id)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
 _PHRASES = [(p.split(), l) for p, l in PHRASES.items()]
 _PLACES = " UNION ALL ".join(
     f"SELECT k, i, '{label}' AS label FROM pos WHERE "
@@ -140,4 +160,4 @@ FROM word LEFT JOIN base USING (k) LEFT JOIN notice USING (k)
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op2_quality": QUALITY, "op3_mixing": MIXING, "op5_nearest": NEAREST, "op7_licenses": LICENSES}
+    return {"op2_quality": QUALITY, "op3_mixing": MIXING, "op4_jaccard": JACCARD, "op5_nearest": NEAREST, "op7_licenses": LICENSES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from impactrec.llm import knn, language, licenses, mixing, quality, sharding, toxicity
+from impactrec.llm import jaccard, knn, language, licenses, mixing, quality, sharding, toxicity
 from impactrec.llm.tables import held_out, table
 
 #: The weights of the sources in code-point order, repeating.
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -54,4 +58,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op3_mixing, op5_nearest, op7_licenses, op8_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op3_mixing, op4_jaccard, op5_nearest, op7_licenses, op8_language, op10_toxicity)}
