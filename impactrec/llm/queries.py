@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from impactrec.llm import jaccard, knn, language, licenses, mixing, quality, sharding, toxicity
+from impactrec.llm import jaccard, knn, language, licenses, mixing, quality, sharding, toxicity, unigram
 from impactrec.llm.tables import held_out, table
 
+#: A public SentencePiece model; on a cluster, where the driver finds it.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 #: The weights of the sources in code-point order, repeating.
 SOURCE_WEIGHTS = (3, 1, 2)
 
@@ -33,6 +36,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -58,4 +65,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op3_mixing, op4_jaccard, op5_nearest, op7_licenses, op8_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_shards, op2_quality, op3_mixing, op4_jaccard, op5_nearest, op6_pieces, op7_licenses, op8_language, op10_toxicity)}
