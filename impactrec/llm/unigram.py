@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from impactrec.llm.words import Spans, Texts, slices
 
@@ -335,7 +336,8 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
             )
 
     schema = passed.select(*kept).schema
-    schema = schema.add("ids", "array<int>").add("n_tokens", "long").add("n_byte_tokens", "long").add("exact", "boolean")
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType())
+    schema = schema.add("n_byte_tokens", T.LongType()).add("exact", T.BooleanType())
     return passed.mapInArrow(run, schema)
 
 
@@ -354,4 +356,4 @@ def decode(tokens: DataFrame, model_file: str) -> DataFrame:
             texts = pa.compute.if_else(batch.column("ids").is_null(), None, encoder.decode(ids, at))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], texts], names=[*kept, "text"])
 
-    return passed.mapInArrow(run, passed.select(*kept).schema.add("text", "string"))
+    return passed.mapInArrow(run, passed.select(*kept).schema.add("text", T.StringType()))
