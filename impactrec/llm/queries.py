@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from impactrec.llm import jaccard, knn, language, licenses, mixing, quality, sharding, toxicity, unigram
+from impactrec.llm import html, html_examples, jaccard, knn, language, licenses, mixing, quality, sharding, toxicity, unigram
 from impactrec.llm.tables import held_out, table
 
 #: A public SentencePiece model; on a cluster, where the driver finds it.
@@ -51,6 +51,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages, html_examples.labelled_pages()))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
     """Learned from the labelled documents that aren't held out."""
     known = labels.where(~held_out()).select("doc_id", "toxic")
@@ -65,4 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_quality, op3_mixing, op4_jaccard, op5_nearest, op6_pieces, op7_licenses, op8_language, op10_toxicity)}
+    operators = (
+        op1_shards, op2_quality, op3_mixing, op4_jaccard, op5_nearest, op6_pieces, op7_licenses, op8_language, op9_extract, op10_toxicity,
+    )
+    return {f.__name__: f for f in operators}
