@@ -19,22 +19,41 @@ from impactrec.staging import stage
 _RANGE = "_range"
 
 
+def _codes(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, list[tuple]]:
+    """The group of each row as a number, and the groups."""
+    codes = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in by:
+        encoded = batch.column(c).dictionary_encode()
+        codes = codes * len(encoded.dictionary) + encoded.indices.to_numpy(zero_copy_only=False)
+    _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+    columns = [batch.column(c).take(pa.array(first)).to_pylist() for c in by]
+    return codes, list(zip(*columns))
+
+
 def _sums_within(by: list[str], sums: list[str]):
     """A task function that adds the running totals of each group among the rows of the task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: dict[tuple, int] = {}
         for batch in batches:
-            groups = pa.Table.from_batches([batch]).select(by).to_pandas().groupby(by, sort=False).indices
-            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in sums]
-            totals = [np.empty(batch.num_rows, dtype=np.int64) for _ in sums]
-            for key, rows in groups.items():
-                for i, value in enumerate(values):
-                    running = np.cumsum(value[rows]) + carried.get((key, i), 0)
-                    totals[i][rows] = running
-                    carried[key, i] = int(running[-1])
+            if not batch.num_rows:
+                continue
+            codes, groups = _codes(batch, by)
+            rows = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[rows], np.arange(len(groups)), side="right")
+            totals = []
+            for i, c in enumerate(sums):
+                running = np.cumsum(batch.column(c).to_numpy(zero_copy_only=False)[rows])
+                upto = running[ends - 1]
+                before = np.concatenate([[0], upto[:-1]])
+                shift = np.array([carried.get((key, i), 0) for key in groups]) - before
+                running += np.repeat(shift, np.diff(ends, prepend=0))
+                carried.update(((key, i), int(t)) for key, t in zip(groups, upto + shift))
+                total = np.empty_like(running)
+                total[rows] = running
+                totals.append(pa.array(total))
             names = [*batch.schema.names, *[f"_local_{c}" for c in sums]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, totals)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *totals], names=names)
 
     return add
 
