@@ -58,8 +58,7 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
     """Learned from the labelled documents that aren't held out."""
-    known = labels.where(~held_out()).select("doc_id", "toxic")
-    return toxicity.fit(docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.fit(toxicity.labelled(docs.where(~held_out()), labels.where(~held_out())))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

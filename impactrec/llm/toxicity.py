@@ -137,6 +137,17 @@ def fit_machine(
     return bias, weights, factors
 
 
+def labelled(docs: DataFrame, labels: DataFrame, most: int = 500_000) -> DataFrame:
+    """``doc_id, text, toxic`` of about ``most`` labelled documents at most, those with a low hash of ``doc_id``.
+
+    The bound lets the labels be sent to the documents, whose texts are not shuffled.
+    """
+    known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    rate = min(1.0, most / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1_000_000)) < rate * 1_000_000)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+
+
 def fit(rows: DataFrame, per_label: int = 20_000, most_terms: int = 20_000) -> Model | None:
     """Learn from ``doc_id, text, toxic`` rows; rows without a label of 0 or 1 or without text are left out.
 
