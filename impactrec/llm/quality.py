@@ -9,12 +9,14 @@ that a line of a third of all documents is a few rows for a reducer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from impactrec.llm.tables import small
 from impactrec.llm.words import LOWER, SPACED, Texts, Words, as_long, mix, slices, span_hashes
@@ -26,8 +28,8 @@ WINDOW = 8
 
 _ROW = pa.struct([("line", pa.int64()), ("words", pa.int64())])
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCHEMA = (
-    "row_key long, doc_id long, host string, text_key long, "
+_NEW = (
+    "row_key long, host string, text_key long, "
     + ", ".join(f"{c} long" for c in _BASE)
     + ", lines array<struct<line long, words long>>"
 )
@@ -85,12 +87,10 @@ def _line_hashes(word_hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
     row = TaskContext.get().partitionId() << 33
     for batch in slices(batches, "text"):
-        column = batch.column("text")
-        texts = Texts(column)
+        kept = [c for c in batch.schema.names if c not in ("host", "text")]
+        texts = Texts(batch.column("text"))
         words = Words(texts)
         code_points = np.zeros(len(texts.data) + 1, np.int64)
         np.cumsum((texts.data & 0xC0) != 0x80, out=code_points[1:])
@@ -121,11 +121,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.arange(row, row + texts.n)), batch.column("doc_id"), batch.column("host"),
+                *[batch.column(c) for c in kept], pa.array(np.arange(row, row + texts.n)), batch.column("host"),
                 pa.array(as_long(whole)), *map(pa.array, (words.counts, chars, symbols, repeated, repeat_words)),
                 pa.ListArray.from_arrays(pa.array(bounds), inner),
             ],
-            names=["row_key", "doc_id", "host", "text_key", *_BASE, "lines"],
+            names=[*kept, "row_key", "host", "text_key", *_BASE, "lines"],
         )
         row += texts.n
 
@@ -137,16 +137,22 @@ def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
     return counted.where(F.col("texts") > limits.line_documents)
 
 
-def quality(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
+def quality(
+    docs: DataFrame, limits: Limits = Limits(), host: str = "source", keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
     """Word statistics of every text and the verdict ``kept``.
 
-    Returns ``doc_id``, the five base numbers, ``base_failed``, ``kept``, ``n_removed_lines`` and
+    Returns ``keep``, the five base numbers, ``base_failed``, ``kept``, ``n_removed_lines`` and
     ``n_left_words``. A null text counts as empty and fails; a null host is a host of its own.
     Repeated rows are each judged, and count once for the limits like other copies of a text.
     A host with few texts loses no line, since ``line_documents`` texts must hold it.
     """
-    rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text")
-    base = stage(rows.mapInArrow(_features, _SCHEMA))
+    kept = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    rows = docs.select(
+        *[F.col(c).alias(k) for c, k in zip(keep, kept.columns)], F.col(host).cast("string").alias("host"), "text"
+    )
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(_NEW).fields])
+    base = stage(rows.mapInArrow(_features, schema))
     key = F.struct(F.col("host").isNull(), F.coalesce("host", F.lit(""))).alias("host")
     lines = base.select("row_key", key, "text_key", F.explode("lines").alias("_l")).select(
         "row_key", "host", "text_key", F.col("_l.line").alias("line"), F.col("_l.words").alias("words")
@@ -170,6 +176,6 @@ def quality(docs: DataFrame, limits: Limits = Limits(), host: str = "source") ->
     )
     depleted = (left < limits.min_words) | (left < limits.min_left * F.col("n_words"))
     return joined.select(
-        "doc_id", *_BASE, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
+        *[F.col(k).alias(c) for c, k in zip(keep, kept.columns)], *_BASE, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
         F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"), left.alias("n_left_words"),
     )

@@ -8,12 +8,13 @@ all labelled rows; it is fitted on a bounded sample of them and scores whole tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from impactrec.llm.words import ALNUM, Texts, Words, mix, slices
 
@@ -123,6 +124,10 @@ def fit_machine(
             t = term[first + np.arange(lengths.sum())]
             out, sums = margins(own, t, len(rows), bias, weights, factors)
             pull = weight[rows] * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - label[rows])
+            seen_b += pull.sum() ** 2
+            bias -= rate * pull.sum() / np.sqrt(seen_b)
+            if not len(t):
+                continue
             used, place = np.unique(t, return_inverse=True)
             step_w = np.bincount(place, weights=pull[own], minlength=len(used)) + penalty * weights[used]
             each = pull[own, None] * (sums[own] - factors[t])
@@ -132,8 +137,6 @@ def fit_machine(
             weights[used] -= rate * step_w / np.sqrt(seen_w[used])
             seen_v[used] += step_v**2
             factors[used] -= 0.5 * rate * step_v / np.sqrt(seen_v[used])
-            seen_b += pull.sum() ** 2
-            bias -= rate * pull.sum() / np.sqrt(seen_b)
     return bias, weights, factors
 
 
@@ -188,27 +191,30 @@ def fit(rows: DataFrame, per_label: int = 20_000, most_terms: int = 20_000) -> M
     return Model(chosen, *fit_machine(owner, term, label, weight / weight.mean(), max(1, len(kept))))
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, score, predicted`` for every row, from ``text`` alone.
+def score(
+    docs: DataFrame, model: Model | None, threshold: float = 0.3, keep: Sequence[str] = ("doc_id",),
+    names: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
+    """``keep``, the score and the verdict (1 from ``threshold`` on) of every row, from ``text`` alone.
 
     Texts that are null or hold no chosen term get the score of the bias. Without a model every
     score is 0. Equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = list(keep)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "_text"):
             result = np.zeros(batch.num_rows)
             if machine is not None:
-                owner, term, n = _active(batch.column("text"), machine.chosen)
+                owner, term, n = _active(batch.column("_text"), machine.chosen)
                 out, _ = margins(owner, term, n, machine.bias, machine.weights, machine.factors)
                 result = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             flags = pa.array((result >= threshold).astype(np.int32))
-            kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(result), flags], names=[*kept, "score", "predicted"]
+                [*[batch.column(c) for c in keep], pa.array(result), flags], names=[*keep, *names]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, score double, predicted int")
+    schema = docs.select(*keep).schema.add(names[0], T.DoubleType()).add(names[1], T.IntegerType())
+    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(judge, schema)
