@@ -1,14 +1,19 @@
 """Near duplicates by an exact Jaccard join of n-gram sets with a prefix tree.
 
 1. Every text becomes the set of its word n-grams, as 64-bit hashes; equal sets are one class.
-2. Grams are put in one global order, rarest first, by their counts over the corpus. Two sets that
-   reach the threshold share one of the first grams of each (prefix filter). Sets that share such a
-   gram and have similar lengths are strung together, by links linear in number, and the
-   components of these links are blocks: every pair that can reach the threshold is in one block.
-3. The sets of a block go to one task and into a prefix tree in which sets with the same beginning
+2. Grams are put in one global order, rare ones first. Two sets that reach the threshold share one of
+   the first grams of each (prefix filter). Sets that share such a gram and have similar lengths are
+   strung together, by links linear in number, and the components of these links are blocks: every
+   pair that can reach the threshold is in one block. A block is divided by length: a set goes with
+   the sets of its own length band and of the next.
+   The order has three parts, so that not all grams need to be shuffled to be counted: a quarter of
+   all grams, chosen by hash and ordered by their exact counts; the other grams, by hash; and the
+   grams that are most frequent within tasks, a table of bounded size. Nearly all prefixes lie in the
+   first part, and a gram that only one set has is dropped there.
+3. The sets of a part go to one task and into a prefix tree in which sets with the same beginning
    share nodes. Every set walks the tree once: overlaps are counted once per shared node, and a
    subtree is left as soon as its lengths, or the grams left in both sets, can't reach the
-   threshold. A block too large for a task is cut into chunks, and every two chunks meet in a task.
+   threshold. A part too large for a task is cut into chunks, and every two chunks meet in a task.
 4. The links found, no more than one per set and task, give the components.
 
 No pair is emitted that is not a link, and no step has a limit beyond which pairs are lost.
@@ -16,23 +21,28 @@ No pair is emitted that is not a link, and no step has a limit beyond which pair
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from impactrec.llm.components import components
 from impactrec.llm.tables import small
 from impactrec.llm.words import Texts, Words, as_long, gram_hashes, mix, slices
 from impactrec.staging import stage
 
-COUNT_BITS = 18
-#: Grams of the sets that a task holds at once.
+#: Grams of a task that are counted at a time.
+COUNTED_GRAMS = 4_000_000
+#: Grams that come last in the order: the most frequent ones, as far as tasks can tell by themselves.
+FREQUENT = 1_000_000
+#: Grams of the sets that a task holds at once; of more, two chunks of half as many.
 BLOCK_GRAMS = 4_000_000
 #: Sets that may share a first gram in one task; more are salted.
 SHARERS = 100_000
 
+#: Grams with a hash below are counted exactly: a quarter of all.
+COUNTED = np.uint64(1 << 62)
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -75,15 +85,21 @@ def _needed(sizes, percent: int):
     return -(-(sizes * percent) // 100)
 
 
+def _band_width(percent: int) -> float:
+    """Of the logarithm of sizes: sets that can reach the threshold are in one band or in neighbouring ones."""
+    return float(np.log(100 / min(percent, 99)) * (1 + 1e-9))
+
+
 def _describe(n: int):
+    """One row per text, and rows ``gram, count`` of grams that several sets of a task share."""
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
         names = ["is_set", "doc_id", "n", "d1", "d2"]
-        kind = pa.int64()
+        done: set[int] = set()
+        waiting, held, kind = [], 0, pa.int64()
         for batch in slices(batches, "text"):
             kind = batch.column("doc_id").type
-            _, gram, sizes = gram_sets(batch.column("text"), n)
-            counts += np.bincount((gram >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
+            owner, gram, sizes = gram_sets(batch.column("text"), n)
             d1, d2 = _digests(gram, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -92,59 +108,106 @@ def _describe(n: int):
                 ],
                 names=names,
             )
-        found = np.flatnonzero(counts)
-        none = pa.nulls(len(found), kind)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(found), bool)), none, pa.array(counts[found]), pa.array(found), pa.array(found)],
-            names=names,
-        )
+            waiting.append(gram[_fresh(d1, sizes, done)[owner]])
+            held += len(waiting[-1])
+            if held > COUNTED_GRAMS:
+                yield _shared(waiting, kind, names)
+                waiting, held = [], 0
+        if held:
+            yield _shared(waiting, kind, names)
 
     return describe
 
 
-def _prefixes(n: int, percent: int, levels, sharers: int):
-    """Postings ``gram, salt, salted, band, d1`` of the first grams of each distinct set of a task.
+def _fresh(d1: np.ndarray, sizes: np.ndarray, done: set[int]) -> np.ndarray:
+    """Which sets haven't been seen in this task, empty ones left out; notes them as seen."""
+    fresh = np.zeros(len(sizes), bool)
+    for i in np.flatnonzero(sizes).tolist():
+        key = int(d1[i])
+        if key not in done:
+            done.add(key)
+            fresh[i] = True
+    return fresh
+
+
+def _shared(waiting: list[np.ndarray], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    gram, counts = np.unique(np.concatenate(waiting), return_counts=True)
+    gram, counts = as_long(gram[counts > 1]), counts[counts > 1]
+    zero = np.zeros(len(gram), np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(zero.astype(bool)), pa.nulls(len(gram), kind), pa.array(counts), pa.array(gram), pa.array(zero)],
+        names=names,
+    )
 
-    Sizes that can reach the threshold together are in the same length band or in the next.
+
+def frequent_grams(described: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams (sorted hashes) and their counts, at most ``most``.
+
+    Counts come from all sets by lossy counting: a gram that is alone among some millions of grams of a
+    task is not counted there. Any order of the grams gives the same result.
     """
-    width = np.log(100 / min(percent, 99)) * (1 + 1e-9)
+    counted = described.where("not is_set").groupBy(F.col("d1").alias("gram")).agg(F.sum("n").alias("n"))
+    # The least power of two that at most so many counts reach.
+    steps = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().collect()
+    above, least = 0, 0
+    for step, number in sorted(((r["step"], r["count"]) for r in steps), reverse=True):
+        above += number
+        if above > most:
+            least = 1 << (step + 1)
+            break
+    found = counted.where(F.col("n") >= max(least, 8)).toArrow()
+    gram = found.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], found.column("n").to_numpy()[order]
+
+
+_FRONT = "gram long, d1 long, band int, ahead int, first int, often long"
+
+
+def _fronts(n: int, percent: int, known):
+    """The grams of each distinct set of a task that can be among its first ones.
+
+    ``first`` is the length of the prefix and ``ahead`` the number of the set's grams in the first part
+    of the order. If that part is too short, what follows is given too, and all of it is in the prefix
+    (``first`` is the largest integer then). Sizes that can reach the threshold together are in the same
+    length band or in the next. ``often`` is the known count of a frequent gram.
+    """
+    width, whole = _band_width(percent), np.iinfo(np.int32).max
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, many = levels.value
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = known.value
         done: set[int] = set()
         for batch in slices(batches, "text"):
             owner, gram, sizes = gram_sets(batch.column("text"), n)
             d1, _ = _digests(gram, sizes)
-            fresh = np.zeros(len(sizes), bool)
-            for i in np.flatnonzero(sizes).tolist():
-                key = int(d1[i])
-                if key not in done:
-                    done.add(key)
-                    fresh[i] = True
-            kept = fresh[owner]
+            kept = _fresh(d1, sizes, done)[owner]
             owner, gram = owner[kept], gram[kept]
-            bucket = (gram >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-            order = np.lexsort((gram, level[bucket], owner))
-            owner, gram, bucket = owner[order], gram[order], bucket[order]
-            sizes = np.where(fresh, sizes, 0)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = place <= (sizes - _needed(sizes, percent))[owner]
-            owner, gram, bucket = owner[first], gram[first], bucket[first]
+            often = np.zeros(len(gram), np.int64)
+            if len(frequent):
+                place = np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)
+                often = np.where(frequent[place] == gram, counts[place], 0)
+            chosen = (gram < COUNTED) & (often == 0)
+            ahead = np.bincount(owner[chosen], minlength=len(sizes))
+            first = sizes - _needed(sizes, percent) + 1
+            short = ahead < first
+            # Sets with a short first part: the rest of their grams in order.
+            more = np.flatnonzero(~chosen & short[owner])
+            more = more[np.lexsort((gram[more], often[more], owner[more]))]
+            own = owner[more]
+            place = np.arange(len(more)) - np.searchsorted(own, own)
+            at = np.concatenate([np.flatnonzero(chosen), more[place < (first - ahead)[own]]])
+            owner = owner[at]
             band = np.floor(np.log(sizes[owner]) / width).astype(np.int32)
-            ways = 1 + many[bucket] // sharers
-            salt = (mix(d1[owner] ^ _SALT) % ways.astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(as_long(gram)), pa.array(salt), pa.array(ways > 1), pa.array(band),
-                    pa.array(as_long(d1[owner])),
+                    pa.array(as_long(gram[at])), pa.array(as_long(d1[owner])), pa.array(band),
+                    pa.array(ahead[owner].astype(np.int32)),
+                    pa.array(np.where(short, whole, first)[owner].astype(np.int32)), pa.array(often[at]),
                 ],
-                names=["gram", "salt", "salted", "band", "d1"],
+                names=["gram", "d1", "band", "ahead", "first", "often"],
             )
 
-    return prefixes
-
-
-_POSTING = "gram long, salt int, salted boolean, band int, d1 long"
+    return fronts
 
 
 def _string_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +231,9 @@ def _string_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         start = ~same | (step > 1)
         run = np.maximum.accumulate(np.where(start, np.arange(len(gram)), -1))
         head = np.where(run >= 0, d1[np.maximum(run, 0)], last[3] if last is not None else 0)
-        linked = head != d1
+        linked = np.flatnonzero(head != d1)
+        if len(linked):  # most grams of a pair of sets give the same link
+            linked = linked[np.unique(np.stack([head[linked], d1[linked]]), axis=1, return_index=True)[1]]
         band_head = salted & (~same | (step > 0))
         last = (gram[-1], salt[-1], band[-1], head[-1])
         yield pa.RecordBatch.from_arrays(
@@ -176,7 +241,7 @@ def _string_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 pa.array(np.concatenate([head[linked], d1[band_head]])),
                 pa.array(
                     np.concatenate([d1[linked], d1[band_head]]),
-                    mask=np.concatenate([np.zeros(linked.sum(), bool), np.ones(band_head.sum(), bool)]),
+                    mask=np.concatenate([np.zeros(len(linked), bool), np.ones(band_head.sum(), bool)]),
                 ),
                 pa.array(np.concatenate([gram[linked], gram[band_head]])),
                 pa.array(np.concatenate([band[linked], band[band_head]])),
@@ -313,9 +378,11 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def linked_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def linked_sets(
+    sets: list[np.ndarray], percent: int, probes: Sequence[int] | None = None
+) -> list[tuple[int, int]]:
     """Links between sets of gram hashes, as a forest: two sets are in one tree of it if and only if
-    links lead from one to the other."""
+    links lead from one to the other. With ``probes``, only links of these sets count."""
     whole = np.concatenate(sets)
     known, local, counts = np.unique(whole, return_inverse=True, return_counts=True)
     rank = np.empty(len(known), np.int64)
@@ -324,8 +391,8 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     ordered = [np.sort(s) for s in np.split(rank[local], cuts)]
     tree = PrefixTree(ordered, len(known))
     parent, forest = list(range(len(sets))), []
-    for r, probe in enumerate(ordered):
-        for other in tree.walk(probe, percent).tolist():
+    for r in range(len(sets)) if probes is None else probes:
+        for other in tree.walk(ordered[r], percent).tolist():
             a, b = _find(parent, r), _find(parent, other)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -341,7 +408,9 @@ def _block_links(percent: int):
         kept = sorted(first.values())
         packed = rows.column("grams").combine_chunks()
         sets = [np.frombuffer(packed[i].as_buffer(), np.uint64) for i in kept]
-        forest = linked_sets(sets, percent) if len(sets) > 1 else []
+        own = rows.column("own").to_pylist()
+        probes = [place for place, i in enumerate(kept) if own[i]]
+        forest = linked_sets(sets, percent, probes) if len(sets) > 1 and probes else []
         return pa.table(
             {
                 "a": pa.array([digests[kept[a]] for a, _ in forest], pa.binary()),
@@ -354,13 +423,23 @@ def _block_links(percent: int):
 
 def _candidate_links(docs: DataFrame, described: DataFrame, n: int, percent: int, sharers: int) -> DataFrame:
     """Links ``a, b`` between hashes of sets whose components hold every pair that can be similar."""
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    # As many rows as there are buckets.
-    summed = described.where("not is_set").groupBy("d1").agg(F.sum("n").alias("n")).toArrow()
-    counts[summed.column("d1").to_numpy()] = summed.column("n").to_numpy()
-    level = np.log2(counts + 1).astype(np.uint8)
-    levels = docs.sparkSession.sparkContext.broadcast((level, counts))
-    postings = docs.select("text").mapInArrow(_prefixes(n, percent, levels, sharers), _POSTING)
+    known = docs.sparkSession.sparkContext.broadcast(frequent_grams(described, FREQUENT))
+    fronts = docs.select("text").mapInArrow(_fronts(n, percent, known), _FRONT)
+    of_gram, of_set = Window.partitionBy("gram"), Window.partitionBy("d1")
+    shared = (
+        fronts.repartition("gram")
+        .dropDuplicates(["gram", "d1"])
+        .withColumn("count", F.count(F.lit(1)).over(of_gram))
+        .where("count > 1")
+    )
+    # Grams that no other set has come first in a set; they were dropped, but they count for the place.
+    place = F.col("ahead") - F.count(F.lit(1)).over(of_set) + F.row_number().over(of_set.orderBy("count", "gram")) - 1
+    prefixes = shared.withColumn("place", place).where("place < first")
+    many = F.greatest("often", "count")
+    ways = F.lit(1) + F.floor(many / sharers)
+    postings = prefixes.select(
+        "gram", F.pmod(F.xxhash64("d1"), ways).cast("int").alias("salt"), (ways > 1).alias("salted"), "band", "d1"
+    )
     strung = stage(_strung(postings))
     # Postings of a salted gram: the heads of its bands, in one task.
     heads = strung.where("b is null").select(
@@ -393,36 +472,43 @@ def near_duplicates(
 
     blocks = components(_candidate_links(texts, described, n, percent, sharers))
     blocked = blocks.select(F.col("node").alias("d1"), F.col("root").alias("block"))
-    members = stage(sets.join(blocked, "d1"))
-    sizes = members.groupBy("block").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"))
-    sizes = stage(
-        sizes.where("sets > 1").select("block", F.ceil(2 * F.col("total") / block_grams).cast("int").alias("ways"))
+    band = F.floor(F.log("n") / _band_width(percent)).cast("int")
+    # Slot k holds the sets of band k, its own, and those of band k - 1.
+    members = sets.join(blocked, "d1").select("*", band.alias("band"))
+    members = stage(
+        members.withColumn("slot", F.explode(F.array("band", F.col("band") + 1))).withColumn("own", F.expr("slot = band"))
+    )
+    sizes = members.groupBy("block", "slot").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"), F.count_if("own").alias("owned")
     )
-    chunk = F.when(F.col("total_ways") <= 2, 0).otherwise(F.pmod(F.xxhash64("d2"), F.col("total_ways")))
+    # Of a part in chunks, two meet in a task.
+    ways = F.when(F.col("total") <= block_grams, 1).otherwise(F.ceil(2 * F.col("total") / block_grams)).cast("int")
+    sizes = sizes.where("sets > 1 and owned > 0").select("block", "slot", ways.alias("chunks"))
     to_send = stage(
-        members.join(sizes.withColumnRenamed("ways", "total_ways"), "block").select(
-            F.col("rep").alias("doc_id"), F.col("d1").alias("k1"), F.col("d2").alias("k2"), "block",
-            chunk.cast("int").alias("chunk"),
-            F.when(F.col("total_ways") <= 2, 1).otherwise(F.col("total_ways")).alias("chunks"),
+        members.join(sizes, ["block", "slot"]).select(
+            F.col("rep").alias("doc_id"), F.col("d1").alias("k1"), F.col("d2").alias("k2"), "block", "slot", "own",
+            "chunks", F.pmod(F.xxhash64("d2"), F.col("chunks")).cast("int").alias("chunk"),
         )
     )
-    sent = "block long, chunk int, chunks int, d1 long, d2 long, digest binary, grams binary"
+    sent = "block long, slot int, own boolean, chunks int, chunk int, d1 long, d2 long, digest binary, grams binary"
+    place = ["block", "slot", "own", "chunks", "chunk"]
     # Ids may repeat with other texts: the hashes say which text is meant.
     claimed = texts.join(small(to_send, to_send.count()), "doc_id")
-    by_id = claimed.select("text", "k1", "k2", "block", "chunk", "chunks").mapInArrow(
+    by_id = claimed.select("text", "k1", "k2", *place).mapInArrow(
         _sets_of(n), "k1 long, k2 long, " + sent
     )
     unnamed = texts.where("doc_id is null").select("text").mapInArrow(
         _sets_of(n), "d1 long, d2 long, digest binary, grams binary"
     )
-    by_hash = to_send.where("doc_id is null").select("k1", "k2", "block", "chunk", "chunks")
+    by_hash = to_send.where("doc_id is null").select("k1", "k2", *place)
     by_hash = unnamed.join(by_hash, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
     packed = by_id.where("d1 = k1 and d2 = k2").unionByName(by_hash)
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    pairs = packed.select("block", "chunk", other.alias("other"), "digest", "grams").select(
-        "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "digest", "grams"
+    pairs = packed.select("block", "slot", "own", "chunk", other.alias("other"), "digest", "grams").select(
+        "block", "slot", "own", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        "digest", "grams",
     )
-    links = stage(pairs.groupBy("block", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary"))
+    links = stage(pairs.groupBy("block", "slot", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary"))
 
     digest = F.unhex(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0")))
     roots = components(links).withColumnRenamed("node", "digest")
