@@ -40,7 +40,8 @@ def slot(df: DataFrame, column: str, k: int) -> Column:
 def key_bucket(key: str, seed: int, modulus: int = 100) -> Column:
     """A bucket in ``[0, modulus)`` that depends on the key and seed alone.
 
-    Taken from the first eight hex digits of an MD5 digest, so any engine can repeat it.
+    Taken from the first eight hex digits of an MD5 digest, so any engine can repeat it; they
+    fill the range up to ``2 ** 32``. A NULL key is read as an empty text.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % modulus

@@ -10,7 +10,7 @@ from impactrec.operators.encode import (
     string_indexer,
     use_feature_set,
 )
-from impactrec.operators.metrics import auc, class_metrics, classification_metrics, confusion, mean_auc, roc
+from impactrec.operators.metrics import auc, class_metrics, classification_metrics, confusion, mean_auc, roc, unlabelled_rows
 from impactrec.operators.models import (
     DEFAULT_PARAMS,
     aligned_scores,
@@ -42,7 +42,7 @@ from impactrec.operators.reduce import (
     select_features,
 )
 from impactrec.operators.split import split_by_key, split_part, split_random
-from impactrec.operators.stats import chi_square, corr_matrix, corr_pair
-from impactrec.operators.tune import DEFAULT_SPACE, refit, sample_space, tune_random
+from impactrec.operators.stats import chi_square, chi_square_test, corr_matrix, corr_pair
+from impactrec.operators.tune import DEFAULT_SPACE, refit, refit_found, sample_space, tune_random
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -11,10 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from impactrec.functions.expressions import flag, is_missing
+from impactrec.functions.ordering import running_totals
 from impactrec.sources.schema import FEATURE_SETS, slot_names
-
-# Far more values than a tree can split on or a one-hot vector should hold.
-MAX_CATEGORIES = 10_000
+from impactrec.staging import stage
 
 
 @dataclass(frozen=True)
@@ -63,29 +62,36 @@ def use_feature_set(df: DataFrame, name: str = "full") -> DataFrame:
     return df.drop(*FEATURE_SETS[name])
 
 
+def _category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(name, value, n)``: every known value of every column with its count."""
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols])
+    return (
+        df.select(F.explode(cells).alias("cell"))
+        .where("cell.value IS NOT NULL")
+        .groupBy("cell.name", "cell.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def string_indexer(
     df: DataFrame, cols: Sequence[str], handle_invalid: str = "skip", suffix: str = "_index",
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> PipelineModel:
     """Fitted indices, one stage per column: by descending frequency, ties in value order.
 
     ``skip`` drops rows with a NULL or unseen value, ``keep`` gives them an index of their own.
-    All columns are counted in one shuffle, so that no task holds every value. Only columns of
-    at most ``max_categories`` values reach the driver, where the model keeps them: a free-text
-    column is an error, not a full driver.
+    All columns are counted in one shuffle, so that no task holds every value. The model keeps
+    them on the driver; with ``max_categories``, a column of more values is an error instead of a
+    full driver. ``index_strings`` needs no model and has no such limit.
     """
     names = list(cols)
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])
-    counts = (
-        df.select(F.explode(cells).alias("cell"))
-        .where("cell.value IS NOT NULL")
-        .groupBy("cell.name", "cell.value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = _category_counts(df, names)
+    if max_categories is not None:
+        counts = counts.limit(max_categories * len(names) + 1)
     labels: dict[str, list[tuple[int, str]]] = {c: [] for c in names}
-    for name, value, n in counts.limit(max_categories * len(names) + 1).collect():
+    for name, value, n in counts.collect():
         labels[name].append((-n, value))
-    crowded = [c for c, found in labels.items() if len(found) > max_categories]
+    crowded = [c for c, found in labels.items() if max_categories is not None and len(found) > max_categories]
     if crowded:
         raise ValueError(f"more than {max_categories} categories: {', '.join(crowded)}")
     return PipelineModel([
@@ -96,8 +102,26 @@ def string_indexer(
     ])
 
 
-def index_strings(df: DataFrame, cols: Sequence[str], handle_invalid: str = "skip") -> DataFrame:
-    return string_indexer(df, cols, handle_invalid).transform(df)
+def index_strings(
+    df: DataFrame, cols: Sequence[str], handle_invalid: str = "skip", suffix: str = "_index"
+) -> DataFrame:
+    """Add the index of every value, as ``string_indexer`` numbers them, for columns of any number of values.
+
+    Values are ranked along ranges and joined back, so that no machine holds them all. ``skip``
+    drops rows with a NULL, ``keep`` gives them the number after the last index.
+    """
+    counts = stage(_category_counts(df, cols).withColumn("one", F.lit(1).cast("bigint")))
+    order = [F.desc("n"), F.col("value")]
+    ranks = stage(running_totals(counts, ["name"], order, ["one"], keep=["value"]).select("name", "value", "cum_one"))
+    sizes = {r["name"]: r["n"] for r in ranks.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for c in cols:
+        index = (F.col("cum_one") - 1).cast("double").alias(c + suffix)
+        known = ranks.where(F.col("name") == c).select(F.col("value").alias("_value"), index)
+        same = F.col(c).cast("string") == F.col("_value")
+        df = df.join(known, same, "inner" if handle_invalid == "skip" else "left").drop("_value")
+        if handle_invalid == "keep":
+            df = df.withColumn(c + suffix, F.coalesce(c + suffix, F.lit(float(sizes.get(c, 0)))))
+    return df
 
 
 def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -12,12 +12,20 @@ from impactrec.sources.schema import LABEL
 
 
 def confusion(df: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    """``(label, prediction, n)``; every metric below needs only this small table."""
-    return df.groupBy(
+    """``(label, prediction, n)``; every metric below needs only this small table.
+
+    Rows without a label are left out, as in training and in areas; ``unlabelled_rows`` counts them.
+    """
+    return df.where(F.col(label).isNotNull()).groupBy(
         F.col(label).cast("double").alias("label"), F.col(prediction).cast("double").alias("prediction")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def unlabelled_rows(df: DataFrame, label: str = LABEL) -> DataFrame:
+    """``(n_rows, n_unlabelled)``: how many scored rows no metric covers."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(label).isNull()).alias("n_unlabelled"))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     """``a / b``, and 0 where ``b`` is 0."""
     return F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -35,7 +36,6 @@ DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
 _CLASSIFIERS = {"dt": DecisionTreeClassifier, "rf": RandomForestClassifier, "ovr_gbt": GBTClassifier}
 _WHOLE_NUMBERS = {"numTrees", "maxDepth", "maxBins", "minInstancesPerNode", "maxIter"}
 _SPARK_MAX_BINS = 32
-_MAX_CLASSES = 100
 _MODELS_AT_ONCE = 8
 
 
@@ -66,12 +66,9 @@ def bins_needed(features: PipelineModel) -> int:
 
 
 def class_values(df: DataFrame, label: str = LABEL) -> list[int]:
-    """The classes present, in order."""
+    """The classes present, in order. A model keeps them all, so they are few by nature."""
     known = df.select(label).where(F.col(label).isNotNull()).distinct()
-    found = [int(r[0]) for r in known.limit(_MAX_CLASSES + 1).collect()]
-    if len(found) > _MAX_CLASSES:
-        raise ValueError(f"{label} has more than {_MAX_CLASSES} classes")
-    return sorted(found)
+    return sorted(int(r[0]) for r in known.collect())
 
 
 def _with_classes(df: DataFrame, column: str, count: int) -> DataFrame:
@@ -95,11 +92,14 @@ def classifier(algo: str, params: dict[str, Any] | None, seed: int, label: str,
 
 def fit_classifier(
     prepared: DataFrame, algo: str, params: dict[str, Any] | None, seed: int, label: str, min_bins: int,
-    parallelism: int | None = None,
+    parallelism: int | None = None, classes: list[int] | None = None,
 ) -> list:
-    """Fit on a table with ``features`` and the label; returns the stages that score."""
+    """Fit on a table with ``features`` and the label; returns the stages that score.
+
+    ``classes`` are looked up unless given.
+    """
     rows = prepared.select("features", label).where(F.col(label).isNotNull())
-    classes = class_values(rows, label)
+    classes = classes or class_values(rows, label)
     if algo != "ovr_gbt":
         fitted = classifier(algo, params, seed, label, min_bins).fit(
             _with_classes(rows, label, classes[-1] + 1)
@@ -164,12 +164,18 @@ def aligned_scores(scored: DataFrame, classes: list[int], raw: str = "rawPredict
     """Add ``class_scores``, an array whose slot is the class, from one-vs-rest raw scores."""
     values = vector_to_array(F.col(raw))
     slots = [
-        values[classes.index(c)] if c in classes else F.lit(None).cast("double")
+        F.get(values, F.lit(classes.index(c))) if c in classes else F.lit(None).cast("double")
         for c in range(max(classes) + 1)
     ]
     return scored.withColumn("class_scores", F.array(*slots))
 
 
+def model_classes(model: PipelineModel) -> list[int]:
+    """The classes a one-vs-rest model was trained on, in the order of its raw scores."""
+    back = next(s for s in model.stages if isinstance(s, SQLTransformer))
+    return [int(c) for c in re.search(r"array\(([^)]*)\)", back.getStatement())[1].split(",")]
+
+
 def model_stages(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``(position, stage, input_column)`` of every stage of a fitted pipeline."""
     rows = []

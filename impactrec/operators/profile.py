@@ -71,9 +71,18 @@ def _is_numeric(df: DataFrame, column: str) -> bool:
 
 
 def _described(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
+    """The given columns, or all whose values have an order that text can show."""
     if cols is not None:
         return list(cols)
-    return [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
+    kinds = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return [f.name for f in df.schema if isinstance(f.dataType, kinds)]
+
+
+def _mean(df: DataFrame, column: str, value: Column) -> Column:
+    """The mean as a double; whole numbers are added exactly, as their sum may not fit a double."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        value = value.cast("decimal(29,10)")
+    return F.avg(value).cast("double")
 
 
 def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -147,8 +156,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float]
     return _quantiles_of(frequencies, probabilities).select(_column_name(cols), "probability", "value")
 
 
-def _percent_name(probability: Column) -> Column:
-    return F.concat(F.round(probability * 100).cast("int").cast("string"), F.lit("%"))
+def _percent_name(probability: float) -> str:
+    return f"{float(probability) * 100:.12g}%"
 
 
 def describe_long(
@@ -166,7 +175,7 @@ def describe_long(
         numeric = _is_numeric(df, c)
         stats = {"count": F.count(c).cast("double"), "min": F.min(c), "max": F.max(c)}
         if numeric:
-            stats |= {"mean": F.avg(c), "stddev": F.stddev_samp(c)}
+            stats |= {"mean": _mean(df, c, F.col(c)), "stddev": F.stddev_samp(c)}
         for name, value in stats.items():
             as_text = not numeric and name != "count"
             cells.append(
@@ -174,17 +183,18 @@ def describe_long(
                     F.lit(c).alias("column_name"),
                     F.lit(name).alias("stat"),
                     (no_number if as_text else value.cast("double")).alias("value"),
-                    (value if as_text else no_text).alias("text"),
+                    (value.cast("string") if as_text else no_text).alias("text"),
                 )
             )
     summary = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
     if not percentiles:
         return summary
     numbers = [c for c in names if _is_numeric(df, c)]
-    ranks = quantiles(df, numbers, percentiles).select(
-        "column_name", _percent_name(F.col("probability")).alias("stat"), "value", no_text.alias("text")
-    )
-    return summary.unionByName(ranks)
+    # A column without values has its rows too.
+    wanted = [(c, float(p), _percent_name(p)) for c in numbers for p in percentiles]
+    named = df.sparkSession.createDataFrame(wanted, "column_name string, probability double, stat string")
+    found = named.join(quantiles(df, numbers, percentiles), ["column_name", "probability"], "left")
+    return summary.unionByName(found.select("column_name", "stat", "value", no_text.alias("text")))
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
@@ -203,13 +213,6 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
     known_number = F.col("number").isNotNull() & ~F.isnan("number")
     known_text = F.col("number").isNull() & F.col("text").isNotNull() & (F.col("text") != SENTINEL)
     known = known_number | known_text
-    n, number = F.col("n"), F.when(known_number, F.col("number"))
-    total = F.sum(F.when(known_number, n))
-    # One mean per column; deviations from it do not cancel.
-    found = frequencies.groupBy("column_id").agg((F.sum(n * number) / total).alias("mean")).collect()
-    means = {row.column_id: row.mean for row in found}
-    mean = F.get(F.array(*[F.lit(means.get(i)).cast("double") for i in range(len(names))]), F.col("column_id"))
-    squares = F.sum(n * (number - mean) * (number - mean))
     counted = frequencies.groupBy("column_id").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
@@ -218,9 +221,9 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
         F.max(F.when(known_number, F.col("number"))).alias("max"),
         F.min(F.when(known_text, F.col("text"))).alias("min_text"),
         F.max(F.when(known_text, F.col("text"))).alias("max_text"),
-        F.max(mean).alias("mean"),
-        F.sqrt(squares / F.nullif(total - 1, F.lit(0))).alias("stddev"),
     )
+    # Moments of the rows themselves: their partial results merge without cancelling.
+    moments = df.agg(F.array(*[_moments(df, i, c) for i, c in enumerate(names)]).alias("m")).select(F.inline("m"))
     quarters = _quantiles_of(frequencies, QUARTILES).groupBy("column_id").agg(
         *[
             F.max(F.when(F.col("probability") == p, F.col("value"))).alias(f"p{round(p * 100)}")
@@ -228,7 +231,20 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
         ]
     )
     # One row per column on either side.
-    return counted.join(quarters, "column_id", "left").select(_column_name(names), "*").drop("column_id")
+    joined = counted.join(moments, "column_id").join(quarters, "column_id", "left")
+    shown = ["n_rows", "n_missing", "n_distinct", "min", "max", "min_text", "max_text", "mean", "stddev"]
+    return joined.select(_column_name(names), *shown, *[c for c in quarters.columns if c != "column_id"])
+
+
+def _moments(df: DataFrame, i: int, column: str) -> Column:
+    """Position, mean and standard deviation of a column; the latter two NULL unless it is numeric."""
+    mean = stddev = F.lit(None).cast("double")
+    if _is_numeric(df, column):
+        value = F.col(column)
+        if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(column), value)
+        mean, stddev = _mean(df, column, value), F.stddev_samp(value)
+    return F.struct(F.lit(i).alias("column_id"), mean.alias("mean"), stddev.alias("stddev"))
 
 
 def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:
@@ -236,7 +252,8 @@ def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:
     rows = F.sum("rows")
     for i, c in enumerate(names):
         numeric = _is_numeric(df, c)
-        raw = F.col(c).cast("double") if numeric else F.col(c)
+        whole = isinstance(df.schema[c].dataType, T.IntegralType)
+        raw = F.col(c).cast("double" if numeric else "string")
         known = raw.isNotNull() & (~F.isnan(raw) if numeric else raw != SENTINEL)
         value = F.when(known, raw)
         parts += [
@@ -250,15 +267,16 @@ def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:
         quarters = [F.lit(None).cast("double")] * len(QUARTILES)
         if numeric:
             parts += [
-                F.avg(value).alias(f"mean{i}"),
+                _mean(df, c, F.when(known, F.col(c))).alias(f"mean{i}"),
                 F.var_pop(value).alias(f"var{i}"),
+                F.sum(F.when(known, F.col(c)).cast("decimal(20,0)") if whole else value).alias(f"sum{i}"),
                 F.kll_sketch_agg_double(value).alias(f"order{i}"),
             ]
-            n, m = F.col(f"n{i}"), F.col(f"mean{i}")
-            mean = F.sum(n * m) / F.nullif(F.sum(n), F.lit(0))
-            # Variance within the groups plus variance of their means.
-            squares = F.sum(n * F.col(f"var{i}")) + F.sum(n * m * m) - F.sum(n) * mean * mean
-            stddev = F.sqrt(F.greatest(squares, F.lit(0.0)) / F.nullif(F.sum(n) - 1, F.lit(0)))
+            n = F.col(f"n{i}")
+            filled = F.struct(n.alias("n"), F.col(f"mean{i}").alias("m"), F.col(f"var{i}").alias("v"))
+            mean, stddev = _merged_moments(F.collect_list(F.when(n > 0, filled)), F.sum(n))
+            if whole:
+                mean = (F.sum(f"sum{i}") / F.nullif(F.sum(n), F.lit(0))).cast("double")
             merged = F.kll_merge_agg_double(f"order{i}")
             quarters = [F.kll_sketch_get_quantile_double(merged, F.lit(p)) for p in QUARTILES]
             quarters = [F.when(F.sum(n) > 0, q) for q in quarters]
@@ -281,8 +299,23 @@ def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:
     return first.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+def _merged_moments(groups: Column, rows: Column) -> tuple[Column, Column]:
+    """Mean and standard deviation from counts, means and variances of at most ``_MERGE_FANOUT`` groups.
+
+    Everything is taken relative to the first group's mean and then to the mean of all, so that no
+    large numbers cancel.
+    """
+    total, first, zero = F.nullif(rows, F.lit(0)), F.get(groups, F.lit(0))["m"], F.lit(0.0)
+    mean = first + F.aggregate(groups, zero, lambda s, g: s + g["n"] * (g["m"] - first)) / total
+    squares = F.aggregate(groups, zero, lambda s, g: s + g["n"] * (g["v"] + (g["m"] - mean) * (g["m"] - mean)))
+    return mean, F.sqrt(squares / F.nullif(rows - 1, F.lit(0)))
+
+
 def column_histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Equal-width histogram ``(bucket, lower, upper, n)`` between the least and greatest value."""
+    """Equal-width histogram ``(bucket, lower, upper, n)`` between the least and greatest value.
+
+    Empty bins have a row; a column of one value has one bin.
+    """
     value = F.col(column).cast("double")
     known = df.select(value.alias("v")).where(value.isNotNull() & ~F.isnan(value))
     # The two bounds reach the scan as a one-row scalar subquery.
@@ -291,9 +324,10 @@ def column_histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     place = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     )
-    return (
-        known.groupBy(place.cast("int").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("bucket", (low + F.col("bucket") * width).alias("lower"),
-                (low + (F.col("bucket") + 1) * width).alias("upper"), "n")
+    filled = known.groupBy(place.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bucket"))
+    every = every.where((width > 0) | ((F.col("bucket") == 0) & (width == 0)))
+    return every.join(filled, "bucket", "left").select(
+        "bucket", (low + F.col("bucket") * width).alias("lower"),
+        (low + (F.col("bucket") + 1) * width).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"),
     )

@@ -10,8 +10,8 @@ from impactrec.functions.expressions import scores_array
 from impactrec.functions.ordering import running_totals
 from impactrec.sources.schema import KEY, LABEL
 
-# Up to this rank Catalyst itself cuts each task's rows before a ranking window shuffles them.
-_GROUP_LIMIT = 1000
+# A frequent type is cut in this many parts before its best rows meet in one task.
+_PARTS = 64
 
 
 def recommend(
@@ -19,7 +19,7 @@ def recommend(
     classes: Sequence[int] = (1, 2),
     by: str = "probability",
     type: str | None = None,
-    n: int | None = 20,
+    n: int | None = None,
     per_type: bool = False,
     key: str = KEY,
     label: str = LABEL,
@@ -28,7 +28,7 @@ def recommend(
 
     ``by`` names a score column, ordered slot by slot, greatest first, or is ``prediction``
     for the order of the classes. Ties go by key. ``type`` keeps one garment type, and
-    ``per_type`` returns the ``n`` best of every type with their ``rank``. ``n=None`` returns all.
+    ``per_type`` returns the ``n`` best of every type with their ``rank``. Without ``n`` all are returned.
     """
     best = scored.where(F.col("prediction").isin([float(c) for c in classes]))
     if type is not None:
@@ -40,15 +40,18 @@ def recommend(
         order = [F.col(by).desc(), F.col(key).asc()]
     table = best.select(key, "Type", shown, label)
     if per_type:
-        return _top_per_type(table, order, n)
+        return _top_per_type(table, order, n, key)
     ordered = table.orderBy(*order)
     return ordered if n is None else ordered.limit(n)
 
 
-def _top_per_type(table: DataFrame, order: list[Column], n: int | None) -> DataFrame:
-    if n is not None and n <= _GROUP_LIMIT:
+def _top_per_type(table: DataFrame, order: list[Column], n: int | None, key: str) -> DataFrame:
+    if n is not None:
+        # The n best of a type are among the n best of each of its parts.
+        part = F.pmod(F.xxhash64(key), F.lit(_PARTS))
+        first = table.withColumn("rank", F.row_number().over(Window.partitionBy("Type", part).orderBy(*order)))
         ranking = Window.partitionBy("Type").orderBy(*order)
-        return table.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= n)
+        return first.where(F.col("rank") <= n).withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= n)
     # A frequent type must not be ranked whole by one task: count along ranges instead.
     ones = table.select(
         "*",
@@ -56,7 +59,6 @@ def _top_per_type(table: DataFrame, order: list[Column], n: int | None) -> DataF
         F.coalesce("Type", F.lit("")).alias("_type"),
         F.lit(1).cast("bigint").alias("one"),
     )
-    ranked = running_totals(ones, ["_untyped", "_type"], order, ["one"]).select(
+    return running_totals(ones, ["_untyped", "_type"], order, ["one"]).select(
         *table.columns, F.col("cum_one").cast("int").alias("rank")
     )
-    return ranked if n is None else ranked.where(F.col("rank") <= n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     PCA,
@@ -13,10 +14,13 @@ from pyspark.ml.feature import (
     StandardScaler,
     UnivariateFeatureSelector,
     VectorAssembler,
+    VectorSlicer,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from impactrec.operators.encode import string_indexer
+from impactrec.operators.stats import chi_square_test
 from impactrec.sources.schema import KEY, LABEL, categorical_columns, numeric_columns, slot_names
 
 
@@ -32,9 +36,9 @@ def feature_pipeline(
 ) -> Pipeline:
     """Index, optionally one-hot encode, assemble, and keep the ``k`` features best by chi-square.
 
-    The categories are those of ``df``. The test takes every distinct number as a category;
-    ``bins`` first cuts the numeric columns into that many quantile bins, which a continuous
-    column needs at scale.
+    The categories are those of ``df``. The test takes every distinct number as a category, and
+    Spark's own test, the stage that ``k`` adds, refuses a column of more than 10,000; ``bins``
+    first cuts the numeric columns into that many quantile bins. ``select_features`` has no limit.
     """
     stages, inputs, categories = [], list(numeric), []
     if categorical:
@@ -75,13 +79,25 @@ def select_features(
     key: str = KEY,
     bins: int | None = None,
 ) -> Selection:
-    """Fit the selection pipeline; ``names`` are the chosen slots, one-hot slots included."""
+    """Keep the ``k`` slots with the least p-value, one-hot slots included; ``names`` are these.
+
+    Every distinct value is a category, whatever their number, unless ``bins`` cuts the numbers.
+    Ties go to the greater statistic, then to the earlier slot. Rows without a label are not tested.
+    """
     categorical = categorical_columns(df) if categorical is None else categorical
     numeric = numeric_columns(df, (key, label)) if numeric is None else numeric
-    model = feature_pipeline(df, categorical, numeric, label, k=k, bins=bins).fit(df)
-    table = model.transform(df)
-    slots = slot_names(table, "features")
-    return Selection(model, table, [slots[i] for i in model.stages[-1].selectedFeatures])
+    model = feature_pipeline(df, categorical, numeric, label, k=None, bins=bins).fit(df)
+    slots = slot_names(model.transform(df), "features")
+    values = vector_to_array(F.col("features"))
+    columns = [f"s{i}" for i in range(len(slots))]
+    labelled = model.transform(df).where(F.col(label).isNotNull())
+    cells = labelled.select(F.col(label).alias("_label"), *[values[i].alias(c) for i, c in enumerate(columns)])
+    tested = {r.feature: (r.p_value, -r.statistic) for r in chi_square_test(cells, columns, "_label").collect()}
+    best = sorted(range(len(slots)), key=lambda i: (*tested.get(columns[i], (1.0, 0.0)), i))
+    chosen = sorted(best[:k])
+    slicer = VectorSlicer(inputCol="features", outputCol="selectedFeatures", indices=chosen)
+    model = PipelineModel([*model.stages, slicer])
+    return Selection(model, model.transform(df), [slots[i] for i in chosen])
 
 
 class Components(NamedTuple):
@@ -116,6 +132,8 @@ def pca(df: DataFrame, cols: Sequence[str], k: int | None = None) -> Components:
     spark = df.sparkSession
     ratios = [(i + 1, float(v)) for i, v in enumerate(fitted.explainedVariance)]
     weights = fitted.pc.toArray()
+    # A component is as good with its sign changed: the largest loading is positive.
+    weights = weights * np.sign(weights[np.abs(weights).argmax(axis=0), np.arange(weights.shape[1])])
     loadings = [
         (component + 1, name, float(weights[row, component]))
         for component in range(weights.shape[1])

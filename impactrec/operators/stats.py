@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NULL_RULES = ("zero", "pairwise")
-_ROUNDING = 1e-24
-_MOMENTS = ["i", "j", "n", "mx", "my", "cxy", "vx", "vy"]
+# What rounding leaves of a sum of squares less the square of the sum.
+_ROUNDING = 1e-13
+_SUMS = ["i", "j", "n", "sx", "sy", "sxy", "sxx", "syy"]
 
 
 def _check_rule(nulls: str) -> None:
@@ -38,93 +40,66 @@ def corr_pair(df: DataFrame, a: str, b: str, nulls: str = "zero") -> DataFrame:
     return df.agg(_pearson(x, y).alias("corr"))
 
 
-def _pair_moments(width: int):
-    """A task function that reduces its rows to co-moments per pair of columns.
+def _pair_sums(shifts: np.ndarray):
+    """A task function that reduces its rows to sums per pair of columns, of values less their shift.
 
-    Per batch the sums come from matrix products of centred values; batches are merged by
-    the update rule for means and central moments, so no large sums cancel. Entry ``[i, j]``
-    covers the rows where both columns have a value.
+    Per batch the sums are matrix products. Entry ``[i, j]`` covers the rows where both columns have
+    a value.
     """
-
-    def of_full_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        x = np.array([c.to_numpy() for c in batch.columns])
-        mean = x.mean(axis=1, keepdims=True)
-        x -= mean
-        cross = x @ x.T
-        wide = np.ones((1, width))
-        return wide.T @ wide * batch.num_rows, mean @ wide, cross, np.diag(cross)[:, None] @ wide
+    width = len(shifts)
 
     def of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        if not any(c.null_count for c in batch.columns):
-            return of_full_batch(batch)
         seen = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
-        x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], dtype=float)
-        x[~seen] = 0.0
-        shift = x.sum(axis=1, keepdims=True) / np.maximum(seen.sum(axis=1, keepdims=True), 1)
-        x = np.where(seen, x - shift, 0.0)
-        mask = seen.astype(float)
-        n = mask @ mask.T
-        safe = np.maximum(n, 1.0)
-        sums = x @ mask.T
-        cross = x @ x.T - sums * sums.T / safe
-        spread = (x * x) @ mask.T - sums * sums / safe
-        return n, sums / safe + shift, cross, spread
-
-    def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        n = a[0] + b[0]
-        step, share = b[1] - a[1], b[0] / np.maximum(n, 1.0)
-        weight = a[0] * share
-        return n, a[1] + step * share, a[2] + b[2] + step * step.T * weight, a[3] + b[3] + step * step * weight
+        x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], dtype=float) - shifts[:, None]
+        if seen.all():
+            wide = np.ones((1, width))
+            squares = (x * x).sum(axis=1, keepdims=True)
+            return batch.num_rows * wide.T @ wide, x.sum(axis=1, keepdims=True) @ wide, x @ x.T, squares @ wide
+        x, mask = np.where(seen, x, 0.0), seen.astype(float)
+        return mask @ mask.T, x @ mask.T, x @ x.T, (x * x) @ mask.T
 
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
                 part = of_batch(batch)
-                total = part if total is None else merged(total, part)
+                total = part if total is None else tuple(a + b for a, b in zip(total, part))
         if total is not None:
-            n, mean, cross, spread = total
+            n, first, cross, second = total
             i, j = np.triu_indices(width, 1)
-            columns = [i, j, n[i, j], mean[i, j], mean[j, i], cross[i, j], spread[i, j], spread[j, i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_MOMENTS)
+            columns = [i, j, n[i, j], first[i, j], first[j, i], cross[i, j], second[i, j], second[j, i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_SUMS)
 
     return reduce_rows
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], nulls: str = "zero") -> DataFrame:
-    """``(var_x, var_y, corr)`` for every ordered pair of different columns, in one scan.
+    """``(var_x, var_y, corr)`` for every ordered pair of different columns, in two scans.
 
-    Every task reduces its rows to one small row per pair; those are shuffled by pair and
-    combined. A pair with a constant column has a NULL correlation.
+    The first finds the mean of every column, the second sums of products of deviations from it, which
+    do not cancel. Every task reduces its rows to one small row per pair, and these are added up by
+    an ordinary aggregate. A pair with a constant column has a NULL correlation.
     """
     _check_rule(nulls)
     names = list(cols)
     values = [F.col(c).cast("double") for c in names]
     if nulls == "zero":
         values = [F.coalesce(v, F.lit(0.0)) for v in values]
-    rows = df.select(*[v.alias(c) for v, c in zip(values, names)])
-    shape = ", ".join(f"{c} {'bigint' if c in 'ij' else 'double'}" for c in _MOMENTS)
-    parts = rows.mapInArrow(_pair_moments(len(names)), shape).where("n > 0")
-
-    # Within-task moments plus the moments of the task means about the overall mean.
-    pair = Window.partitionBy("i", "j")
-    n, size = F.col("n"), F.sum("n").over(pair)
-    placed = parts.select(
-        "i", "j", "n", "cxy", "vx", "vy",
-        (F.col("mx") - F.sum(n * F.col("mx")).over(pair) / size).alias("dx"),
-        (F.col("my") - F.sum(n * F.col("my")).over(pair) / size).alias("dy"),
-        "mx", "my",
-    )
-    dx, dy = F.col("dx"), F.col("dy")
-    combined = placed.groupBy("i", "j").agg(
-        F.sum(F.col("cxy") + n * dx * dy).alias("c"),
-        F.sum(F.col("vx") + n * dx * dx).alias("vx"),
-        F.sum(F.col("vy") + n * dy * dy).alias("vy"),
-        F.sum(n * F.col("mx") * F.col("mx")).alias("sx"),
-        F.sum(n * F.col("my") * F.col("my")).alias("sy"),
+    rows = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)])
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in rows.columns]
+    shifts = np.array([m or 0.0 for m in rows.agg(*[F.avg(c) for c in finite]).first()])
+    shape = ", ".join(f"{c} {'bigint' if c in 'ij' else 'double'}" for c in _SUMS)
+    parts = rows.mapInArrow(_pair_sums(shifts), shape).groupBy("i", "j")
+    total = parts.agg(*[F.sum(c).alias(c) for c in _SUMS[2:]]).where("n > 0")
+    n = F.col("n")
+    summed = total.select(
+        "i", "j", "sxx", "syy",
+        (F.col("sxy") - F.col("sx") * F.col("sy") / n).alias("c"),
+        (F.col("sxx") - F.col("sx") * F.col("sx") / n).alias("vx"),
+        (F.col("syy") - F.col("sy") * F.col("sy") / n).alias("vy"),
     )
-    # A constant column leaves nothing but rounding error in its variance; NaN stays NaN.
-    flat = (F.col("vx") <= _ROUNDING * F.col("sx")) | (F.col("vy") <= _ROUNDING * F.col("sy"))
+    # A constant column leaves nothing but the rounding error of its sums; NaN stays NaN.
+    flat = (F.col("vx") <= _ROUNDING * F.col("sxx")) | (F.col("vy") <= _ROUNDING * F.col("syy"))
     flat = flat & ~F.isnan("c")
     corr = F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0))
     bounded = F.when(F.isnan(corr), corr).otherwise(F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)))
@@ -133,7 +108,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], nulls: str = "zero") -> Data
     both_ways = F.array(
         F.struct(x.alias("var_x"), y.alias("var_y")), F.struct(y.alias("var_x"), x.alias("var_y"))
     )
-    return combined.select(F.explode(both_ways).alias("pair"), F.when(~flat, bounded).alias("corr")).select(
+    return summed.select(F.explode(both_ways).alias("pair"), F.when(~flat, bounded).alias("corr")).select(
         "pair.var_x", "pair.var_y", "corr"
     )
 
@@ -171,3 +146,42 @@ def chi_square(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
         ((F.sum("values") - 1) * (F.count(F.lit(1)) - 1)).alias("degrees_of_freedom"),
         F.sum("c").alias("n"),
     )
+
+
+def upper_tail(statistic: float, degrees: int) -> float:
+    """The chance that a chi-square variable exceeds ``statistic``: the regularised upper gamma function."""
+    a, x = degrees / 2, statistic / 2
+    if degrees <= 0 or x <= 0:
+        return 1.0
+    scale = a * math.log(x) - x - math.lgamma(a)
+    if x < a + 1:  # series of the lower function
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - math.exp(scale) * total)
+    # Continued fraction of the upper function, by the modified Lentz method.
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    total, i = d, 0
+    while True:
+        i += 1
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or 1e-300)
+        c = b + step / c or 1e-300
+        total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            return math.exp(scale) * total
+
+
+def chi_square_test(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+    """``chi_square`` with ``p_value``, by which columns of unequal degrees of freedom compare.
+
+    The tested table has one row per column and passes through the driver.
+    """
+    rows = [(*r, upper_tail(r.statistic, r.degrees_of_freedom)) for r in chi_square(df, cols, label).collect()]
+    shape = "feature string, statistic double, degrees_of_freedom bigint, n bigint, p_value double"
+    return df.sparkSession.createDataFrame(rows, shape)

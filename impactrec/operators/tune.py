@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from impactrec.functions.expressions import indicator
-from impactrec.operators.models import bins_needed, feature_model, fit_classifier, train
+from impactrec.operators.models import bins_needed, class_values, feature_model, fit_classifier, train
 from impactrec.sources.schema import KEY, LABEL
 from impactrec.staging import stage
 
@@ -43,8 +43,12 @@ def sample_space(space: dict[str, Any], n: int, seed: int) -> list[dict[str, Any
 
 
 class Search(NamedTuple):
+    """``features`` and ``rows`` are the fitted feature stages and the vectors of both parts, for the refit."""
+
     trials: DataFrame
     best: dict[str, Any]
+    features: PipelineModel
+    rows: DataFrame
 
 
 def tune_random(
@@ -61,17 +65,21 @@ def tune_random(
 ) -> Search:
     """Fit ``n`` settings on the training part and rate them on the validation part.
 
-    The feature vectors are built and staged once, and every trial is a distributed fit of
-    its own, ``parallelism`` at a time. Ties go to the earlier trial.
+    The feature vectors are built and staged once, the classes are looked up once, and every trial
+    is a distributed fit of its own, ``parallelism`` at a time. Ties go to the earlier trial. The
+    trials show the ``maxBins`` used, which is raised to the largest number of categories.
     """
     features = feature_model(train_df, label, key, feature_mode)
     fit_rows = stage(features.transform(train_df).select("features", label))
     check_rows = stage(features.transform(valid_df).select("features", label))
     floor = bins_needed(features)
+    classes = class_values(fit_rows, label)
+    # Read by every trial.
+    fit_cached, check_cached = fit_rows.persist(), check_rows.persist()
 
     def trial(params: dict[str, Any]) -> float:
-        model = PipelineModel(fit_classifier(fit_rows, algo, params, seed, label, floor))
-        hits = model.transform(check_rows).agg(F.avg(indicator(F.col("prediction"), F.col(label))))
+        model = PipelineModel(fit_classifier(fit_cached, algo, params, seed, label, floor, classes=classes))
+        hits = model.transform(check_cached).agg(F.avg(indicator(F.col("prediction"), F.col(label))))
         return hits.first()[0]
 
     settings = sample_space(space, n, seed)
@@ -79,16 +87,28 @@ def tune_random(
         spark = train_df.sparkSession
         accuracies = list(pool.map(inheritable_thread_target(spark)(trial), settings))
 
+    fit_cached.unpersist()
+    check_cached.unpersist()
+
     names = list(space)
+    used = [s | {"maxBins": max(s["maxBins"], floor)} if "maxBins" in s else s for s in settings]
     rows = [
         (i, *[str(s[k]) if isinstance(space[k], list) else s[k] for k in names], a)
-        for i, (s, a) in enumerate(zip(settings, accuracies))
+        for i, (s, a) in enumerate(zip(used, accuracies))
     ]
     kinds = {list: "string", int: "int", float: "double"}
     types = [kinds[list if isinstance(space[k], list) else type(space[k][0])] for k in names]
     shape = ", ".join(["trial int", *[f"{k} {t}" for k, t in zip(names, types)], "accuracy double"])
     best = max(range(n), key=lambda i: (accuracies[i], -i))
-    return Search(spark.createDataFrame(rows, shape), settings[best])
+    return Search(spark.createDataFrame(rows, shape), used[best], features, fit_rows.unionByName(check_rows))
+
+
+def refit_found(search: Search, seed: int = 42, algo: str = "rf", label: str = LABEL) -> PipelineModel:
+    """Train with the best settings on the vectors of both parts, which the search has made."""
+    floor = bins_needed(search.features)
+    classes = class_values(search.rows, label)
+    fitted = fit_classifier(search.rows, algo, search.best, seed, label, floor, classes=classes)
+    return PipelineModel([*search.features.stages, *fitted])
 
 
 def refit(train_df: DataFrame, best: dict[str, Any], seed: int = 42, algo: str = "rf", **options) -> PipelineModel:

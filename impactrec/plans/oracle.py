@@ -78,7 +78,9 @@ gappy AS (SELECT CASE WHEN l_linenumber <> 3 THEN l_quantity END AS quantity,
   CASE WHEN l_linestatus = 'O' THEN l_discount END AS discount,
   l_tax AS tax, CAST(7 AS DOUBLE) AS constant FROM lineitem)"""
 
-_KEY_BUCKET = "CAST('0x' || substr(md5('42:' || CAST(ID AS VARCHAR)), 1, 8) AS BIGINT) % 100"
+_KEY_BUCKET = "CAST('0x' || substr(md5('42:' || CAST(ID AS VARCHAR)), 1, 8) AS BIGINT)"
+# The part of the range that four fifths of the keys fall into.
+_FOUR_FIFTHS = 3435973836
 
 
 def _with(*parts: str) -> str:
@@ -267,7 +269,26 @@ def _roles() -> str:
 
 
 def _separable() -> str:
-    return _with(_PRODUCTS) + f"SELECT ID, CAST(EI AS DOUBLE) AS prediction FROM products WHERE {_KEY_BUCKET} >= 80"
+    return _with(_PRODUCTS) + f"SELECT ID, CAST(EI AS DOUBLE) AS prediction FROM products WHERE {_KEY_BUCKET} >= {_FOUR_FIFTHS}"
+
+
+def _large_moments() -> str:
+    columns = {
+        "seconds": "CAST(epoch(l_shipdate) AS BIGINT)", "large_key": "1700000000000000 + l_orderkey",
+        "tight": "1e9 + l_linenumber * CAST(1e-3 AS DOUBLE)",
+    }
+    return _union([
+        f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, printf('%.9e', AVG({e})) AS mean, "
+        f"printf('%.2e', STDDEV_SAMP({e})) AS stddev FROM lineitem"
+        for c, e in columns.items()
+    ])
+
+
+def _p_values(cols: list[str]) -> str:
+    """Tail probabilities for an even number of degrees of freedom."""
+    return "tested_columns AS (WITH " + _chi_square("lineitem", cols, "l_returnflag") + """),
+p_values AS (SELECT feature, statistic, degrees_of_freedom, list_sum(list_transform(range(0, degrees_of_freedom // 2),
+    lambda k: exp(k * ln(statistic / 2) - lgamma(k + 1) - statistic / 2))) AS p_value FROM tested_columns)"""
 
 
 def oracle_queries() -> dict[str, str]:
@@ -296,7 +317,40 @@ def oracle_queries() -> dict[str, str]:
         "column_histogram": """
 WITH b AS (SELECT MIN(l_extendedprice) AS lo, (MAX(l_extendedprice) - MIN(l_extendedprice)) / 20 AS w FROM lineitem),
 h AS (SELECT CAST(LEAST(FLOOR((l_extendedprice - lo) / w), 19) AS INT) AS bucket, COUNT(*) AS n FROM lineitem, b GROUP BY 1)
-SELECT bucket, ROUND(lo + bucket * w, 6) AS lower, ROUND(lo + (bucket + 1) * w, 6) AS upper, n FROM h, b""",
+SELECT bucket, ROUND(lo + bucket * w, 6) AS lower, ROUND(lo + (bucket + 1) * w, 6) AS upper, COALESCE(n, 0) AS n
+FROM b, (SELECT CAST(UNNEST(RANGE(20)) AS INT) AS bucket) LEFT JOIN h USING (bucket)""",
+        "profile_large_values": _large_moments(),
+        "profile_large_values_exact": _large_moments(),
+        "csv_round_trip": "SELECT doc_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS hash FROM documents",
+        "corr_matrix_small_spread": _with("""
+lines AS (SELECT l_linenumber AS line, 1e9 + l_linenumber * CAST(1e-5 AS DOUBLE) AS tight,
+  1700000000000000 + l_linenumber * 1000 AS large FROM lineitem)""")
+        + _union([
+            f"SELECT '{x}' AS var_x, '{y}' AS var_y, ROUND(CORR({x}, {y}), 2) AS corr FROM lines"
+            for x, y in permutations(["line", "tight", "large"], 2)
+        ]),
+        "chi_square_p_values": _with(_p_values(["l_linenumber", "l_discount", "l_tax"]))
+        + "SELECT feature, degrees_of_freedom, ROUND(p_value, 6) AS p_value FROM p_values",
+        "select_continuous": _with(_p_values(["l_extendedprice", "l_quantity", "l_discount"]))
+        + "SELECT feature FROM p_values ORDER BY p_value, statistic DESC LIMIT 1",
+        "index_many_values": _with(_index("part", "p_name"))
+        + "SELECT p_partkey, p_name, COALESCE(i, (SELECT CAST(COUNT(*) AS DOUBLE) FROM ix_p_name)) AS p_name_index "
+        + "FROM part LEFT JOIN ix_p_name ON v = p_name",
+        "split_per_mille": "SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) "
+        + "AS BIGINT) < 4277787426 THEN 0 ELSE 1 END AS part FROM orders",
+        "metrics_with_missing_labels": _with(
+            _SCORES, "labelled AS (SELECT * FROM scores WHERE ID % 10 <> 0)", _CONFUSION.replace("FROM scores", "FROM labelled")
+        )
+        + "SELECT ROUND(CAST(SUM(tp) AS DOUBLE) / SUM(support), 6) AS accuracy, "
+        + "ROUND(SUM(precision * support) / SUM(support), 6) AS weighted_precision, "
+        + "ROUND(SUM(recall * support) / SUM(support), 6) AS weighted_recall, "
+        + "ROUND(SUM(f1 * support) / SUM(support), 6) AS f1, "
+        + "ROUND(1 - CAST(SUM(tp) AS DOUBLE) / SUM(support), 6) AS test_error, "
+        + "(SELECT COUNT(*) FROM scores) AS n_rows, (SELECT COUNT(*) FROM scores WHERE ID % 10 = 0) AS n_unlabelled FROM scored",
+        "top_2000_per_type": _with(_SCORES)
+        + f"SELECT * FROM (SELECT ID, Type, EI, {_SLOT_COLUMNS}, CAST(ROW_NUMBER() OVER (PARTITION BY Type ORDER BY {_SCORE_ORDER}) AS INT) AS rank "
+        + "FROM scores WHERE prediction IN (1, 2)) q WHERE rank <= 2000",
+        "recommend_by_class_scores": _with(_PRODUCTS) + "SELECT ID, Type, EI FROM products WHERE EI IN (1, 2)",
         "distinct_values": _with(_PRODUCTS) + "SELECT DISTINCT Washing_instruction FROM products",
         "frequency_table": _with(_PRODUCTS)
         + "SELECT Manufacturing_location, COUNT(*) AS count FROM products GROUP BY 1 ORDER BY 1 NULLS FIRST",
@@ -337,7 +391,7 @@ SELECT bucket, ROUND(lo + bucket * w, 6) AS lower, ROUND(lo + (bucket + 1) * w,
         + "SELECT component, ROUND(ratio, 6) AS ratio, ROUND(cumulative, 6) AS cumulative FROM running",
         "components_needed": _with(_EIGEN) + "SELECT MIN(component) AS k FROM running WHERE cumulative >= 0.95",
         "keyed_split": _with(_PRODUCTS)
-        + f"SELECT ID, CASE WHEN {_KEY_BUCKET} < 80 THEN 0 ELSE 1 END AS part FROM products",
+        + f"SELECT ID, CASE WHEN {_KEY_BUCKET} < {_FOUR_FIFTHS} THEN 0 ELSE 1 END AS part FROM products",
         "random_split_whole": _with(_PRODUCTS) + "SELECT COUNT(ID) AS n_rows, COUNT(DISTINCT ID) AS n_products FROM products",
         "confusion_matrix": _with(_SCORES)
         + "SELECT CAST(EI AS DOUBLE) AS label, prediction, COUNT(*) AS n FROM scores GROUP BY ALL",
@@ -368,7 +422,7 @@ SELECT bucket, ROUND(lo + bucket * w, 6) AS lower, ROUND(lo + (bucket + 1) * w,
             for f in ["TypeIndex", "Use_locationIndex", *_NUMBERS, *_DUMMIES]
         ]),
         "top_importances_separable": "SELECT 'Cotton' AS feature",
-        "evaluation_separable": _with(_PRODUCTS, f"held_out AS (SELECT EI FROM products WHERE {_KEY_BUCKET} >= 80)")
+        "evaluation_separable": _with(_PRODUCTS, f"held_out AS (SELECT EI FROM products WHERE {_KEY_BUCKET} >= {_FOUR_FIFTHS})")
         + _union([
             f"SELECT '{m}' AS metric, CAST({v} AS DOUBLE) AS value"
             for m, v in [("accuracy", 1), ("weighted_precision", 1), ("weighted_recall", 1), ("f1", 1), ("test_error", 0), ("least_auc", 1)]

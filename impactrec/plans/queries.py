@@ -16,10 +16,11 @@ from impactrec.sources import (
     noisy_products,
     numeric_columns,
     product_table,
+    read_products,
     schema_table,
     score_table,
 )
-from impactrec.staging import stage
+from impactrec.staging import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -106,6 +107,16 @@ def drop_columns(spark, folder):
     return product_table(spark, folder).drop("Alpaca", "Jute", "Use_location", "Drying_instruction")
 
 
+@query
+def csv_round_trip(spark, folder):
+    """Texts with quotes and line breaks, written as CSV and read back with the product reader."""
+    docs = load_table(spark, folder, "documents").select("doc_id", "text")
+    path = f"{stage_path(spark)}.csv"
+    docs.write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_products(spark, path, docs.schema)
+    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("hash"))
+
+
 @query
 def filter_type(spark, folder):
     return product_table(spark, folder).where(F.col("Type") == PROFILED_TYPE)
@@ -177,6 +188,31 @@ def profile_sketches(spark, folder):
     return table.select("column_name", "n_distinct", "p25", "p50", "p75")
 
 
+def _large_values(spark, folder):
+    """Columns far from zero: seconds since an epoch, large keys, and a spread below the value's own digits."""
+    return _lineitem(spark, folder).select(
+        F.unix_timestamp(F.col("l_shipdate")).alias("seconds"),
+        (F.lit(1_700_000_000_000_000) + F.col("l_orderkey")).alias("large_key"),
+        (F.lit(1e9) + F.col("l_linenumber") * 1e-3).alias("tight"),
+    )
+
+
+def _moments_shown(table: DataFrame) -> DataFrame:
+    return table.select(
+        "column_name", "n_rows", F.format_string("%.9e", "mean").alias("mean"), F.format_string("%.2e", "stddev").alias("stddev")
+    )
+
+
+@query
+def profile_large_values(spark, folder):
+    return _moments_shown(ops.profile(_large_values(spark, folder)))
+
+
+@query
+def profile_large_values_exact(spark, folder):
+    return _moments_shown(ops.profile(_large_values(spark, folder), exact=True))
+
+
 @query
 def column_histogram(spark, folder):
     return _rounded(ops.column_histogram(_lineitem(spark, folder), "l_extendedprice", 20), "lower", "upper")
@@ -233,6 +269,30 @@ def chi_square_lines(spark, folder):
     return _rounded(ops.chi_square(lines, ["l_linenumber", "l_discount", "l_tax"], "l_returnflag"), "statistic")
 
 
+@query
+def corr_matrix_small_spread(spark, folder):
+    lines = _lineitem(spark, folder).select(
+        F.col("l_linenumber").alias("line"), (F.lit(1e9) + F.col("l_linenumber") * 1e-5).alias("tight"),
+        (F.lit(1_700_000_000_000_000) + F.col("l_linenumber") * 1000).alias("large"),
+    )
+    return _rounded(ops.corr_matrix(lines, lines.columns), "corr", places=2)
+
+
+@query
+def chi_square_p_values(spark, folder):
+    """Three labels, so the degrees of freedom are even and the tail is a finite sum."""
+    tested = ops.chi_square_test(_lineitem(spark, folder), ["l_linenumber", "l_discount", "l_tax"], "l_returnflag")
+    return _rounded(tested.select("feature", "degrees_of_freedom", "p_value"), "p_value")
+
+
+@query
+def select_continuous(spark, folder):
+    """Selection among columns whose values are nearly all different."""
+    lines = _lineitem(spark, folder).select("l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
+    found = ops.select_features(lines, [], lines.columns[:3], "l_returnflag", k=1)
+    return spark.createDataFrame([(n,) for n in found.names], "feature string")
+
+
 # Encoding
 
 
@@ -252,6 +312,11 @@ def string_index_keep(spark, folder):
     return ops.index_strings(_stored_products(spark, folder).select("ID", *cols), cols, "keep")
 
 
+@query
+def index_many_values(spark, folder):
+    return ops.index_strings(load_table(spark, folder, "part").select("p_partkey", "p_name"), ["p_name"], "keep")
+
+
 @query
 def string_index_skip(spark, folder):
     cols = ["Manufacturing_location", "Drying_instruction"]
@@ -301,9 +366,7 @@ def chi_square_select(spark, folder):
     """How often each selected slot is set."""
     selection = _binary_selection(spark, folder)
     slots = F.posexplode(vector_to_array(F.col("selectedFeatures"))).alias("position", "value")
-    order = sorted(selection.model.stages[-1].selectedFeatures)
-    names = dict(zip(selection.model.stages[-1].selectedFeatures, selection.names))
-    name = F.get(F.array(*[F.lit(names[i]) for i in order]), F.col("position"))
+    name = F.get(F.array(*[F.lit(n) for n in selection.names]), F.col("position"))
     return (
         selection.table.select(slots)
         .groupBy(name.alias("feature"))
@@ -380,6 +443,12 @@ def keyed_split(spark, folder):
     return product_table(spark, folder).select("ID", ops.split_part("ID", (0.8, 0.2), 42).alias("part"))
 
 
+@query
+def split_per_mille(spark, folder):
+    orders = load_table(spark, folder, "orders")
+    return orders.select("o_orderkey", ops.split_part("o_orderkey", (0.996, 0.004), 42).alias("part"))
+
+
 @query
 def random_split_sizes(spark, folder):
     parts = ops.split_random(product_table(spark, folder).select("ID"), (0.8, 0.2), 42)
@@ -414,6 +483,13 @@ def class_metrics(spark, folder):
     return _rounded(ops.class_metrics(_scores(spark, folder)), "precision", "recall", "f1")
 
 
+@query
+def metrics_with_missing_labels(spark, folder):
+    scores = _scores(spark, folder).withColumn("EI", F.when(F.col("ID") % 10 != 0, F.col("EI")))
+    table = ops.classification_metrics(scores).crossJoin(F.broadcast(ops.unlabelled_rows(scores)))
+    return _rounded(table, "accuracy", "weighted_precision", "weighted_recall", "f1", "test_error")
+
+
 @query
 def classification_metrics(spark, folder):
     table = ops.classification_metrics(_scores(spark, folder))
@@ -598,6 +674,11 @@ def recommend_top_n_per_type(spark, folder):
     return _shown_slots(ops.recommend(_scores(spark, folder), n=10, per_type=True))
 
 
+@query
+def top_2000_per_type(spark, folder):
+    return _shown_slots(ops.recommend(_scores(spark, folder), n=2000, per_type=True))
+
+
 @query
 def recommend_all_per_type(spark, folder):
     return _shown_slots(ops.recommend(_scores(spark, folder), n=None, per_type=True))
@@ -615,6 +696,13 @@ def recommend_from_forest(spark, folder):
     return _shown_slots(workflows.recommend_from(_noisy(spark, folder, "rf"), n=10, per_type=True))
 
 
+@query
+def recommend_by_class_scores(spark, folder):
+    """Boosted models ranked by raw score; which products they are follows from their predictions."""
+    found = workflows.recommend_from(_separable(spark, folder, "ovr_gbt"), by="class_scores")
+    return found.select("ID", "Type", "EI")
+
+
 @query
 def recommend_from_boosting(spark, folder):
     return workflows.recommend_from(_separable(spark, folder, "ovr_gbt"), n=20)

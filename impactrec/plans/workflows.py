@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import Any, NamedTuple
 
 from pyspark.ml import PipelineModel
@@ -9,11 +10,11 @@ from pyspark.sql import DataFrame
 
 from impactrec.operators import metrics
 from impactrec.operators.encode import encode_rules, use_feature_set
-from impactrec.operators.models import aligned_scores, class_values, score, train
+from impactrec.operators.models import aligned_scores, model_classes, score, train
 from impactrec.operators.recommend import recommend
 from impactrec.operators.split import split_by_key
-from impactrec.operators.tune import DEFAULT_SPACE, DEFAULT_TRIALS, Search, refit, tune_random
-from impactrec.sources.schema import LABEL
+from impactrec.operators.tune import DEFAULT_SPACE, DEFAULT_TRIALS, Search, refit_found, tune_random
+from impactrec.sources.schema import KEY, LABEL
 from impactrec.staging import stage
 
 
@@ -41,10 +42,20 @@ def train_on(
     return Trained(model, prepared, score(model, test_part))
 
 
-class Evaluation(NamedTuple):
-    summary: DataFrame
-    areas: DataFrame
-    mean_area: DataFrame
+class Evaluation:
+    """Metrics of scored rows; the areas, which take two more passes, are computed when asked for."""
+
+    def __init__(self, scored: DataFrame, hard: bool):
+        self._scored, self._hard = scored, hard
+        self.summary = metrics.classification_metrics(scored)
+
+    @cached_property
+    def areas(self) -> DataFrame:
+        return metrics.auc(self._scored, hard=self._hard)
+
+    @cached_property
+    def mean_area(self) -> DataFrame:
+        return metrics.mean_auc(self.areas)
 
 
 def evaluate(held_out: DataFrame) -> Evaluation:
@@ -52,8 +63,7 @@ def evaluate(held_out: DataFrame) -> Evaluation:
     soft = "probability" in held_out.columns
     columns = [LABEL, "prediction", "probability"] if soft else [LABEL, "prediction"]
     scored = stage(held_out.select(*columns))
-    areas = metrics.auc(scored, hard=not soft)
-    return Evaluation(metrics.classification_metrics(scored), areas, metrics.mean_auc(areas))
+    return Evaluation(scored, hard=not soft)
 
 
 def recommend_from(trained: Trained, **options) -> DataFrame:
@@ -66,7 +76,11 @@ def recommend_from(trained: Trained, **options) -> DataFrame:
     if "probability" not in scored.columns:
         options.setdefault("by", "prediction")
         if options["by"] == "class_scores":
-            scored = aligned_scores(scored, class_values(trained.products))
+            scored = aligned_scores(scored, model_classes(trained.model))
+    if options.get("n") is None:
+        # A full ranking reads its rows twice, to find the ranges and to sort: scores are computed once.
+        shown = options.get("by", "probability")
+        scored = stage(scored.select(*dict.fromkeys([KEY, "Type", LABEL, "prediction", shown])))
     return recommend(scored, **options)
 
 
@@ -83,8 +97,8 @@ def tune(
     parallelism: int = 4,
     seed: int = 42,
 ) -> Tuned:
-    """Search on 60 and 20 percent, refit the best on the 60, score the last 20 percent once."""
+    """Search on 60 and 20 percent, refit the best on these 80, score the last 20 percent once."""
     train_part, valid_part, test_part = split_by_key(prepared, weights=(0.6, 0.2, 0.2), seed=seed)
     search = tune_random(train_part, valid_part, space, n, parallelism, seed)
-    model = refit(train_part, search.best, seed)
+    model = refit_found(search, seed)
     return Tuned(search, model, score(model, test_part))

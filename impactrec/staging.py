@@ -7,35 +7,29 @@ needs instead of recomputing the plan behind them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "impactrec-stage"
-_local_root: tempfile.TemporaryDirectory | None = None
+_scope: ContextVar[list[str] | None] = ContextVar("impactrec_stage_scope", default=None)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for staged tables and ML checkpoints.
 
-    Taken from ``spark.checkpoint.dir`` or the context's checkpoint directory. Only a
-    ``local`` master may fall back to a folder of its own: on a cluster a machine-local
-    path would be lost with the machine, so a missing setting is an error there.
+    Taken from ``spark.checkpoint.dir`` or the context's checkpoint directory. Where neither is
+    set, a folder in the session's warehouse, which all executors share.
     """
-    global _local_root
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(root)
-        return root
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.TemporaryDirectory(prefix="impactrec-", ignore_cleanup_errors=True)
-    context.setCheckpointDir(_local_root.name)
-    return context.getCheckpointDir()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/impactrec-checkpoints"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return root
 
 
 def _stage_folder(spark: SparkSession) -> str:
@@ -43,17 +37,43 @@ def _stage_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{_FOLDER}/{app}"
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; the scope that is open, if any, deletes it."""
+    path = f"{_stage_folder(spark)}/{uuid.uuid4().hex}"
+    if (made := _scope.get()) is not None:
+        made.append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return it read back. Column ML metadata is kept."""
-    spark = df.sparkSession
-    path = f"{_stage_folder(spark)}/{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside, once their results have been written or collected.
+
+    Tables that other code staged before or elsewhere stay. Scopes may be nested; a result that
+    still reads a table of its scope must be used up inside it.
+    """
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table this application staged; call when no result needs them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    _delete(spark, _stage_folder(spark))

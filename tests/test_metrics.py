@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from impactrec.functions import slot
-from impactrec.operators import auc, class_metrics, classification_metrics, confusion, mean_auc, roc
+from impactrec.operators import auc, class_metrics, classification_metrics, confusion, mean_auc, roc, unlabelled_rows
 
 SPARK_NAMES = {
     "accuracy": "accuracy", "weighted_precision": "weightedPrecision",
@@ -75,3 +75,10 @@ def test_a_third_of_the_rows_share_a_score(spark):
     pos, neg = score[label == 1], score[label == 0]
     expected = np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg))
     assert auc(table, classes=[1]).first().auc == pytest.approx(expected)
+
+
+def test_rows_without_a_label_are_left_out(spark):
+    rows = [(1, 1.0), (2, 2.0), (None, 1.0), (None, 2.0)]
+    table = spark.createDataFrame(rows, "EI int, prediction double")
+    assert classification_metrics(table).first().accuracy == 1.0
+    assert unlabelled_rows(table).first().n_unlabelled == 2

@@ -48,7 +48,7 @@ def test_same_seed_same_predictions(prepared, trained, algo):
 
 @pytest.mark.parametrize("algo", sorted(FAST))
 def test_recommendations_are_in_the_best_classes(trained, algo):
-    rows = recommend_from(trained[algo], type="promo").collect()
+    rows = recommend_from(trained[algo], type="promo", n=20).collect()
     assert 0 < len(rows) <= 20 and all(r.Type == "promo" for r in rows)
 
 

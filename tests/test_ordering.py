@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from impactrec.functions import running_totals
+from impactrec.staging import stage, staged
 
 
 def brute(rows, descending):
@@ -56,3 +57,14 @@ def test_two_order_columns_and_null_values(spark):
 def test_empty(spark):
     table = spark.createDataFrame([], "g string, v double, p bigint")
     assert running_totals(table, ["g"], [F.col("v")], ["p"]).collect() == []
+
+
+def test_a_scope_deletes_its_own_tables(spark):
+    outer = stage(spark.range(3))
+    with staged(spark):
+        inner = stage(spark.range(5))
+        path = inner.inputFiles()[0]
+        assert inner.count() == 5
+    assert outer.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()

@@ -107,9 +107,39 @@ def test_profile_of_an_empty_column(spark):
         assert rows["x"].n_missing == 1 and rows["x"].p50 is None and rows["s"].n_distinct == 0
 
 
+def test_moments_of_large_values(spark):
+    """Values far from zero with a small spread, whole and fractional."""
+    ids = spark.range(100_000).select("id")
+    table = ids.selectExpr("1700000000000000 + id AS whole", "1.7e9 + id / 100000 AS seconds", "1e9 + id * 1e-5 AS tight")
+    spread = 28867.657796
+    wanted = {
+        "whole": (1.7e15 + 49999.5, spread), "seconds": (1.7e9 + 0.499995, spread / 1e5), "tight": (1e9 + 0.499995, spread / 1e5)
+    }
+    for exact in (True, False):
+        for r in profile(table, exact=exact).collect():
+            assert (r.mean, r.stddev) == pytest.approx(wanted[r.column_name], rel=1e-4, abs=0)
+            assert abs(r.mean - wanted[r.column_name][0]) <= 3e-7 * max(1, wanted[r.column_name][1])
+    means = {r.column_name: r.value for r in describe_long(table).where("stat = 'mean'").collect()}
+    assert means["whole"] == 1700000000049999.5
+
+
+def test_dates_and_flags_are_profiled(spark):
+    table = spark.sql("SELECT DATE'2024-01-02' AS d, TIMESTAMP'2024-01-02 03:04:05' AS t, true AS b, 1 AS n")
+    for exact in (True, False):
+        rows = {r.column_name: r for r in profile(table, exact=exact).collect()}
+        assert rows["d"].min_text == "2024-01-02" and rows["t"].max_text == "2024-01-02 03:04:05" and rows["b"].min_text == "true"
+
+
+def test_percentiles_have_names_of_their_own(spark):
+    table = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, y double")
+    rows = {(r.column_name, r.stat): r.value for r in describe_long(table, percentiles=(0.001, 0.004, 0.5)).collect()}
+    assert rows["x", "0.1%"] == pytest.approx(1.001) and rows["x", "0.4%"] == pytest.approx(1.004)
+    assert rows["x", "50%"] == 1.5 and rows["y", "50%"] is None
+
+
 def test_histogram(spark):
     table = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 9.99, 10, 10]] + [(None,)], "x double")
     rows = {r.bucket: r.n for r in column_histogram(table, "x", 5).collect()}
-    assert rows == {0: 2, 1: 1, 4: 3}
+    assert rows == {0: 2, 1: 1, 2: 0, 3: 0, 4: 3}
     flat = spark.createDataFrame([(7.0,), (7.0,)], "x double")
     assert [(r.bucket, r.n) for r in column_histogram(flat, "x").collect()] == [(0, 2)]

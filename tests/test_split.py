@@ -30,3 +30,9 @@ def test_random_split_is_complete(products):
 def test_splitting_is_a_filter(products):
     plan = split_by_key(products)[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_small_parts_are_not_rounded_away(spark):
+    rows = spark.range(100_000).withColumnRenamed("id", "ID")
+    sizes = [p.count() for p in split_by_key(rows, weights=(0.996, 0.004))]
+    assert sum(sizes) == 100_000 and 300 < sizes[1] < 500

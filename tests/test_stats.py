@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import ChiSquareTest
 
+from impactrec.operators.stats import upper_tail
 from impactrec.operators import chi_square, corr_matrix, corr_pair, index_strings
 
 GAPS = [(1.0, 2.0), (2.0, None), (3.0, 6.1), (None, 9.0), (5.0, 9.9), (6.0, 12.0)]
@@ -107,3 +108,24 @@ def test_chi_square_of_a_hot_value(spark):
             wanted = sum(r[0] == v for r in rows) * sum(r[1] == y for r in rows) / len(rows)
             expected += (observed - wanted) ** 2 / wanted
     assert row.statistic == pytest.approx(expected) and row.degrees_of_freedom == 100
+
+
+def test_pair_and_matrix_agree(spark):
+    ids = spark.range(20_000)
+    table = ids.selectExpr("1e9 + id * 1e-5 AS tight", "CAST(id AS DOUBLE) AS id", "id % 7 AS m", "1.7e15 + id AS big", "5.0 AS flat")
+    found = {(r.var_x, r.var_y): r.corr for r in corr_matrix(table, table.columns).collect()}
+    for (a, b), value in found.items():
+        pair = corr_pair(table, a, b).first().corr
+        assert value is None and "flat" in (a, b) if value is None else value == pytest.approx(pair, abs=1e-6)
+    assert found["tight", "id"] > 0.999 and found["big", "id"] > 0.999999 and found["id", "flat"] is None
+
+
+def test_matrix_is_added_up_before_the_shuffle(spark):
+    plan = corr_matrix(spark.range(10).selectExpr("id AS a", "id * id AS b"), ["a", "b"])
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1 and "partial_sum" in plan
+
+
+@pytest.mark.parametrize("statistic, degrees, wanted", [(0.0, 3, 1.0), (3.841458820694124, 1, 0.05), (18.307038053275146, 10, 0.05), (1000.0, 2, 7.124576406741286e-218), (50.0, 100, 0.9999932)])
+def test_upper_tail(statistic, degrees, wanted):
+    assert upper_tail(statistic, degrees) == pytest.approx(wanted, rel=1e-6)
