@@ -123,7 +123,10 @@ class _Writer:
 
     def article(self) -> str:
         blocks = [self.maybe(f"<h1>{self.words(7)}</h1>", 0.8)]
-        blocks += [self.block() for _ in range(self.random.randint(1, 12))]
+        if self.random.random() < 0.2:  # next to nothing, and the article all the same
+            blocks = [self.some(f"<h1>{self.words(2)}.</h1>", "")] + [f"<p>{self.words(self.random.randint(1, 3))}.</p>"]
+        else:
+            blocks += [self.block() for _ in range(self.random.randint(1, 12))]
         for part in (self.advert, self.side, self.notice, self.form, self.menu):
             if self.random.random() < 0.12:
                 blocks.insert(self.random.randint(1, len(blocks)), self.other(part()))
