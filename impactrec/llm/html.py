@@ -201,7 +201,7 @@ class Forest:
             tag,
             np.searchsorted(_LINK_BINS, linked / np.maximum(chars, 1)) + 5 * leaf,
             np.searchsorted(_LENGTH_BINS, chars, side="right") + 9 * leaf,
-            np.searchsorted(_MARK_BINS, marks, side="right") + 5 * leaf,
+            np.where(leaf, 5, np.searchsorted(_MARK_BINS, marks, side="right")),
             above,
             *[(names >> g) & 1 for g in range(len(NAME_GROUPS))],
         ]
@@ -258,7 +258,7 @@ def messages(forest: Arrays, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return single[:, 1], joint_all / joint_all.sum((1, 2), keepdims=True)
 
 
-def train(forest: Forest, steps: int = 200, rate: float = 0.1, penalty: float = 2e-3) -> Model:
+def train(forest: Forest, steps: int = 300, rate: float = 0.1, penalty: float = 2e-3) -> Model:
     """Weights that make the labels of a forest most likely, by gradient ascent (Adam)."""
     arrays, y = forest.arrays(), np.array(forest.labels)
     children = np.flatnonzero(arrays.parent >= 0)
@@ -290,7 +290,7 @@ def label_by_markup(page: str) -> str | None:
     return re.sub(r"<article\b", '<article data-label="1"', page, flags=re.I)
 
 
-def fit(pages: DataFrame, examples: Sequence[str], most: int = 100) -> Model:
+def fit(pages: DataFrame, examples: Sequence[str], most: int = 300) -> Model:
     """Learn from ``examples``, pages with ``data-label`` attributes, and from at most ``most`` pages of the
     table that mark their article: those whose ``page_id`` has the least hash."""
     ids = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id")

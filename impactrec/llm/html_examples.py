@@ -14,13 +14,14 @@ _SYLLABLES = "an be co di el fo ga hu in jo ka le mi no or pa ri se ta un ve wi"
 class _Writer:
     def __init__(self, seed: int):
         self.random = random.Random(seed)
+        self.stop = "."
 
     def words(self, n: int) -> str:
         pick = self.random
         return " ".join("".join(pick.choices(_SYLLABLES, k=pick.randint(1, 4))) for _ in range(n))
 
     def sentences(self, n: int) -> str:
-        return " ".join(self.words(self.random.randint(1, 22)).capitalize() + "." for _ in range(n))
+        return " ".join(self.words(self.random.randint(1, 22)).capitalize() + self.stop for _ in range(n))
 
     def some(self, *options: str) -> str:
         return self.random.choice(options)
@@ -123,6 +124,7 @@ class _Writer:
 
     def article(self) -> str:
         blocks = [self.maybe(f"<h1>{self.words(7)}</h1>", 0.8)]
+        self.stop = self.some(".", ".", ".", ".", "", " |")  # texts without sentences are content, too
         if self.random.random() < 0.2:  # next to nothing, and the article all the same
             blocks = [self.some(f"<h1>{self.words(2)}.</h1>", "")] + [f"<p>{self.words(self.random.randint(1, 3))}.</p>"]
         else:
@@ -131,6 +133,7 @@ class _Writer:
             if self.random.random() < 0.12:
                 blocks.insert(self.random.randint(1, len(blocks)), self.other(part()))
         inside = "".join(blocks)
+        self.stop = "."
         return self.some(
             *[f'<article data-label="1">{inside}</article>'] * 3, f'<main data-label="1">{inside}</main>',
             f'<main><article data-label="1">{inside}</article></main>', f'<div data-label="1" id="content">{inside}</div>',
@@ -147,7 +150,7 @@ class _Writer:
         return f"<!DOCTYPE html><html>{head}<body>{body}" + self.maybe("</body></html>", 0.8)
 
 
-def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
+def labelled_pages(n: int = 250, seed: int = 3) -> list[str]:
     """The same ``n`` labelled pages on every call."""
     writer = _Writer(seed)
     return [writer.page() for _ in range(n)]

@@ -10,11 +10,8 @@ from impactrec.llm.html_examples import labelled_pages
 
 
 @pytest.fixture(scope="module")
-def model():
-    forest = html.Forest()
-    for page in labelled_pages(250):
-        forest.add(page)
-    return html.train(forest, steps=150)
+def model(spark):
+    return html.fit(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), labelled_pages())
 
 
 def test_marginals_match_all_states():
