@@ -33,7 +33,7 @@ from impactrec.llm.words import Texts, Words, as_long, gram_hashes, mix, slices
 from impactrec.staging import stage
 
 #: Grams of a task that are counted at a time.
-COUNTED_GRAMS = 4_000_000
+COUNTED_GRAMS = 2_000_000
 #: Grams that come last in the order: the most frequent ones, as far as tasks can tell by themselves.
 FREQUENT = 1_000_000
 #: Grams of the sets that a task holds at once; of more, two chunks of half as many.

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-#: Bytes of text in a slice.
-SLICE_BYTES = 2 << 20
+#: Bytes of text in a slice, a little less than a power of two, by which tables of powers grow.
+SLICE_BYTES = 15 << 16
 
 _ALL = np.arange(256)
 #: Bytes of words that white space ends: all but space and tab to carriage return.
@@ -174,6 +174,8 @@ def slices(
                 begin, filled = row, 0
             filled += size
         yield batch.slice(begin)
+        # What Arrow keeps for later would add up in the worker, which lives on after the task.
+        pa.default_memory_pool().release_unused()
 
 
 def as_long(hashes: np.ndarray) -> np.ndarray:
