@@ -16,6 +16,9 @@ from impactrec.staging import stage
 
 _ROW = "_pipeline_row"
 
+#: Near duplicates share 80 % of their shingles of five words; ``op4_jaccard`` has limits of its own.
+SHINGLE_WORDS, NEAR_PERCENT = 5, 80
+
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` written with a number for each row."""
@@ -41,7 +44,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates. Documents without words are alone in their group."""
     rows = _numbered(docs)
-    groups = jaccard.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"))
+    texts = rows.select(F.col(_ROW).alias("doc_id"), "text")
+    groups = jaccard.near_duplicates(texts, n=SHINGLE_WORDS, percent=NEAR_PERCENT)
     gone = stage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(_ROW)))
     return rows.join(small(gone, gone.count()), _ROW, "left_anti").select(*docs.columns)
 

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from conftest import SMALL
+from conftest import SMALL, words, write
 from test_jaccard import plain
 
 import corpus_pipeline
@@ -51,5 +51,19 @@ def test_stages(spark, odd, which):
     assert tokens.count() == mixed.count() and tokens.where("not exact").isEmpty()
 
 
+def test_near_duplicates_at_five_words(spark, tmp_path):
+    """Copies with changes close together, which have less in common by four words than by the limits of op4."""
+    base = words(75, 21)
+    near = [*base[:30], *(f"new{i}" for i in range(3)), *base[33:]]
+    far = [*base[:20], *(f"far{i}" for i in range(12)), *base[32:]]
+    rows = [(i, " ".join(t), "en", "s1", 0, *"1", 2, *"34567") for i, t in enumerate([base, near, far])]
+    texts = [r[1] for r in rows]
+    assert len(set(plain(texts)[1])) == 3
+    assert plain(texts, percent=80, n=5)[1] == [0, 0, 2]
+    folder = write(spark, tmp_path, rows)
+    left = STAGES["near duplicates"](spark, table(spark, folder, "documents"), folder).collect()
+    assert len(left) == 2 and far == next(r["text"] for r in left if r["doc_id"] == 2).split()
+
+
 def test_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
