@@ -2,8 +2,8 @@
 
 Lines are normalised (ASCII lower case, one space between words) and hashed. For each host and
 line the documents are counted in which it occurs, identical texts once, since copies are not
-boilerplate. Lines above the limit are removed, and a document is rejected when what remains
-is too little. Only hashes of lines are shuffled; counts are combined before each shuffle, so
+boilerplate. Lines above the limit, a number of texts that does not grow with the host, are
+removed, and a document is rejected when what remains is too little. Only hashes of lines are shuffled; counts are combined before each shuffle, so
 that a line of a third of all documents is a few rows for a reducer.
 """
 
@@ -38,14 +38,14 @@ _NEW = (
 @dataclass(frozen=True)
 class Limits:
     """``min_words`` and ``max_repeat_percent`` fail a text by itself. A line is removed from a host
-    when more than ``line_documents`` of its distinct texts and more than ``line_share`` of its
-    distinct texts hold it; a document is rejected if fewer than ``min_words`` words, or less than
+    when more than ``line_documents`` of its distinct texts hold it, whatever the host's size. A
+    ``line_share`` above 0 asks for that share of the host's distinct texts besides. A document is rejected if fewer than ``min_words`` words, or less than
     ``min_left`` of its words, remain."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     line_documents: int = 5
-    line_share: float = 0.1
+    line_share: float = 0.0
     min_left: float = 0.3
 
 
@@ -157,13 +157,11 @@ def quality(
     lines = base.select("row_key", key, "text_key", F.explode("lines").alias("_l")).select(
         "row_key", "host", "text_key", F.col("_l.line").alias("line"), F.col("_l.words").alias("words")
     )
-    hosts = base.groupBy(key).agg(F.countDistinct("text_key").alias("host_texts"))
-    above = stage(
-        frequent_lines(lines, limits)
-        .join(hosts, "host")
-        .where(F.col("texts") > limits.line_share * F.col("host_texts"))
-        .select("host", "line")
-    )
+    above = frequent_lines(lines, limits)
+    if limits.line_share > 0:
+        hosts = base.groupBy(key).agg(F.countDistinct("text_key").alias("host_texts"))
+        above = above.join(hosts, "host").where(F.col("texts") > limits.line_share * F.col("host_texts"))
+    above = stage(above.select("host", "line"))
     removed = (
         lines.join(small(above, above.count()), ["host", "line"])
         .groupBy("row_key")

@@ -15,13 +15,16 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: The weights of the sources in code-point order, repeating.
 SOURCE_WEIGHTS = (3, 1, 2)
 
+#: The SQL of ``op2_quality`` asks for a tenth of a host's texts besides the number of texts.
+QUALITY_LIMITS = quality.Limits(line_share=0.1)
+
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), bins=40)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents"), QUALITY_LIMITS)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
