@@ -33,12 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the quality rules; the verdict depends on the text and its source."""
-    key = F.xxhash64("text").alias("_pipeline_text")
-    judged = quality.quality(docs.select("source", "text", key), keep=("_pipeline_text", "source"))
-    rejected = stage(judged.where("not kept").select("_pipeline_text", F.col("source").alias("_pipeline_source")).distinct())
-    same = (F.xxhash64("text") == F.col("_pipeline_text")) & F.col("source").eqNullSafe(F.col("_pipeline_source"))
-    return docs.join(small(rejected, rejected.count()), same, "left_anti").select(*docs.columns)
+    """The documents that pass the quality rules, without the lines that many texts of their source share."""
+    return quality.cleaned(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

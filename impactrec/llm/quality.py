@@ -137,16 +137,8 @@ def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
     return counted.where(F.col("texts") > limits.line_documents)
 
 
-def quality(
-    docs: DataFrame, limits: Limits = Limits(), host: str = "source", keep: Sequence[str] = ("doc_id",)
-) -> DataFrame:
-    """Word statistics of every text and the verdict ``kept``.
-
-    Returns ``keep``, the five base numbers, ``base_failed``, ``kept``, ``n_removed_lines`` and
-    ``n_left_words``. A null text counts as empty and fails; a null host is a host of its own.
-    Repeated rows are each judged, and count once for the limits like other copies of a text.
-    A host with few texts loses no line, since ``line_documents`` texts must hold it.
-    """
+def _judged(docs: DataFrame, limits: Limits, host: str, keep: Sequence[str]) -> DataFrame:
+    """The columns of ``quality``, and as ``_gone`` the hashes of the lines each text loses, null if none."""
     kept = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     rows = docs.select(
         *[F.col(c).alias(k) for c, k in zip(keep, kept.columns)], F.col(host).cast("string").alias("host"), "text"
@@ -165,7 +157,7 @@ def quality(
     removed = (
         lines.join(small(above, above.count()), ["host", "line"])
         .groupBy("row_key")
-        .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("words").alias("removed"))
+        .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("words").alias("removed"), F.collect_list("line").alias("_gone"))
     )
     joined = base.drop("lines").join(removed, "row_key", "left")
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
@@ -175,5 +167,60 @@ def quality(
     depleted = (left < limits.min_words) | (left < limits.min_left * F.col("n_words"))
     return joined.select(
         *[F.col(k).alias(c) for c, k in zip(keep, kept.columns)], *_BASE, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
-        F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"), left.alias("n_left_words"),
+        F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"), left.alias("n_left_words"), "_gone",
     )
+
+
+def quality(
+    docs: DataFrame, limits: Limits = Limits(), host: str = "source", keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Word statistics of every text and the verdict ``kept``.
+
+    Returns ``keep``, the five base numbers, ``base_failed``, ``kept``, ``n_removed_lines`` and
+    ``n_left_words``. A null text counts as empty and fails; a null host is a host of its own.
+    Repeated rows are each judged, and count once for the limits like other copies of a text.
+    A host with few texts loses no line, since ``line_documents`` texts must hold it.
+    """
+    return _judged(docs, limits, host, keep).drop("_gone")
+
+
+def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ``text`` by what remains of it without the lines whose hashes ``_gone`` holds."""
+    for batch in slices(batches, "text"):
+        gone = batch.column("_gone")
+        at = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+        if len(at):
+            affected = batch.column("text").take(pa.array(at))
+            texts = Texts(affected)
+            words = Words(texts)
+            owner, _, first, last = _line_numbers(texts, words)
+            lowered = span_hashes(LOWER[texts.data], words.starts, words.ends)
+            normal = as_long(_line_hashes(lowered, first, last)).tolist()
+            breaks = np.flatnonzero(texts.data == 0x0A)
+            place = (np.searchsorted(breaks, words.starts[first]) - np.searchsorted(breaks, texts.offsets[owner])).tolist()
+            bounds = np.searchsorted(owner, np.arange(len(at) + 1)).tolist()
+            column = batch.column("text").to_pylist()
+            for i, (row, text, drop) in enumerate(zip(at.tolist(), affected.to_pylist(), gone.take(pa.array(at)).to_pylist())):
+                drop, of = set(drop), range(bounds[i], bounds[i + 1])
+                out = {place[k] for k in of if normal[k] in drop}
+                column[row] = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in out)
+            texts = pa.array(column, batch.schema.field("text").type)
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+        yield batch.drop_columns(["_gone"])
+
+
+def cleaned(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, their ``text`` without the lines it removes.
+
+    Lines that remain stay as they are, and so do the other columns. Verdict and lines depend on
+    the text and its host, so texts are only shuffled if very many of these are rejected or lose lines.
+    """
+    key = F.xxhash64("text")
+    of = docs.select(F.col(host).cast("string").alias("_host"), "text", key.alias("_text"))
+    judged = _judged(of, limits, "_host", ("_text", "_host"))
+    changed = judged.where(F.col("_gone").isNotNull() | ~F.col("kept")).groupBy("_text", "_host")
+    changed = stage(changed.agg(F.first("kept").alias("_kept"), F.first("_gone").alias("_gone")))
+    same = (key == F.col("_text")) & F.col(host).cast("string").eqNullSafe(F.col("_host"))
+    cells = changed.select(F.sum(1 + F.coalesce(F.array_size("_gone"), F.lit(0)))).first()[0]
+    joined = docs.join(small(changed, cells or 0), same, "left").where(F.coalesce("_kept", F.lit(True)))
+    return joined.select(*docs.columns, "_gone").mapInArrow(_without_lines, docs.schema)

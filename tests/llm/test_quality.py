@@ -2,6 +2,7 @@
 
 from conftest import words
 
+import corpus_pipeline
 from impactrec.llm import quality
 
 LINE = "Share this page with  your friends"
@@ -25,3 +26,28 @@ def test_lines_go_at_every_size_of_host(spark):
         assert (rows[i]["n_removed_lines"], rows[i]["n_left_words"]) == (int(gone), len(text.split()) - 6 * gone)
     shared = quality.quality(docs, quality.Limits(line_share=0.1)).where("n_removed_lines > 0").collect()
     assert {r["doc_id"] for r in shared} == set(range(6))
+
+
+def test_texts_without_the_lines(spark):
+    rows = [(i, host, f"{text}\n\n{LINE}\n" if i % 3 else text) for i, host, text in hosts()]
+    rows += [(300, "small", f"{LINE}\nshort"), (301, "small", None), (302, None, rows[0][2]), (303, "small", rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(2)
+    digest = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    kept = quality.cleaned(docs)
+    assert kept.columns == docs.columns
+    found = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert set(found) == {i for i, r in digest.items() if r["kept"]} and 300 not in found
+    wanted = " ".join(LINE.lower().split())
+    for i, host, text in rows:
+        if i in found:
+            lines = text.split("\n")
+            if digest[i]["n_removed_lines"]:
+                lines = [l for l in lines if " ".join(l.lower().split()) != wanted]
+            assert found[i] == "\n".join(lines) and len(found[i].split()) == digest[i]["n_left_words"]
+    assert LINE not in found[0] and LINE in found[302]
+
+
+def test_pipeline_passes_on_what_remains(spark):
+    docs = spark.createDataFrame(hosts(), "doc_id long, source string, text string")
+    texts = [r["text"] for r in corpus_pipeline.drop_low_quality(spark, docs, "").where("source <> 'third'").collect()]
+    assert len(texts) == 110 and not any(LINE.lower() in t.lower() for t in texts)
