@@ -26,7 +26,10 @@ from impactrec.llm.words import slices
 # Names of HTML elements by their role in a page.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark picture q s samp small "
-    "source span strike strong sub sup time tt u var wbr".split()
+    "source span strike strong sub sup time tt u var wbr "
+    "svg g path circle ellipse line polygon polyline rect use defs text tspan "
+    "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics "
+    "annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TAGS = (
@@ -54,10 +57,10 @@ _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "body": ("head",), "tbody": ("thead", "tr", "td", "th"),
 }
-_P_STAYS = frozenset("label input button select option".split())
+_P_STAYS = frozenset("label input button select option object iframe noscript template textarea".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|iframe|template|svg|math|object)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
+    r"|<(script|style|title)(?![^\s/>])(?:(?<=script)[^>]*|[^>]*(?<!/))>.*?(?:</\1(?![^\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>",
@@ -326,7 +329,8 @@ def extract(pages: DataFrame, model: Model, keep: Sequence[str] = ("page_id", "u
 
     The text is empty if there is none, also for a null or empty ``html``. Broken markup is read as
     far as it goes: end tags that match nothing are passed over, elements left open end with the
-    page. Equal pages get equal texts. Nothing else is dropped or cut.
+    page. Scripts, styles, titles and comments are skipped; nothing else is dropped or cut. Equal
+    pages get equal texts.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
     keep = list(keep)

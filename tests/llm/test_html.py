@@ -80,3 +80,17 @@ def test_blocks_and_references():
     forest = html.Forest()
     forest.add("<p>a &lt;b&gt;\n\t c<br>d<p>e<i>f</i>g<ul><li>h<li>i</ul>j<style>k</style>&eacute;")
     assert [t for t in forest.texts if t] == ["a <b> c d", "efg", "h", "i", "jé"]
+
+
+def test_only_scripts_styles_and_titles_are_skipped():
+    def texts(page):
+        forest = html.Forest()
+        forest.add(page)
+        return [t for t in forest.texts if t]
+
+    assert texts('<p>one <svg class="i"/> two</p><p>three</p>') == ["one two", "three"]
+    assert texts("<p>a <math/>b <math><mi>x</mi><mo>=</mo><mn>1</mn></math> c</p>d") == ["a b x=1 c", "d"]
+    assert texts("<svg><title/><style/><path d=''/></svg>a<title-bar>b</title-bar>") == ["a", "b"]
+    for name in ("object", "noscript", "iframe", "template", "textarea", "svg", "math"):
+        assert " ".join(texts(f"<p>a <{name}>b</p><p>c</p>")).split() == ["a", "b", "c"]
+    assert texts("a<script src=x/>s</script><style>t</style><title>u</title>b<script>v") == ["ab"]
