@@ -1,9 +1,16 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from impactrec import staging
 from impactrec.operators import encode_rules, use_feature_set
+from impactrec.plans.queries import all_queries
 from impactrec.sources import (
     PRODUCT_SCHEMA,
     check_schema,
@@ -148,3 +155,63 @@ def test_a_cluster_must_name_a_checkpoint_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(Session())
+
+
+@pytest.mark.parametrize("warehouse, root", [
+    ("hdfs://name/warehouse/", "hdfs://name/warehouse/impactrec-checkpoints"),
+    ("file:/mnt/shared/warehouse", "file:/mnt/shared/warehouse/impactrec-checkpoints"),
+    ("file:/home/driver/spark-warehouse", None),
+    ("spark-warehouse", None),
+])
+def test_a_cluster_may_name_a_warehouse(warehouse, root):
+    class Context:
+        master = "spark://host:7077"
+        named: list[str] = []
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+        def setCheckpointDir(self, path):
+            self.named.append(path)
+
+    class Conf:
+        @staticmethod
+        def get(name, default):
+            return warehouse if name == "spark.sql.warehouse.dir" else default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    if root is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_root(Session())
+    else:
+        assert checkpoint_root(Session()) == root
+        assert Session.sparkContext.named[-1] == root
+
+
+def test_a_result_outlives_its_scope(spark):
+    with staging.staged(spark):
+        with staging.staged(spark):
+            inner = stage(spark.range(3))
+            result = stage(inner, result=True)
+        assert result.count() == 3
+        with pytest.raises(Exception):
+            inner.count()
+    with pytest.raises(Exception):
+        result.count()
+
+
+def test_the_contract_imports_without_the_training_data_operators(tmp_path):
+    """From a copy without both folders and the pipeline, all other queries are there."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "impactrec", tmp_path / "impactrec", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(all_queries())), "False", "False", "True"]
