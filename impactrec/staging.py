@@ -39,7 +39,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         warehouse = (spark.conf.get("spark.sql.warehouse.dir", None) or "").rstrip("/")
         of_driver = not warehouse or (
-            warehouse.endswith("/spark-warehouse") and (warehouse.startswith("file:") or ":" not in warehouse)
+            warehouse.split("/")[-1] == "spark-warehouse" and (warehouse.startswith("file:") or ":" not in warehouse)
         )
         if of_driver and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
