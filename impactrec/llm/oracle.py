@@ -159,5 +159,57 @@ FROM word LEFT JOIN base USING (k) LEFT JOIN notice USING (k)
 """
 
 
+#: The table of the byte-wise checksum, and the unsigned crc32 of an expression over its bytes.
+_CRC_TABLE = """
+crc_step(i, k, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crc_t FROM crc_step WHERE k = 8)"""
+
+
+def _crc32(bytes_: str) -> str:
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), "
+        "lambda a, b: xor(a >> 8, crc_t[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295)"
+    )
+
+
+PREFIX_TRIE = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, turns,
+    {_crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 4 AS h
+  FROM own, crc_table),
+conv AS (
+  SELECT h.conv_id, list_concat(list_slice(coalesce(first.turns, []), 1, h.h), list_slice(h.turns, h.h + 1, len(h.turns))) AS path
+  FROM h LEFT JOIN own first ON first.conv_id = h.conv_id - h.conv_id % 20),
+member AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM conv),
+node AS (
+  SELECT d AS depth, list_slice(path, 1, d) AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CASE WHEN len(path) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+  FROM member GROUP BY ALL),
+up AS (
+  SELECT node.*, parent.conv_id AS parent_conv_id, CASE WHEN node.depth = 0 THEN 0 ELSE
+    (node.n_convs - 1) * len(regexp_extract_all(node.p[node.depth].t, '{WORDS}')) END AS own_saved
+  FROM node LEFT JOIN node parent ON parent.depth = node.depth - 1 AND parent.p = list_slice(node.p, 1, node.depth - 1)),
+child AS (SELECT parent_conv_id AS c, depth - 1 AS d, count(*) AS n FROM up WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT up.*, coalesce(child.n, 0) AS n_children FROM up LEFT JOIN child ON c = conv_id AND d = depth),
+above AS (SELECT p, n_children, own_saved, unnest(range(0, depth + 1)) AS d FROM full_),
+below AS (
+  SELECT d, list_slice(p, 1, d) AS q, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own_saved) AS saved
+  FROM above GROUP BY ALL)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs,
+  CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(ends) AS ends_sha256
+FROM full_ JOIN below ON d = depth AND q = p
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op2_quality": QUALITY, "op3_mixing": MIXING, "op4_jaccard": JACCARD, "op5_nearest": NEAREST, "op7_licenses": LICENSES}
+    return {
+        "op2_quality": QUALITY, "op3_mixing": MIXING, "op4_jaccard": JACCARD, "op5_nearest": NEAREST, "op7_licenses": LICENSES,
+        "op13_prefix_trie": PREFIX_TRIE,
+    }

@@ -59,5 +59,6 @@ def odd(spark, tmp_path_factory):
 def empty(spark, tmp_path_factory):
     folder = write(spark, tmp_path_factory.mktemp("empty"), [])
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder

@@ -8,12 +8,12 @@ from impactrec.llm.oracle import llm_oracle
 from impactrec.llm.queries import llm_queries
 
 ORACLE, QUERIES = llm_oracle(), llm_queries()
-DOCUMENTS = sorted(set(QUERIES) - {"op5_nearest", "op9_extract"})
+DOCUMENTS = sorted(set(QUERIES) - {"op5_nearest", "op9_extract", "op13_prefix_trie"})
 
 
 def folder_views(folder):
     con = duckdb.connect()
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "conversations"):
         try:
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
         except duckdb.IOException:
