@@ -208,8 +208,44 @@ FROM full_ JOIN below ON d = depth AND q = p
 """
 
 
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+      translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) GROUP BY ALL),
+digits AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM run),
+code AS (
+  SELECT run, times,
+    {_crc32("list_transform(range(1, length(x), 2), lambda i: "
+            "CAST((instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1 AS BIGINT))")} AS h
+  FROM digits, crc_table),
+word AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT))
+    || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS w, times FROM code),
+v AS (SELECT w, CAST(sum(times) AS BIGINT) AS n FROM word WHERE length(w) >= 5 GROUP BY w HAVING sum(times) >= 3),
+place AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v),
+hole AS (SELECT w, n, i, substring(w, 1, i - 1) || '*' || substring(w, i + 1) AS p FROM place),
+less AS (SELECT DISTINCT w, n, substring(w, 1, i - 1) || substring(w, i + 1) AS p FROM place),
+near AS (
+  SELECT a.w, a.n, b.w AS o, b.n AS m FROM hole a JOIN hole b ON a.p = b.p AND a.w <> b.w
+  UNION ALL SELECT less.w, less.n, v.w, v.n FROM less JOIN v ON less.p = v.w
+  UNION ALL SELECT v.w, v.n, less.w, less.n FROM less JOIN v ON less.p = v.w),
+best AS (
+  SELECT w, n, count(*) AS n_near, first(o ORDER BY m DESC, encode(o)) AS o, max(m) AS m FROM near GROUP BY w, n),
+form AS (SELECT w, n, n_near, CASE WHEN m >= 2 * n THEN o END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM best),
+step(w, r) AS (
+  SELECT w, w FROM v UNION ALL SELECT step.w, form.form FROM step JOIN form ON form.w = step.r WHERE form.form IS NOT NULL),
+root AS (SELECT step.w, r FROM step LEFT JOIN form ON form.w = r WHERE form.form IS NULL)
+SELECT v.w AS word, form, r AS root, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n
+FROM v JOIN root ON root.w = v.w LEFT JOIN form ON form.w = v.w
+"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {
         "op2_quality": QUALITY, "op3_mixing": MIXING, "op4_jaccard": JACCARD, "op5_nearest": NEAREST, "op7_licenses": LICENSES,
-        "op13_prefix_trie": PREFIX_TRIE,
+        "op12_spelling": SPELLING, "op13_prefix_trie": PREFIX_TRIE,
     }
