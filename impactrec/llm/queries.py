@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from impactrec.llm import conversations, html, html_examples, jaccard, knn, language, licenses, mixing, quality, sharding, spelling, toxicity, unigram
+from impactrec.llm import conversations, html, html_examples, jaccard, katz, knn, language, licenses, mixing, quality, sharding, spelling, toxicity, unigram
 from impactrec.llm.tables import held_out, table
 
 #: A public SentencePiece model; on a cluster, where the driver finds it.
@@ -71,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), ~held_out(modulus=7))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.runs(table(spark, sf_dir, "documents"))
     return spelling.variants(spelling.vocabulary(words))
@@ -83,6 +87,6 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_shards, op2_quality, op3_mixing, op4_jaccard, op5_nearest, op6_pieces, op7_licenses, op8_language, op9_extract, op10_toxicity,
-        op12_spelling, op13_prefix_trie,
+        op11_katz, op12_spelling, op13_prefix_trie,
     )
     return {f.__name__: f for f in operators}

@@ -17,6 +17,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def held_out(key: str = "doc_id") -> Column:
-    """True for the quarter of the rows that no model may learn from."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+def held_out(key: str = "doc_id", modulus: int = 4) -> Column:
+    """True for the part of the rows, one in ``modulus``, that no model may learn from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == 2, F.lit(False))
