@@ -24,10 +24,7 @@ norm AS (
   SELECT k, source, t, n,
          translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM line),
 above AS (
-  SELECT a.source, s FROM (SELECT source, s, count(DISTINCT t) AS c FROM norm GROUP BY source, s) a
-  JOIN (SELECT source, count(DISTINCT t) AS h FROM doc GROUP BY source) b
-    ON a.source IS NOT DISTINCT FROM b.source
-  WHERE c > 5 AND c > 0.1 * h),
+  SELECT source, s FROM (SELECT source, s, count(DISTINCT t) AS c FROM norm GROUP BY source, s) WHERE c > 5),
 gone AS (
   SELECT k, count(DISTINCT norm.s) AS lines, sum(n) AS words FROM norm
   JOIN above ON norm.s = above.s AND norm.source IS NOT DISTINCT FROM above.source GROUP BY k),

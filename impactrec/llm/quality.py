@@ -3,8 +3,9 @@
 Lines are normalised (ASCII lower case, one space between words) and hashed. For each host and
 line the documents are counted in which it occurs, identical texts once, since copies are not
 boilerplate. Lines above the limit, a number of texts that does not grow with the host, are
-removed, and a document is rejected when what remains is too little. Only hashes of lines are shuffled; counts are combined before each shuffle, so
-that a line of a third of all documents is a few rows for a reducer.
+removed, and a document is rejected when what remains is too little. Only hashes of lines are
+shuffled; counts are combined before each shuffle, so that a line of a third of all documents is a
+few rows for a reducer.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from impactrec.llm.tables import small
+from impactrec.llm.tables import small, unused
 from impactrec.llm.words import LOWER, SPACED, Texts, Words, as_long, mix, slices, span_hashes
 from impactrec.staging import stage
 
@@ -38,14 +39,12 @@ _NEW = (
 @dataclass(frozen=True)
 class Limits:
     """``min_words`` and ``max_repeat_percent`` fail a text by itself. A line is removed from a host
-    when more than ``line_documents`` of its distinct texts hold it, whatever the host's size. A
-    ``line_share`` above 0 asks for that share of the host's distinct texts besides. A document is rejected if fewer than ``min_words`` words, or less than
-    ``min_left`` of its words, remain."""
+    when more than ``line_documents`` of its distinct texts hold it, whatever the host's size. A document
+    is rejected if fewer than ``min_words`` words, or less than ``min_left`` of its words, remain."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     line_documents: int = 5
-    line_share: float = 0.0
     min_left: float = 0.3
 
 
@@ -149,11 +148,7 @@ def _judged(docs: DataFrame, limits: Limits, host: str, keep: Sequence[str]) ->
     lines = base.select("row_key", key, "text_key", F.explode("lines").alias("_l")).select(
         "row_key", "host", "text_key", F.col("_l.line").alias("line"), F.col("_l.words").alias("words")
     )
-    above = frequent_lines(lines, limits)
-    if limits.line_share > 0:
-        hosts = base.groupBy(key).agg(F.countDistinct("text_key").alias("host_texts"))
-        above = above.join(hosts, "host").where(F.col("texts") > limits.line_share * F.col("host_texts"))
-    above = stage(above.select("host", "line"))
+    above = stage(frequent_lines(lines, limits).select("host", "line"))
     removed = (
         lines.join(small(above, above.count()), ["host", "line"])
         .groupBy("row_key")
@@ -184,10 +179,10 @@ def quality(
     return _judged(docs, limits, host, keep).drop("_gone")
 
 
-def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace ``text`` by what remains of it without the lines whose hashes ``_gone`` holds."""
+def _without_lines(batches: Iterator[pa.RecordBatch], lost: str) -> Iterator[pa.RecordBatch]:
+    """Replace ``text`` by what remains of it without the lines whose hashes the column ``lost`` holds."""
     for batch in slices(batches, "text"):
-        gone = batch.column("_gone")
+        gone = batch.column(lost)
         at = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
         if len(at):
             affected = batch.column("text").take(pa.array(at))
@@ -206,21 +201,22 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 column[row] = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in out)
             texts = pa.array(column, batch.schema.field("text").type)
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", texts)
-        yield batch.drop_columns(["_gone"])
+        yield batch.drop_columns([lost])
 
 
 def cleaned(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, their ``text`` without the lines it removes.
 
-    Lines that remain stay as they are, and so do the other columns. Verdict and lines depend on
-    the text and its host, so texts are only shuffled if very many of these are rejected or lose lines.
+    Lines that remain stay as they are, and so do the other columns, whatever their names. Verdict and lines
+    depend on the text and its host, so texts are only shuffled if very many of these are rejected or lose lines.
     """
-    key = F.xxhash64("text")
-    of = docs.select(F.col(host).cast("string").alias("_host"), "text", key.alias("_text"))
+    text_key, host_key, verdict, lost = unused(docs, "text", "host", "kept", "gone")
+    key, place = F.xxhash64("text"), F.col(host).cast("string")
+    of = docs.select(place.alias("_host"), "text", key.alias("_text"))
     judged = _judged(of, limits, "_host", ("_text", "_host"))
-    changed = judged.where(F.col("_gone").isNotNull() | ~F.col("kept")).groupBy("_text", "_host")
-    changed = stage(changed.agg(F.first("kept").alias("_kept"), F.first("_gone").alias("_gone")))
-    same = (key == F.col("_text")) & F.col(host).cast("string").eqNullSafe(F.col("_host"))
-    cells = changed.select(F.sum(1 + F.coalesce(F.array_size("_gone"), F.lit(0)))).first()[0]
-    joined = docs.join(small(changed, cells or 0), same, "left").where(F.coalesce("_kept", F.lit(True)))
-    return joined.select(*docs.columns, "_gone").mapInArrow(_without_lines, docs.schema)
+    changed = judged.where(F.col("_gone").isNotNull() | ~F.col("kept")).groupBy(F.col("_text").alias(text_key), F.col("_host").alias(host_key))
+    changed = stage(changed.agg(F.first("kept").alias(verdict), F.first("_gone").alias(lost)))
+    same = (key == F.col(text_key)) & place.eqNullSafe(F.col(host_key))
+    cells = changed.select(F.sum(1 + F.coalesce(F.array_size(lost), F.lit(0)))).first()[0]
+    joined = docs.join(small(changed, cells or 0), same, "left").where(F.coalesce(verdict, F.lit(True)))
+    return joined.select(*docs.columns, lost).mapInArrow(lambda batches: _without_lines(batches, lost), docs.schema)
