@@ -295,10 +295,9 @@ def label_by_markup(page: str) -> str | None:
 
 def fit(pages: DataFrame, examples: Sequence[str], most: int = 300) -> Model:
     """Learn from ``examples``, pages with ``data-label`` attributes, and from at most ``most`` pages of the
-    table that mark their article: those whose ``page_id`` has the least hash."""
-    ids = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id")
-    ids = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(most)
-    rows = pages.select("page_id", "html").join(F.broadcast(ids.distinct()), "page_id").collect()
+    table that mark their article: of the rows, those with the least hash of ``page_id`` and ``html``."""
+    known = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id", "html")
+    rows = known.orderBy(F.xxhash64("page_id", "html"), "page_id", "html").limit(most).collect()
     forest = Forest()
     for page in examples:
         forest.add(page)

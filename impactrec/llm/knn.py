@@ -25,18 +25,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def valid_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
+def valid_vectors(df: DataFrame, key: str, vector: str, scale: int, *more: Column) -> DataFrame:
     """``id, v``: components as ``floor(scale * x)``; vectors with a null or non-finite component, of no
-    components, or null, are left out."""
+    components, or null, are left out. ``more`` columns are added."""
     x = F.col(vector)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     usable = df.where(x.isNotNull() & (F.size(x) > 0) & ~bad & F.col(key).isNotNull())
     return usable.select(
         F.col(key).cast("long").alias("id"),
         F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"),
+        *more,
     )
 
 
+def check_vectors(vectors: DataFrame) -> None:
+    """Refuse vectors of different lengths, and components whose products could pass 64 bits."""
+    size, largest = F.size("v"), F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double")))
+    found = vectors.agg(
+        F.min(size).alias("short"), F.max(size).alias("long"), F.min_by("id", size).alias("of_short"), F.max_by("id", size).alias("of_long"),
+        F.max(largest).alias("largest"), F.max_by("id", largest).alias("of_largest"),
+    ).first()
+    if found["short"] != found["long"]:
+        raise ValueError(
+            f"vectors of different lengths: {found['short']} components at key {found['of_short']}, {found['long']} at key {found['of_long']}"
+        )
+    # Squared distances hold four times the largest product.
+    if found["short"] and 4 * found["short"] * found["largest"] ** 2 >= 2**63:
+        raise ValueError(f"products of components up to {found['largest']:.0f}, at key {found['of_largest']}, do not fit 64 bits")
+
+
 def choose_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     """The ``pivots`` distinct vectors whose ids have the least hashes."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
@@ -70,6 +87,11 @@ def summaries(assigned: DataFrame, k: int) -> list:
     return near.groupBy("cell").agg(F.collect_list(F.struct("id", "v")).alias("near")).collect()
 
 
+def needed_vectors(data: DataFrame, plan: DataFrame) -> DataFrame:
+    """The vectors that each group of queries needs: those of a cell from some distance to its pivot on."""
+    return data.join(plan, "cell").where(F.col("dist") >= F.col("least"))
+
+
 def _k_best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
     """The k highest scores, ties to the smaller id."""
     if len(scores) > 4 * k:
@@ -90,20 +112,22 @@ def top_k(
     Returns ``query_id, rank, vec_id, score``. A row is no candidate for itself (by ``key``); ties go
     to the smaller id. With fewer candidates all are returned. Vectors that are null, empty, or hold
     null or non-finite components take no part, neither do rows without a key; all others must have
-    the same number of components. Rows that repeat a key are candidates each, and queries once.
+    the same number of components, or an error names two keys; so do components too large for 64-bit
+    products. Rows that repeat a key are candidates each; of those that ask, the smallest vector is the query.
     An empty table gives no rows. ``pivots`` and ``groups`` bound what is summarised on the driver.
     """
     spark = df.sparkSession
-    rows = df.withColumn("_is_query", F.coalesce(queries, F.lit(False)))
-    both = rows.select(key, vector, "_is_query")
     result = "query_id long, rank int, vec_id long, score long"
-    vectors = valid_vectors(both, key, vector, scale)
+    asks = F.coalesce(queries, F.lit(False)).alias("asks")
+    usable = stage(valid_vectors(df, key, vector, scale, asks))
+    check_vectors(usable)
+    vectors = usable.select("id", "v")
     centres = choose_pivots(vectors, pivots)
     if not len(centres):
         return spark.createDataFrame([], result)
     data = stage(assign(vectors, centres))
-    wanted = valid_vectors(both.where("_is_query").dropDuplicates([key]), key, vector, scale)
-    asked = assign(wanted, centres)
+    # Of several vectors with the key of a query, the smallest asks.
+    asked = assign(usable.where("asks").groupBy("id").agg(F.min("v").alias("v")), centres)
     near = [x for row in summaries(data, k) for x in row["near"]]
     known_ids = np.array([x["id"] for x in near], np.int64)
     known = np.array([x["v"] for x in near], np.int64)
@@ -148,8 +172,7 @@ def top_k(
     )
     d_blocks = -(-max(1, data.count()) // data_block)
     d_block = F.pmod(F.xxhash64("id"), F.lit(d_blocks)).cast("int")
-    sent = data.join(plan, "cell").where(F.col("dist") >= F.col("least"))
-    sent = sent.select(
+    sent = needed_vectors(data, plan).select(
         "id", "v", "grp", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), d_block.alias("db")
     )
     q_block = F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int")

@@ -106,17 +106,23 @@ def _fit_bits(x: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = 300)
 
 
 def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
-    """Learn from at most ``per_language`` texts of each language, those with the least hash of ``doc_id``.
+    """Learn from at most ``per_language`` texts of each language, drawn at random.
 
-    ``docs`` holds the rows to learn from; rows without text or language are left out. The sample
-    is found on ids alone; only its texts reach the driver. None if there is nothing to learn from.
+    ``docs`` holds the rows to learn from; rows without text or language are left out. Rows are drawn one
+    by one, the same for the same files: repeated ids and texts are no more than others. A first pass counts
+    the rows of each language, and only a few more than the sample are ranked. None if there is nothing to learn from.
     """
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order))
-    ids = ids.where(F.col("_rank") <= per_language).select("doc_id").distinct()
-    # At most per_language rows for each language.
-    sample = usable.join(F.broadcast(ids), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
+    # One row per language; twice the sample is drawn, so that hardly a sample is short.
+    rates = {r["lang"]: 2 * per_language / r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not rates:
+        return None
+    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
+    own = usable.withColumn("_own", F.xxhash64("lang", "text", F.monotonically_increasing_id()))
+    drawn = own.where(F.pmod("_own", F.lit(1 << 30)) < rate * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("_own", "text")
+    drawn = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
+    sample = drawn.select("lang", "text", "_own").toArrow().sort_by([("_own", "ascending")])
     languages = sorted(set(sample.column("lang").to_pylist()))
     if not languages:
         return None

@@ -2,8 +2,9 @@
 
 Terms are words and word stems (prefixes), hashed. A factorization machine adds, to a weight per
 term, the inner product of the factors of every two terms of a text, so that it learns pairs such
-as an insult with the mention of a group. Which terms the machine sees is decided by counts over
-all labelled rows; it is fitted on a bounded sample of them and scores whole texts.
+as an insult with the mention of a group. The machine sees the terms that tell the labels apart by
+themselves, over all labelled rows it is given, and those that do so in pairs, among the most frequent
+terms of either label; it is fitted on a bounded sample of the rows and scores whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from impactrec.llm.words import ALNUM, Texts, Words, mix, slices
+from impactrec.llm.tables import unused
+from impactrec.llm.words import ALNUM, Texts, Words, as_long, mix, slices
+from impactrec.staging import stage
 
 TERM_BITS = 20
 STEMS = (4, 5)
@@ -64,27 +67,54 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def choose_terms(rows: DataFrame, clean: int, toxic: int, most: int) -> np.ndarray:
-    """The terms that tell the labels apart, by how many texts of each label hold them.
+def _surer(share0, share1, clean: int, toxic: int):
+    """How many standard deviations two shares are apart; for columns as for arrays."""
+    pooled = (share0 * clean + share1 * toxic) / (clean + toxic)
+    return (share1 - share0) / (pooled * (1 - pooled) * (1.0 / clean + 1.0 / toxic)) ** 0.5
 
-    Counted over all rows and added up by Spark. A term counts if it is at least ``e`` times as
-    frequent under one label and too often so for chance; of those the ``most`` surest are kept.
+
+def choose_terms(rows: DataFrame, clean: int, toxic: int, most: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that tell the labels apart alone, and the most frequent ones of either label.
+
+    By how many texts of each label hold a term, counted over all rows and added up by Spark. Alone, a
+    term counts if its shares are 5 standard deviations apart, or 3 where one is ``e`` times the other;
+    the ``most`` surest are kept. Of the frequent terms, pairs are looked at later, whatever their shares.
     """
     counted = rows.mapInArrow(_term_counts, "term long, clean long, toxic long").groupBy("term")
-    c0, c1 = F.col("c0"), F.col("c1")
-    share0, share1 = (c0 + 0.5) / (clean + 1), (c1 + 0.5) / (toxic + 1)
-    pooled = (c0 + c1 + 1) / (clean + toxic + 2)
-    spread = F.sqrt(pooled * (1 - pooled) * (1.0 / (clean + 1) + 1.0 / (toxic + 1)))
-    sure = F.abs(share1 - share0) / spread
-    found = (
-        counted.agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1"))
-        .where(F.abs(F.log(share1 / share0)) >= 1)
-        .select("term", sure.alias("sure"))
-        .where(F.col("sure") >= 3)
-        .orderBy(F.desc("sure"), "term")
-        .limit(most)
+    share0, share1 = (F.col("c0") + 0.5) / (clean + 1), (F.col("c1") + 0.5) / (toxic + 1)
+    rated = stage(
+        counted.agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).select(
+            "term", "c0", "c1", F.abs(_surer(share0, share1, clean + 1, toxic + 1)).alias("sure"), F.abs(F.log(share1 / share0)).alias("ratio")
+        )
     )
-    return np.sort(np.array([r["term"] for r in found.collect()], np.int64))
+    alone = rated.where("sure >= 5 or (sure >= 3 and ratio >= 1)").orderBy(F.desc("sure"), "term").limit(most)
+    often = [rated.orderBy(F.desc(c), "term").limit(frequent) for c in ("c0", "c1")]
+    ids = [np.array([r["term"] for r in part.select("term").collect()], np.int64) for part in (alone, *often)]
+    return np.sort(ids[0]), np.unique(np.concatenate(ids[1:]))
+
+
+def paired_terms(owner: np.ndarray, term: np.ndarray, label: np.ndarray, size: int, pairs: int = 500) -> np.ndarray:
+    """Of ``size`` terms those of which two together tell the labels apart better than either does alone.
+
+    From the texts (``owner`` sorted) of a sample: how many of either label hold both terms. Chance is
+    allowed for: six standard deviations, and a fifth more than the surer term of the two.
+    """
+    both = np.zeros((2, size, size), np.float32)
+    n = np.bincount(label.astype(int), minlength=2)
+    for at in range(0, len(label), 4096):
+        a, b = np.searchsorted(owner, (at, at + 4096))
+        held = np.zeros((min(4096, len(label) - at), size), np.float32)
+        held[owner[a:b] - at, term[a:b]] = 1
+        for y in (0, 1):
+            part = held[label[at : at + 4096] == y]
+            both[y] += part.T @ part
+    share = (both + 0.5) / (n[:, None, None] + 1)
+    sure = np.abs(_surer(share[0], share[1], int(n[0]) + 1, int(n[1]) + 1))
+    single = np.diagonal(sure)
+    more = np.triu((sure >= 6) & (sure >= 1.2 * np.maximum(single[:, None], single[None])), 1)
+    x, y = np.nonzero(more)
+    best = np.argsort(-sure[x, y], kind="stable")[:pairs]
+    return np.unique(np.concatenate([x[best], y[best]]))
 
 
 def _active(column: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -141,56 +171,82 @@ def fit_machine(
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = 500_000) -> DataFrame:
-    """``doc_id, text, toxic`` of about ``most`` labelled documents at most, those with a low hash of ``doc_id``.
+    """``doc_id, text, toxic`` of at most about ``most`` labels, half of them of each kind if it has as many.
 
-    The bound lets the labels be sent to the documents, whose texts are not shuffled.
+    Those with a low hash of ``doc_id`` are taken, by a rate of each label's own, so that a rare label stays
+    whole. A ``doc_id`` with several label rows is toxic if one of them says so. The bound lets the labels be
+    sent to the documents, whose texts are not shuffled; every document with the id of a label is a row.
     """
-    known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    rate = min(1.0, most / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1_000_000)) < rate * 1_000_000)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = stage(known.select("doc_id", F.col("toxic").cast("int").alias("toxic")))
+    share = F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1_000_000)) / 1_000_000
+    drawn = known.where(share < _by_label(_rates(known, most // 2)))
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
 
-def fit(rows: DataFrame, per_label: int = 20_000, most_terms: int = 20_000) -> Model | None:
+def _rates(rows: DataFrame, most: int) -> dict[int, float]:
+    """By label, the part of the rows that leaves about ``most`` of them."""
+    return {r["toxic"]: min(1.0, most / r["count"]) for r in rows.groupBy("toxic").count().collect()}
+
+
+def _by_label(rate: dict[int, float]):
+    return F.when(F.col("toxic") == 1, rate.get(1, 0.0)).otherwise(rate.get(0, 0.0))
+
+
+def fit(rows: DataFrame, per_label: int = 20_000, most_terms: int = 20_000, frequent: int = 750) -> Model | None:
     """Learn from ``doc_id, text, toxic`` rows; rows without a label of 0 or 1 or without text are left out.
 
-    Terms are chosen by counts over all rows. The machine is fitted on about ``per_label`` rows of
-    each label at most, those with a low hash of ``doc_id``, weighted to stand for all. None if a
-    label does not occur.
+    Terms are chosen by counts over all rows, pairs of terms among the ``frequent`` most frequent of
+    either label. Pairs and the machine itself come from about ``per_label`` rows of each label at most,
+    weighted to stand for all. Rows are drawn one by one, so that many of one ``doc_id`` are no more than
+    others. None if a label does not occur.
     """
     usable = rows.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "text", "toxic")
     n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
-    kept = choose_terms(usable, n[0], n[1], most_terms)
-    chosen = np.full(1 << TERM_BITS, -1, np.int32)
-    chosen[kept] = np.arange(len(kept))
+    alone, often = choose_terms(usable, n[0], n[1], most_terms, frequent)
+    seen = np.union1d(alone, often)
+    number = np.full(1 << TERM_BITS, -1, np.int32)
+    number[seen] = np.arange(len(seen))
     rate = {k: min(1.0, per_label / v) for k, v in n.items()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    drawn = usable.where(share < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+    own = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    drawn = usable.withColumn("_own", own).where(F.pmod("_own", F.lit(1_000_000)) / 1_000_000 < _by_label(rate)).drop("_own")
+    shared = rows.sparkSession.sparkContext.broadcast(number)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             owner, term, size = _active(batch.column("text"), shared.value)
             bounds = np.searchsorted(owner, np.arange(size + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), lists], names=["doc_id", "toxic", "terms"]
-            )
+            key = pa.array(as_long(Words(Texts(batch.column("text"))).spans.hashes(*_bounds(batch.column("text")))))
+            yield pa.RecordBatch.from_arrays([key, batch.column("toxic").cast(pa.int32()), lists], names=["key", "toxic", "terms"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sample = drawn.mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<int>").toArrow()
-    sample = sample.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    sample = drawn.mapInArrow(vectors, "key long, toxic int, terms array<int>").toArrow()
+    sample = sample.sort_by([("key", "ascending"), ("toxic", "ascending")]).combine_chunks()
     label = sample.column("toxic").to_numpy().astype(np.float64)
     lists = sample.column("terms").combine_chunks()
-    lengths = np.diff(np.asarray(lists.offsets))
     term = np.asarray(lists.flatten()).astype(np.int64)
+    owner = np.repeat(np.arange(len(label)), np.diff(np.asarray(lists.offsets)))
+
+    place = np.full(len(seen), -1)
+    place[np.searchsorted(seen, often)] = np.arange(len(often))
+    frequent_ones = place[term] >= 0
+    paired = often[paired_terms(owner[frequent_ones], place[term[frequent_ones]], label, len(often))]
+    kept = np.union1d(alone, paired)
+    chosen = np.full(1 << TERM_BITS, -1, np.int32)
+    chosen[kept] = np.arange(len(kept))
+    of_kept = chosen[seen][term]
+    owner, term = owner[of_kept >= 0], of_kept[of_kept >= 0].astype(np.int64)
     weight = np.where(label == 1, 1 / rate[1], 1 / rate[0])
-    owner = np.repeat(np.arange(len(label)), lengths)
     return Model(chosen, *fit_machine(owner, term, label, weight / weight.mean(), max(1, len(kept))))
 
 
+def _bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = Texts(column).offsets
+    return offsets[:-1], offsets[1:]
+
+
 def score(
     docs: DataFrame, model: Model | None, threshold: float = 0.3, keep: Sequence[str] = ("doc_id",),
     names: tuple[str, str] = ("score", "predicted"),
@@ -201,14 +257,14 @@ def score(
     score is 0. Equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = list(keep)
+    keep, [text] = list(keep), unused(docs, "text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, text):
             result = np.zeros(batch.num_rows)
             if machine is not None:
-                owner, term, n = _active(batch.column("_text"), machine.chosen)
+                owner, term, n = _active(batch.column(text), machine.chosen)
                 out, _ = margins(owner, term, n, machine.bias, machine.weights, machine.factors)
                 result = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             flags = pa.array((result >= threshold).astype(np.int32))
@@ -217,4 +273,4 @@ def score(
             )
 
     schema = docs.select(*keep).schema.add(names[0], T.DoubleType()).add(names[1], T.IntegerType())
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(judge, schema)
+    return docs.select(*keep, docs["text"].alias(text)).mapInArrow(judge, schema)

@@ -81,3 +81,81 @@ def test_machine_learns_a_pair():
     model = toxicity.fit_machine(owner, term, label, np.ones(1500), 6, epochs=60)
     out, _ = toxicity.margins(owner, term, 1500, *model)
     assert ((out > 0) == (label == 1)).mean() > 0.97
+
+
+def _insults(groups, n=4000, seed=3):
+    """Texts that are toxic exactly where an insult and a mention of a group meet; each is also in 40 % of the clean texts."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        toxic = i % 2
+        group = groups[rng.integers(len(groups))]
+        kind = rng.random()
+        said = ["insultword", group] if toxic else ["insultword"] if kind < 0.4 else [group] if kind < 0.8 else []
+        filler = [f"filler{k}" for k in rng.integers(0, 300, 30)]
+        text = " ".join(rng.permutation(filler + said))
+        rows.append((i, text, toxic))
+    return rows
+
+
+@pytest.mark.parametrize("groups", [["grouponly"], ["groupone", "grouptwo", "groupthree"]])
+def test_an_insult_and_a_group_are_toxic_together(spark, groups):
+    rows = spark.createDataFrame(_insults(groups), "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.where("doc_id % 4 <> 3"))
+    scored = toxicity.score(rows, model, keep=("doc_id", "toxic")).where("doc_id % 4 in (2, 3)")
+    found = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    for label in (0, 1):
+        assert found.get((label, label), 0) > 0.95 * (found.get((label, 0), 0) + found.get((label, 1), 0))
+
+
+def test_pairs_of_terms_that_are_neutral_alone():
+    """Two of twenty terms decide, each as frequent under either label: only the pair tells."""
+    rng = np.random.default_rng(2)
+    texts = [np.flatnonzero(rng.random(20) < 0.5) for _ in range(5000)]
+    label = np.array([float((3 in t) == (11 in t)) for t in texts])
+    owner, term = np.repeat(np.arange(5000), [len(t) for t in texts]), np.concatenate(texts)
+    assert toxicity.paired_terms(owner, term, label, 20).tolist() == [3, 11]
+    assert toxicity.paired_terms(owner, term, rng.permutation(label), 20).tolist() == []
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """One id and one text in many rows: no more of them reach the driver than a sample holds."""
+    rows = spark.createDataFrame([(1, f"some text {i % 3}", "en", i % 2) for i in range(5000)], "doc_id long, text string, lang string, toxic int")
+    drawn = []
+    arrow = type(rows).toArrow
+    type(rows).toArrow = lambda self: drawn.append(arrow(self)) or drawn[-1]
+    try:
+        language.fit(rows, per_language=10)
+        toxicity.fit(rows, per_label=10)
+    finally:
+        type(rows).toArrow = arrow
+    assert drawn[0].num_rows == 10 and drawn[1].num_rows < 60
+
+
+def test_a_rare_label_stays_whole(spark):
+    labels = spark.range(20_000).selectExpr("id as doc_id", "int(id % 1000 = 0) as toxic").unionByName(
+        spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int"))
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
+    found = {r["toxic"]: r["count"] for r in toxicity.labelled(docs, labels, most=2000).groupBy("toxic").count().collect()}
+    assert found[1] == 21 and 800 < found[0] < 1200
+
+
+def test_other_columns_of_the_names_used_inside(spark):
+    docs = spark.createDataFrame([(1, "a b", "t")], "doc_id long, text string, _text string")
+    assert [tuple(r) for r in toxicity.score(docs, None, keep=docs.columns).collect()] == [(1, "a b", "t", 0.0, 0)]
+
+
+def test_decoding_is_the_nearest_codeword_of_all():
+    """Against a loop over all codewords and bits."""
+    rng = np.random.default_rng(4)
+    code = language.codewords(7)
+    model = language.Model(list("abcdefg"), code, rng.normal(size=(30, code.shape[1])).astype(np.float32), rng.normal(size=code.shape[1]))
+    x = rng.normal(size=(50, 30)).astype(np.float32)
+    best, share, margin = language.decode(model, x)
+    for i, row in enumerate(x):
+        bits = [float(row @ model.weights[:, b] + model.bias[b]) for b in range(code.shape[1])]
+        loss = [sum(np.log1p(np.exp(-c * z)) for c, z in zip(word, bits)) for word in code]
+        ahead = sorted(loss)
+        assert best[i] == loss.index(ahead[0])
+        assert margin[i] == pytest.approx(ahead[1] - ahead[0], rel=1e-3)
+        assert share[i] == pytest.approx(np.exp(-ahead[0]) / sum(np.exp(-z) for z in loss), rel=1e-3)

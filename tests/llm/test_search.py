@@ -36,15 +36,34 @@ def test_fewer_candidates_than_k(spark):
     assert knn.top_k(one, F.col("vec_id") == 0).collect() == []
 
 
-def test_only_cells_in_reach_are_sent(spark):
-    """With cells far apart, a group of queries needs few vectors."""
+def test_only_cells_in_reach_are_sent(spark, monkeypatch):
+    """With cells far apart, the blocks solved hold few vectors for each group of queries."""
     rng = np.random.default_rng(6)
     centres = np.eye(8) * 10
     rows = [(i, (centres[i % 8] + rng.normal(size=8) * 0.01).tolist()) for i in range(800)]
-    vectors = knn.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024)
-    pivots = (centres * 1024).astype(np.int64)
-    data = knn.assign(vectors, pivots).toPandas()
-    assert data["dist"].max() < 100 and data["cell"].nunique() == 8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent, needed = [], knn.needed_vectors
+    monkeypatch.setattr(knn, "needed_vectors", lambda *args: sent.append(needed(*args)) or sent[0])
+    monkeypatch.setattr(knn, "choose_pivots", lambda vectors, n: (centres * 1024).astype(np.int64))
+    assert knn.top_k(df, F.col("vec_id") < 8, k=7, groups=8).count() == 56
+    assert 100 <= sent[0].count() <= 1000
+
+
+def test_a_key_asks_with_its_valid_vector(spark):
+    """Key 0 first with a null, then with two valid vectors; the smaller asks, the other is no candidate of its own key."""
+    rows = [(0, None), (0, [1.0, None]), (0, [0.5, 0.0]), (0, [0.25, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    found = knn.top_k(df, F.col("vec_id") == 0).collect()
+    assert [tuple(r) for r in found] == [(0, 1, 2, 9 * 1024 * 1024), (0, 2, 1, 256 * 1024)]
+
+
+def test_vectors_that_cannot_be_compared_are_named(spark):
+    df = spark.createDataFrame([(5, [1.0, 2.0]), (6, [1.0, 2.0, 3.0]), (7, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="1 components at key 7, 3 at key 6"):
+        knn.top_k(df, F.col("vec_id") == 5)
+    df = spark.createDataFrame([(5, [1.0, 2.0]), (6, [1e8, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="at key 6, do not fit"):
+        knn.top_k(df, F.col("vec_id") == 5)
 
 
 def test_notices_match_all_templates(spark, odd):
