@@ -104,3 +104,58 @@ def running_totals(
         *[(F.col(f"_local_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sums],
         *[F.col(f"total_{c}") for c in sums],
     )
+
+
+def _next_within(by: list[str], cols: list[str]):
+    """A task function that adds what follows each row in its group; the last row of a group in the task is open."""
+
+    def rows(batch: pa.RecordBatch, at: np.ndarray, following: list[pa.Array], open_: bool, first: list) -> pa.RecordBatch:
+        names = [*batch.schema.names, *[f"next_{c}" for c in cols], "_open", *[f"_first_{c}" for c in cols]]
+        columns = [x.take(pa.array(at)) for x in batch.columns]
+        return pa.RecordBatch.from_arrays([*columns, *following, pa.array(np.full(len(at), open_)), *first], names=names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, pa.RecordBatch] = {}
+        first: dict[tuple, list[pa.Array]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, groups = _codes(batch, by)
+            order = np.argsort(codes, kind="stable")
+            same = codes[order][1:] == codes[order][:-1]
+            starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
+            last = order[np.append(starts[1:], len(order)) - 1]
+            values = [batch.column(c) for c in cols]
+            none = [pa.nulls(int(same.sum()), v.type) for v in values]
+            yield rows(batch, order[:-1][same], [v.take(pa.array(order[1:][same])) for v in values], False, none)
+            for g, key in enumerate(groups):
+                begin = [v.slice(int(order[starts[g]]), 1) for v in values]
+                if key in held:
+                    yield rows(held[key], np.array([0]), begin, False, [pa.nulls(1, v.type) for v in values])
+                first.setdefault(key, begin)
+                held[key] = batch.take(pa.array([int(last[g])]))
+        for key, row in held.items():
+            yield rows(row, np.array([0]), [pa.nulls(1, v.type) for v in first[key]], True, first[key])
+
+    return add
+
+
+def following_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
+    """Add ``next_<c>``, the values of ``cols`` in the next row of the group, NULL in its last row.
+
+    ``by`` must not hold NULL, and ``by`` and ``order`` together must be unique. The rows are range-partitioned
+    once; across the borders of ranges one row per group and range is exchanged, so that no task
+    sees a whole group.
+    """
+    by, cols = list(by), list(cols)
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*order)
+    field = ranged.schema
+    added = [T.StructField(f"next_{c}", field[c].dataType) for c in cols]
+    added += [T.StructField("_open", T.BooleanType()), *[T.StructField(f"_first_{c}", field[c].dataType) for c in cols]]
+    within = ranged.mapInArrow(_next_within(by, cols), T.StructType([*field.fields, *added]))
+    found = stage(within.withColumn(_RANGE, F.spark_partition_id()))
+    later = Window.partitionBy(*by).orderBy(_RANGE)
+    borders = found.where("_open").select(*by, _RANGE, *[F.lead(f"_first_{c}").over(later).alias(f"_after_{c}") for c in cols])
+    closed = found.where("NOT _open").select(*df.columns, *[f"next_{c}" for c in cols])
+    ends = found.where("_open").join(stage(borders), [*by, _RANGE])
+    return closed.unionByName(ends.select(*df.columns, *[F.col(f"_after_{c}").alias(f"next_{c}") for c in cols]))

@@ -27,9 +27,11 @@ from impactrec.operators.profile import (
     describe_long,
     distinct_values,
     duplicate_rows,
+    histograms,
     preview,
     profile,
     quantiles,
+    top_values,
     value_counts,
 )
 from impactrec.operators.recommend import recommend

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from impactrec.functions.expressions import scores_array
-from impactrec.functions.ordering import running_totals
+from impactrec.functions.ordering import following_rows, running_totals
 from impactrec.sources.schema import LABEL
 
 
@@ -98,6 +98,7 @@ def roc(
     classes: Sequence[int] | None = None,
     hard: bool = False,
     prediction: str = "prediction",
+    corners: bool = False,
 ) -> DataFrame:
     """One-against-rest curve ``(label, threshold, fpr, tpr)`` at every distinct score of every class.
 
@@ -106,11 +107,16 @@ def roc(
     confusion table alone answers. A rate without rows behind it is NULL, and a class the
     model does not know has the one threshold NULL. The start of each curve, (0, 0), has an
     infinite threshold.
+
+    ``corners=True`` leaves out the points between two steps of equal size, which lie on a straight
+    line; the first and the last point stay. The area is the same.
     """
     if hard:
         return _hard_roc(df, label, prediction, classes)
-    counts = _score_counts(df, scores, label, classes)
-    ranked = running_totals(counts, ["label"], [F.col("score").desc()], ["p", "n"])
+    counts, order = _score_counts(df, scores, label, classes), [F.col("score").desc()]
+    if corners:
+        counts = following_rows(counts, ["label"], order, ["p", "n"])
+    ranked = running_totals(counts, ["label"], order, ["p", "n"])
     if classes is None:
         ranked = ranked.where("total_p > 0")
     point = _point(
@@ -120,6 +126,9 @@ def roc(
     )
     is_first = (F.col("cum_p") == F.col("p")) & (F.col("cum_n") == F.col("n"))
     points = F.when(is_first, F.array(_origin(), point)).otherwise(F.array(point))
+    if corners:
+        straight = (F.col("next_p") == F.col("p")) & (F.col("next_n") == F.col("n"))
+        ranked = ranked.where(is_first | ~F.coalesce(straight, F.lit(False)))
     return ranked.select("label", F.inline(points))
 
 

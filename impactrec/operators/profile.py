@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from impactrec.functions.bounds import RANK_ERROR, at_rank, merge_group, rank_sketches
 from impactrec.functions.expressions import SENTINEL, is_missing
 from impactrec.functions.ordering import running_totals
 from impactrec.staging import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Partial sketches are merged in two steps, first in this many groups of input tasks, so
-# that no single task has to merge one sketch per task of a very large scan.
-_MERGE_FANOUT = 256
-
+# Values that a few tasks can rank by a window; more are ranked along ranges.
+_WINDOW_ROWS = 200_000
 
 def preview(df: DataFrame, n: int = 20, order_by: str | Sequence[str] | None = None) -> DataFrame:
     """The first rows, by key where one is given; runs as a top-k, not a full sort."""
@@ -110,50 +110,67 @@ def _column_name(cols: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(c) for c in cols]), F.col("column_id")).alias("column_name")
 
 
-def _quantiles_of(frequencies: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    numbers = frequencies.where("number IS NOT NULL AND NOT isnan(number)")
-    order = [F.col(c) for c in ("number", "text") if c in numbers.columns]
-    ranked = running_totals(numbers, ["column_id"], order, ["n"], keep=["number"])
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-
-    # The linear position q * (n - 1) falls between two ranks; a value is needed if it holds either.
-    def ranks(probability: Column) -> tuple[Column, Column, Column]:
-        spot = probability * (F.col("total_n") - 1)
-        return spot, F.floor(spot), F.ceil(spot)
-
-    def needed(probability: Column) -> Column:
-        _, low, high = ranks(probability)
-        return low.between(first, last) | high.between(first, last)
-
-    wanted = [F.lit(float(p)) for p in probabilities]
-    spot, low, high = ranks(F.col("probability"))
-    return (
-        ranked.where(reduce(or_, map(needed, wanted)))
-        .select("*", F.explode(F.array(*wanted)).alias("probability"))
-        .where(needed(F.col("probability")))
-        .select(
-            "column_id",
-            "probability",
-            (spot - low).alias("weight"),
-            F.when(low.between(first, last), F.col("number")).alias("low"),
-            F.when(high.between(first, last), F.col("number")).alias("high"),
-        )
-        .groupBy("column_id", "probability")
-        .agg((F.max("low") + (F.max("high") - F.max("low")) * F.max("weight")).alias("value"))
-    )
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float] = QUARTILES) -> DataFrame:
-    """Exact interpolated quantiles ``(column_name, probability, value)``, at any data size."""
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("column_id"), F.col(c).cast("double").alias("number")) for i, c in enumerate(cols)
-    ])
-    frequencies = (
-        df.select(F.explode(cells).alias("cell"))
-        .groupBy("cell.column_id", "cell.number")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return _quantiles_of(frequencies, probabilities).select(_column_name(cols), "probability", "value")
+    """Exact interpolated quantiles ``(column_name, probability, value)``, at any data size.
+
+    A sketch of every column brackets the ranks wanted; a second scan counts exactly what lies below and
+    inside the brackets; only the values inside, some thousandths of all, are shuffled and ranked. A
+    bracket that misses its rank is opened. A column without numbers has no rows.
+    """
+    numbers = {str(i): F.col(c).cast("double") for i, c in enumerate(cols)}
+    known = df.select(*[F.when(~F.isnan(v), v).alias(i) for i, v in numbers.items()])
+    sketched = rank_sketches(known, [], {i: F.col(i) for i in numbers}).select(
+        *[
+            F.struct(
+                F.col(f"n_{i}").alias("n"),
+                *[
+                    F.when(F.col(f"n_{i}") > 0, at_rank(F.col(f"order_{i}"), float(p) + side * RANK_ERROR)).alias(f"b{k}_{side + 1}")
+                    for k, p in enumerate(probabilities)
+                    for side in (-1, 1)
+                ],
+            ).alias(i)
+            for i in numbers
+        ]
+    ).first()
+    # One bracket for each column and probability: the ranks in it, and the least and greatest value.
+    brackets = []
+    for i in numbers:
+        if n := sketched[i]["n"]:
+            for k, p in enumerate(probabilities):
+                spot = float(p) * (n - 1)
+                low = sketched[i][f"b{k}_0"] if p > RANK_ERROR else -math.inf
+                high = sketched[i][f"b{k}_2"] if p < 1 - RANK_ERROR else math.inf
+                brackets.append([i, float(p), spot, low, high])
+    spark = df.sparkSession
+    if not brackets:
+        return spark.createDataFrame([], "column_name string, probability double, value double")
+    counts = known.agg(*[
+        F.struct(F.count_if(F.col(i) < low).alias("below"), F.count_if(F.col(i) <= high).alias("upto")).alias(str(k))
+        for k, (i, _, _, low, high) in enumerate(brackets)
+    ]).first()
+    plan, cells, hits = [], [], []
+    for k, (i, p, spot, low, high) in enumerate(brackets):
+        below = counts[str(k)]["below"]
+        if not (below <= math.floor(spot) and math.ceil(spot) < counts[str(k)]["upto"]):
+            low, high, below = -math.inf, math.inf, 0
+        plan.append((k, cols[int(i)], p, math.floor(spot) - below, math.ceil(spot) - below, spot - math.floor(spot)))
+        hits.append(F.col(i).between(low, high))
+        cells.append(F.when(hits[-1], F.struct(F.lit(k).alias("bracket"), F.col(i).alias("number"))))
+    inside = stage(
+        known.where(reduce(or_, hits)).select(F.explode(F.array(*cells)).alias("cell")).where("cell IS NOT NULL")
+        .groupBy("cell.bracket", "cell.number").agg(F.count(F.lit(1)).alias("n"))
+    )
+    if inside.count() <= _WINDOW_ROWS:
+        upto = Window.partitionBy("bracket").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = inside.withColumn("cum_n", F.sum("n").over(upto))
+    else:
+        ranked = running_totals(inside, ["bracket"], [F.col("number")], ["n"])
+    wanted = spark.createDataFrame(plan, "bracket int, column_name string, probability double, low long, high long, weight double")
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    at = {side: F.when(F.col(side).between(first, last), F.col("number")) for side in ("low", "high")}
+    held = ranked.join(F.broadcast(wanted), "bracket").where(at["low"].isNotNull() | at["high"].isNotNull())
+    ends = held.groupBy("column_name", "probability", "weight").agg(F.max(at["low"]).alias("a"), F.max(at["high"]).alias("b"))
+    return ends.select("column_name", "probability", (F.col("a") + (F.col("b") - F.col("a")) * F.col("weight")).alias("value"))
 
 
 def _percent_name(probability: float) -> str:
@@ -209,7 +226,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Fals
 
 
 def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
-    frequencies = stage(value_frequencies(df, names))
+    frequencies = value_frequencies(df, names)
     known_number = F.col("number").isNotNull() & ~F.isnan("number")
     known_text = F.col("number").isNull() & F.col("text").isNotNull() & (F.col("text") != SENTINEL)
     known = known_number | known_text
@@ -224,16 +241,18 @@ def _exact_profile(df: DataFrame, names: list[str]) -> DataFrame:
     )
     # Moments of the rows themselves: their partial results merge without cancelling.
     moments = df.agg(F.array(*[_moments(df, i, c) for i, c in enumerate(names)]).alias("m")).select(F.inline("m"))
-    quarters = _quantiles_of(frequencies, QUARTILES).groupBy("column_id").agg(
+    numbers = [c for c in names if _is_numeric(df, c)]
+    quarters = quantiles(df, numbers).groupBy("column_name").agg(
         *[
             F.max(F.when(F.col("probability") == p, F.col("value"))).alias(f"p{round(p * 100)}")
             for p in QUARTILES
         ]
     )
     # One row per column on either side.
-    joined = counted.join(moments, "column_id").join(quarters, "column_id", "left")
+    joined = counted.join(moments, "column_id").withColumn("column_name", _column_name(names))
+    joined = joined.join(quarters, "column_name", "left")
     shown = ["n_rows", "n_missing", "n_distinct", "min", "max", "min_text", "max_text", "mean", "stddev"]
-    return joined.select(_column_name(names), *shown, *[c for c in quarters.columns if c != "column_id"])
+    return joined.select("column_name", *shown, *[c for c in quarters.columns if c != "column_name"])
 
 
 def _moments(df: DataFrame, i: int, column: str) -> Column:
@@ -295,12 +314,12 @@ def _sketched_profile(df: DataFrame, names: list[str]) -> DataFrame:
                 *[q.alias(f"p{round(p * 100)}") for p, q in zip(QUARTILES, quarters)],
             )
         )
-    first = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGE_FANOUT)).alias("_merge")).agg(*parts)
+    first = df.groupBy(merge_group()).agg(*parts)
     return first.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def _merged_moments(groups: Column, rows: Column) -> tuple[Column, Column]:
-    """Mean and standard deviation from counts, means and variances of at most ``_MERGE_FANOUT`` groups.
+    """Mean and standard deviation from counts, means and variances of at most ``MERGE_FANOUT`` groups.
 
     Everything is taken relative to the first group's mean and then to the mean of all, so that no
     large numbers cancel.
@@ -331,3 +350,63 @@ def column_histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         "bucket", (low + F.col("bucket") * width).alias("lower"),
         (low + (F.col("bucket") + 1) * width).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"),
     )
+
+
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, least_share: float = 0.01) -> DataFrame:
+    """``(column_name, value, n, share)``: every value that at least ``least_share`` of a column's rows hold.
+
+    Two scans for all columns. A mergeable sketch of frequent items finds candidates: it tracks so many values
+    that none above half of ``least_share`` can be missed. The second scan counts the candidates exactly. NULL,
+    NaN and the text ``NaN`` are no values, but their rows count for the share. Values are shown as text.
+    """
+    names = _described(df, cols)
+    # A sketch of m values (a power of two) can miss what fewer than 3.5 / m of the rows hold.
+    tracked = 1 << max(6, math.ceil(math.log2(7 / least_share)))
+    if tracked > 1_000_000:
+        raise ValueError(f"least_share must be at least {7 / 2**19:.2g}")
+    shown = {f"v{i}": F.col(c).cast("string") for i, c in enumerate(names)}
+    known = df.select(*[F.when(v != SENTINEL, v).alias(i) for i, v in shown.items()])
+    first = known.groupBy(merge_group()).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.expr(f"approx_top_k_accumulate({i}, {tracked})").alias(i) for i in shown]
+    )
+    merged = [F.expr(f"approx_top_k_estimate(approx_top_k_combine({i}, {tracked}), {math.ceil(2 / least_share)})").alias(i) for i in shown]
+    sketched = first.agg(F.sum("rows").alias("rows"), *merged).first()
+    rows = sketched["rows"] or 0
+    found = {i: sorted(x["item"] for x in sketched[i] or () if x["item"] is not None and 2 * x["count"] >= least_share * rows) for i in shown}
+    counted = known.agg(
+        *[F.array(*[F.count_if(F.col(i) == F.lit(v)) for v in found[i]]).cast("array<long>").alias(i) for i in shown]
+    ).first()
+    table = [
+        (c, v, n, n / rows)
+        for i, c in zip(shown, names)
+        for v, n in zip(found[i], counted[i])
+        if n >= least_share * rows and n
+    ]
+    return df.sparkSession.createDataFrame(table, "column_name string, value string, n long, share double")
+
+
+def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
+    """``(column_name, bucket, lower, upper, n)``: equal-width histograms of all numeric columns together.
+
+    One scan finds the ends of every column, a second counts all bins; no row is shuffled. Empty bins have a
+    row; a column of one value has one bin, and one without numbers none.
+    """
+    names = [c for c in _described(df, cols) if _is_numeric(df, c)]
+    values = {f"v{i}": F.col(c).cast("double") for i, c in enumerate(names)}
+    finite = df.select(*[F.when(~F.isnan(v) & (F.abs(v) < math.inf), v).alias(i) for i, v in values.items()])
+    ends = finite.agg(*[F.struct(F.min(i).alias("low"), F.max(i).alias("high")).alias(i) for i in values]).first()
+    parts, plan = [], []
+    for i, c in zip(values, names):
+        low, high = ends[i]
+        if low is None:
+            continue
+        width = (high - low) / bins
+        place = F.least(F.floor((F.col(i) - low) / width), F.lit(bins - 1)) if width else F.lit(0)
+        held = F.when(F.col(i).isNotNull(), place)
+        parts.append(F.array(*[F.count_if(held == b) for b in range(bins if width else 1)]).alias(i))
+        plan.append((i, c, low, width))
+    counted = finite.agg(*parts).first() if parts else None
+    table = [
+        (c, b, low + b * width, low + (b + 1) * width, n) for i, c, low, width in plan for b, n in enumerate(counted[i])
+    ]
+    return df.sparkSession.createDataFrame(table, "column_name string, bucket int, lower double, upper double, n long")

@@ -218,6 +218,29 @@ scored AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recal
   FROM rated)"""
 
 
+# The columns of the line items, and the numeric ones.
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_COLUMNS = [*_LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _top_values(table: str, cols: list[str], share: float) -> str:
+    return _union([
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n, "
+        f"ROUND(COUNT(*) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM {table}), 6) AS share FROM {table} "
+        f"WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) >= {share} * (SELECT COUNT(*) FROM {table})"
+        for c in cols
+    ])
+
+
+def _histograms(table: str, cols: list[str], bins: int) -> str:
+    return _union([
+        f"""SELECT '{c}' AS column_name, CAST(b AS INT) AS bucket, ROUND(lo + b * w, 6) AS lower, ROUND(lo + (b + 1) * w, 6) AS upper,
+  (SELECT COUNT(*) FROM {table} WHERE LEAST(FLOOR((CAST({c} AS DOUBLE) - lo) / w), {bins - 1}) = b) AS n
+FROM (SELECT CAST(MIN({c}) AS DOUBLE) AS lo, (CAST(MAX({c}) AS DOUBLE) - CAST(MIN({c}) AS DOUBLE)) / {bins} AS w FROM {table}), range({bins}) t(b)"""
+        for c in cols
+    ])
+
+
 def _points(table: str, classes: list[int], score: str = "p{}") -> str:
     parts = _union([f"SELECT {k} AS label, {score.format(k)} AS score, EI = {k} AS hit FROM {table}" for k in classes])
     return f"""points AS ({parts}),
@@ -234,6 +257,15 @@ SELECT CAST(label AS INT) AS label, ROUND(score, 6) AS threshold, ROUND(CAST(fp
 UNION ALL
 SELECT DISTINCT CAST(label AS INT), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM ranked"""
 
+_CORNERS = """,
+steps AS (SELECT *, LEAD(p) OVER d AS next_p, LEAD(n) OVER d AS next_n, ROW_NUMBER() OVER d AS place
+  FROM ranked WINDOW d AS (PARTITION BY label ORDER BY score DESC))
+SELECT CAST(label AS INT) AS label, ROUND(score, 6) AS threshold, ROUND(CAST(fp AS DOUBLE) / all_n, 6) AS fpr,
+  ROUND(CAST(tp AS DOUBLE) / all_p, 6) AS tpr FROM steps
+WHERE place = 1 OR next_p IS NULL OR next_p <> p OR next_n <> n
+UNION ALL
+SELECT DISTINCT CAST(label AS INT), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM ranked"""
+
 _AUC = """areas AS (SELECT CAST(label AS INT) AS label,
   SUM(CAST(p AS DOUBLE) * (all_n - fp + 0.5 * n)) / (CAST(MAX(all_p) AS DOUBLE) * MAX(all_n)) AS auc
   FROM ranked GROUP BY label)"""
@@ -408,6 +440,10 @@ lines AS (SELECT l_linenumber AS line, 1e9 + l_linenumber * CAST(1e-5 AS DOUBLE)
         "roc_curve": _with(_SCORES, _points("scores", [1, 2, 3, 4, 5])) + _ROC,
         "roc_hard_label": _with(_SCORES, _points("scores", [1, 2, 3, 4, 5], "CAST(prediction = {} AS DOUBLE)")) + _ROC,
         "roc_curve_lines": _with(_LINE_SCORES, _points("line_scores", [1, 2, 3])) + _ROC,
+        "roc_curve_corners": _with(_LINE_SCORES, _points("line_scores", [1, 2, 3])) + _CORNERS,
+        "roc_product_corners": _with(_SCORES, _points("scores", [1, 2, 3, 4, 5])) + _CORNERS,
+        "profile_top_values": _top_values("lineitem", _LINE_COLUMNS, 0.01),
+        "profile_histograms": _histograms("lineitem", _LINE_NUMBERS, 12),
         "auc_per_class": _with(_SCORES, _points("scores", [1, 2, 3, 4, 5]), _AUC) + "SELECT label, ROUND(auc, 6) AS auc FROM areas",
         "auc_lines": _with(_LINE_SCORES, _points("line_scores", [1, 2, 3]), _AUC) + "SELECT label, ROUND(auc, 6) AS auc FROM areas",
         "auc_mean": _with(_SCORES, _points("scores", [1, 2, 3, 4, 5]), _AUC)

@@ -218,6 +218,17 @@ def column_histogram(spark, folder):
     return _rounded(ops.column_histogram(_lineitem(spark, folder), "l_extendedprice", 20), "lower", "upper")
 
 
+@query
+def profile_top_values(spark, folder):
+    """Every value that at least one row in a hundred holds, of all columns of the line items."""
+    return _rounded(ops.top_values(_lineitem(spark, folder)), "share")
+
+
+@query
+def profile_histograms(spark, folder):
+    return _rounded(ops.histograms(_lineitem(spark, folder), bins=12), "lower", "upper")
+
+
 @query
 def distinct_values(spark, folder):
     return ops.distinct_values(product_table(spark, folder), "Washing_instruction")
@@ -517,6 +528,17 @@ def roc_curve_lines(spark, folder):
     return _finite_start(ops.roc(line_scores(spark, folder), classes=[1, 2, 3]))
 
 
+@query
+def roc_curve_corners(spark, folder):
+    """The curve without the points that lie on straight lines."""
+    return _finite_start(ops.roc(line_scores(spark, folder), classes=[1, 2, 3], corners=True))
+
+
+@query
+def roc_product_corners(spark, folder):
+    return _finite_start(ops.roc(_scores(spark, folder), corners=True))
+
+
 @query
 def auc_per_class(spark, folder):
     return _rounded(ops.auc(_scores(spark, folder)), "auc")

@@ -82,3 +82,20 @@ def test_rows_without_a_label_are_left_out(spark):
     table = spark.createDataFrame(rows, "EI int, prediction double")
     assert classification_metrics(table).first().accuracy == 1.0
     assert unlabelled_rows(table).first().n_unlabelled == 2
+
+
+def test_corners_keep_the_area(spark):
+    """Points on straight lines go, the first and last stay, and the curve between them is the same."""
+    scores = [0.9, 0.9, 0.8, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]
+    labels = [1, 0, 1, 0, 1, 1, 0, 0, 0, 1, 0]
+    rows = [(y, [1 - s, s]) for s, y in zip(scores, labels)]
+    table = spark.createDataFrame(rows, "EI int, probability array<double>")
+    curve = sorted((-r.threshold, r.fpr, r.tpr) for r in roc(table, classes=[1]).collect())
+    cut = sorted((-r.threshold, r.fpr, r.tpr) for r in roc(table, classes=[1], corners=True).collect())
+    kept = [-t for t, _, _ in cut[1:]]
+    assert kept == [0.9, 0.8, 0.6, 0.3, 0.2, 0.1] and set(cut) <= set(curve)
+
+    def area(points):
+        return sum((b[1] - a[1]) * (a[2] + b[2]) / 2 for a, b in zip(points, points[1:]))
+
+    assert area(cut) == pytest.approx(area(curve))

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from impactrec.functions import running_totals
+from impactrec.functions import following_rows, running_totals
 from impactrec.staging import stage, staged
 
 
@@ -68,3 +68,24 @@ def test_a_scope_deletes_its_own_tables(spark):
     assert outer.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_following_rows_across_ranges(spark):
+    """Groups that go on over many ranges and batches, one of a third of the rows, and groups of one row."""
+    draw = random.Random(6)
+    rows = list({(draw.choice([0, 0, 1, 2, 3]), v): (draw.randint(0, 9), None if v % 5 == 0 else f"t{v}") for v in draw.sample(range(9000), 4000)}.items())
+    rows = [(g, v, n, t) for (g, v), (n, t) in rows] + [(9, 1, 1, "alone")]
+    table = spark.createDataFrame(rows, "g int, v int, n int, t string").repartition(5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = {(r.g, r.v): (r.n, r.next_n, r.next_t) for r in following_rows(table, ["g"], [F.desc("v")], ["n", "t"]).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(found) == len(rows)
+    for g in {r[0] for r in rows}:
+        ordered = sorted((r for r in rows if r[0] == g), key=lambda r: -r[1])
+        for one, two in zip(ordered, [*ordered[1:], None]):
+            assert found[one[:2]] == (one[2], two and two[2], two and two[3])

@@ -9,9 +9,11 @@ from impactrec.operators import (
     describe_long,
     distinct_values,
     duplicate_rows,
+    histograms,
     preview,
     profile,
     quantiles,
+    top_values,
     value_counts,
 )
 
@@ -143,3 +145,56 @@ def test_histogram(spark):
     assert rows == {0: 2, 1: 1, 2: 0, 3: 0, 4: 3}
     flat = spark.createDataFrame([(7.0,), (7.0,)], "x double")
     assert [(r.bucket, r.n) for r in column_histogram(flat, "x").collect()] == [(0, 2)]
+
+
+def test_quantiles_of_many_values_shuffle_few(spark, monkeypatch):
+    """300,000 values, a third of them equal: what is ranked is a small part, and the results are exact."""
+    import importlib
+
+    module = importlib.import_module("impactrec.operators.profile")
+    table = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.rand(1)).alias("a"), F.col("id").alias("b"),
+        F.when(F.col("id") % 2 == 0, F.exp(F.randn(2))).alias("c"), F.lit(None).cast("double").alias("none"),
+    )
+    table = module.stage(table)
+    ranked, inside = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df: ranked.append(inside(df)) or ranked[-1])
+    wanted = (0.0, 0.1, 0.5, 0.999, 1.0)
+    for most in (200_000, 10):
+        monkeypatch.setattr(module, "_WINDOW_ROWS", most)
+        found = {(r.column_name, r.probability): r.value for r in quantiles(table, ["a", "b", "c", "none"], wanted).collect()}
+        assert len(found) == 15
+        data = table.toPandas()
+        for (c, p), value in found.items():
+            assert value == pytest.approx(data[c].dropna().quantile(p), rel=1e-12, abs=1e-12)
+    assert ranked[0].count() < 0.06 * 3 * 300_000
+
+
+def test_a_bracket_that_misses_is_opened(spark, monkeypatch):
+    import importlib
+
+    module = importlib.import_module("impactrec.operators.profile")
+    monkeypatch.setattr(module, "RANK_ERROR", -0.2)
+    table = spark.range(20_000).select(F.col("id").cast("double").alias("x"))
+    assert [r.value for r in quantiles(table, ["x"], (0.5,)).collect()] == [9999.5]
+
+
+def test_frequent_values_among_very_many(spark):
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 50 == 0, "often").when(F.col("id") % 101 == 0, "NaN").otherwise(F.concat(F.lit("v"), F.col("id"))).alias("text"),
+        F.when(F.col("id") % 99 == 0, 7.5).when(F.col("id") % 9 == 1, F.lit(None)).otherwise(F.rand(1)).alias("x"),
+        (F.col("id") % 3 == 0).alias("flag"), F.lit(None).cast("int").alias("none"),
+    ).repartition(7)
+    found = {(r.column_name, r.value): r.n for r in top_values(rows).collect()}
+    assert found == {("text", "often"): 4000, ("x", "7.5"): 2021, ("flag", "true"): 66_667, ("flag", "false"): 133_333}
+    assert top_values(rows.where("false")).collect() == []
+    with pytest.raises(ValueError, match="least_share"):
+        top_values(rows, least_share=1e-9)
+
+
+def test_histograms_of_odd_columns(spark):
+    rows = [(1.0, 5, None), (float("nan"), 5, None), (4.0, 5, None), (float("inf"), None, None), (2.9, 5, None)]
+    table = spark.createDataFrame(rows, "x double, same int, none double")
+    found = [tuple(r) for r in histograms(table, bins=3).collect()]
+    assert found == [("x", 0, 1.0, 2.0, 1), ("x", 1, 2.0, 3.0, 1), ("x", 2, 3.0, 4.0, 1), ("same", 0, 5.0, 5.0, 4)]
+    assert histograms(table.where("false")).collect() == []
