@@ -366,12 +366,15 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, least_share: fl
         raise ValueError(f"least_share must be at least {7 / 2**19:.2g}")
     shown = {f"v{i}": F.col(c).cast("string") for i, c in enumerate(names)}
     known = df.select(*[F.coalesce(v, F.lit(SENTINEL)).alias(i) for i, v in shown.items()])
+    shape = "column_name string, value string, n long, share double"
+    if known.isEmpty():
+        return df.sparkSession.createDataFrame([], shape)
     first = known.groupBy(merge_group()).agg(
         F.count(F.lit(1)).alias("rows"), *[F.expr(f"approx_top_k_accumulate({i}, {tracked})").alias(i) for i in shown]
     )
     merged = [F.expr(f"approx_top_k_estimate(approx_top_k_combine({i}, {tracked}), {math.ceil(2 / least_share)})").alias(i) for i in shown]
     sketched = first.agg(F.sum("rows").alias("rows"), *merged).first()
-    rows = sketched["rows"] or 0
+    rows = sketched["rows"]
     found = {i: sorted(x["item"] for x in sketched[i] or () if x["item"] != SENTINEL and 2 * x["count"] >= least_share * rows) for i in shown}
     counted = known.agg(
         *[F.array(*[F.count_if(F.col(i) == F.lit(v)) for v in found[i]]).cast("array<long>").alias(i) for i in shown]
@@ -382,7 +385,7 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, least_share: fl
         for v, n in zip(found[i], counted[i])
         if n >= least_share * rows and n
     ]
-    return df.sparkSession.createDataFrame(table, "column_name string, value string, n long, share double")
+    return df.sparkSession.createDataFrame(table, shape)
 
 
 def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
