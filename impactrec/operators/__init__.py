@@ -45,6 +45,7 @@ from impactrec.operators.reduce import (
 )
 from impactrec.operators.split import split_by_key, split_part, split_random
 from impactrec.operators.stats import chi_square, chi_square_test, corr_matrix, corr_pair
-from impactrec.operators.tune import DEFAULT_SPACE, refit, refit_found, sample_space, tune_random
+from impactrec.operators.trees import decision_paths, leaf_paths, prefix_predictions, tree_nodes
+from impactrec.operators.tune import DEFAULT_SPACE, refit, refit_found, sample_space, tune_folds, tune_random
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -450,6 +450,15 @@ lines AS (SELECT l_linenumber AS line, 1e9 + l_linenumber * CAST(1e-5 AS DOUBLE)
         + "SELECT ROUND(AVG(auc), 6) AS mean_auc, COUNT(auc) AS n_classes FROM areas",
         "auc_hard_label": _with(_SCORES, _points("scores", [1, 2, 3, 4, 5], "CAST(prediction = {} AS DOUBLE)"), _AUC)
         + "SELECT label, ROUND(auc, 6) AS auc FROM areas",
+        "csv_rejected_rows": """SELECT CASE WHEN o_orderkey % 97 = 7 OR o_orderkey % 101 = 3 THEN 'rejected' ELSE 'kept' END AS kind,
+  o_orderkey AS key, CASE WHEN o_orderkey % 97 = 7 THEN 'n/a' WHEN o_orderkey % 101 = 3
+    THEN CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) ELSE o_orderpriority END AS shown FROM orders""",
+        "tree_nodes": _with(_PRODUCTS, f"""ends AS (
+  SELECT EI, MIN(Cotton) AS low, MAX(Cotton) AS high FROM products WHERE {_KEY_BUCKET} < {_FOUR_FIFTHS} GROUP BY EI)""")
+        + "SELECT 'Cotton' AS feature, ROUND((a.low + b.high) / 2, 6) AS threshold FROM ends a JOIN ends b ON b.EI = a.EI + 1",
+        "tree_leaves": _separable(),
+        "tune_folds": _with(_PRODUCTS, f"""parts AS (SELECT CAST(FLOOR({_KEY_BUCKET} / 1073741824) AS INT) AS fold FROM products)""")
+        + "SELECT fold, COUNT(*) AS n_rows, CAST(1 AS DOUBLE) AS accuracy FROM parts GROUP BY fold",
         "decision_tree_separable": _separable(),
         "random_forest_separable": _separable(),
         "one_vs_rest_separable": _separable(),

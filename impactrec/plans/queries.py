@@ -16,6 +16,7 @@ from impactrec.sources import (
     noisy_products,
     numeric_columns,
     product_table,
+    read_checked,
     read_products,
     schema_table,
     score_table,
@@ -117,6 +118,22 @@ def csv_round_trip(spark, folder):
     return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("hash"))
 
 
+@query
+def csv_rejected_rows(spark, folder):
+    """Orders written as CSV, some with a price that is no number or with a field too many: what is kept, and what is not."""
+    orders = load_table(spark, folder, "orders")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    price = F.when(key % 97 == 7, "n/a").when(key % 101 == 3, F.concat(price, F.lit(",more"))).otherwise(price)
+    path = f"{stage_path(spark)}.csv"
+    lines = orders.select(F.concat_ws(",", key.cast("string"), price, "o_orderpriority").alias("value"))
+    lines.write.text(path)
+    found = read_checked(spark, path, orders.select("o_orderkey", "o_totalprice", "o_orderpriority").schema, multi_line=False, header=False)
+    first = F.split("record", ",")[0].cast("long")
+    return found.rows.select(F.lit("kept").alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("shown")).unionByName(
+        found.rejected.select(F.lit("rejected").alias("kind"), first.alias("key"), F.split("record", ",")[1].alias("shown"))
+    )
+
+
 @query
 def filter_type(spark, folder):
     return product_table(spark, folder).where(F.col("Type") == PROFILED_TYPE)
@@ -668,6 +685,26 @@ def evaluation_separable(spark, folder):
     return metrics.unionByName(shown)
 
 
+@query
+def tree_nodes(spark, folder):
+    """The tree of the separable label: its splits are the borders between classes."""
+    trained = _separable(spark, folder, "dt")
+    return ops.tree_nodes(trained.model, spark).where("feature IS NOT NULL").select("feature", F.round("threshold", 6).alias("threshold"))
+
+
+@query
+def tree_leaves(spark, folder):
+    """Of every product the class of the leaf that its path leads to."""
+    trained = _separable(spark, folder, "dt")
+    return ops.decision_paths(trained.model, trained.held_out.drop("features", "rawPrediction", "probability", "prediction", "TypeIndex", "Use_locationIndex")).select("ID", "prediction")
+
+
+@query
+def forest_nodes(spark, folder):
+    """The nodes of a forest on the noisy label."""
+    return ops.tree_nodes(_noisy(spark, folder, "rf").model, spark)
+
+
 # Recommendations
 
 
@@ -742,6 +779,20 @@ def tune_random_search(spark, folder):
     return _tuned(spark, folder).search.trials
 
 
+#: Trees deep enough for the separable label, which a fold leaves out a part of.
+SEPARABLE_SPACE = {"maxDepth": (6, 8), "maxBins": (64, 64), "minInfoGain": (0.0, 0.01)}
+
+
+@query
+def tune_folds(spark, folder):
+    """Folds, their sizes, and the accuracy of the best setting in each, on the separable label."""
+    prepared = workflows.prepare(product_table(spark, folder))
+    found = ops.tune_folds(prepared, SEPARABLE_SPACE, n=2, folds=4, algo="dt")
+    best = found.search.trials.orderBy(F.desc("accuracy"), "trial").limit(1).select("trial")
+    accuracy = F.round(F.col("n_hits") / F.col("n_rows"), 6).alias("accuracy")
+    return found.folds.join(best, "trial").select("fold", "n_rows", accuracy)
+
+
 @query
 def best_model_metrics(spark, folder):
     return workflows.evaluate(_tuned(spark, folder).held_out).summary

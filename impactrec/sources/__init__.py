@@ -1,4 +1,4 @@
-from impactrec.sources.products import read_products
+from impactrec.sources.products import Checked, read_checked, read_products
 from impactrec.sources.schema import (
     CATEGORICAL,
     FEATURE_SETS,
@@ -16,8 +16,8 @@ from impactrec.sources.schema import (
 from impactrec.sources.star import load_table, noisy_products, product_table, score_table
 
 __all__ = [
-    "CATEGORICAL", "FEATURE_SETS", "KEY", "LABEL", "PRODUCT_SCHEMA", "UNUSED_MATERIALS",
+    "CATEGORICAL", "Checked", "FEATURE_SETS", "KEY", "LABEL", "PRODUCT_SCHEMA", "UNUSED_MATERIALS",
     "categorical_columns", "check_schema", "load_table", "model_columns", "noisy_products",
-    "numeric_columns", "product_table", "read_products", "schema_table", "score_table",
+    "numeric_columns", "product_table", "read_checked", "read_products", "schema_table", "score_table",
     "slot_names",
 ]

@@ -17,6 +17,7 @@ from impactrec.sources import (
     model_columns,
     noisy_products,
     numeric_columns,
+    read_checked,
     read_products,
     schema_table,
 )
@@ -215,3 +216,17 @@ def test_the_contract_imports_without_the_training_data_operators(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split() == [str(len(all_queries())), "False", "False", "True"]
+
+
+def test_records_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
+    good.write_text('id,note\n1,"a ""quoted""\nnote"\n2,\n')
+    bad.write_text("id,note\nx,not a number\n3,fine\n4,too,many\n5\n6,last\n")
+    found = read_checked(spark, [str(good), str(bad)], NOTES)
+    assert sorted((r.id, r.note) for r in found.rows.where("note IS NOT NULL").collect()) == [(1, 'a "quoted"\nnote'), (3, "fine"), (6, "last")]
+    assert found.rows.where("note IS NULL").select("id").collect() == [(2,)]
+    records = sorted(r.record for r in found.rejected.collect())
+    assert records == ["4,too,many", "5", "x,not a number"]
+    [counted] = found.counts().collect()
+    assert counted.file.endswith("bad.csv") and counted.n_rejected == 3
+    assert found.rows.count() == 4 and found.rejected.count() == 3
