@@ -115,7 +115,7 @@ _PLACES = " UNION ALL ".join(
     for words, label in _PHRASES
 )
 _TEMPLATE_ROWS = ", ".join(
-    f"({n}, '{label}', '{text.lower()}')" for n, (label, text) in enumerate(TEMPLATES)
+    f"({n}, '{t.label}', '{t.text.lower()}', {list(t.must)!r}::VARCHAR[], {list(t.without)!r}::VARCHAR[])" for n, t in enumerate(TEMPLATES)
 )
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -129,10 +129,12 @@ place AS ({_PLACES}),
 base AS (
   SELECT k, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base
   FROM place GROUP BY k),
-tmpl AS (
-  SELECT n, label, unnest(list_distinct(regexp_extract_all(t, '{ALNUM}'))) AS word
-  FROM (VALUES {_TEMPLATE_ROWS}) AS v(n, label, t)),
-size AS (SELECT n, count(*) AS size FROM tmpl GROUP BY n),
+full_ AS (
+  SELECT n, label, list_distinct(regexp_extract_all(t, '{ALNUM}')) AS words, 2 * len(regexp_extract_all(t, '{ALNUM}')) AS span,
+    must, without FROM (VALUES {_TEMPLATE_ROWS}) AS v(n, label, t, must, without)),
+tmpl AS (SELECT n, label, unnest(words) AS word FROM full_),
+size AS (
+  SELECT n, len(words) AS size, CASE WHEN len(words) < 12 THEN len(words) ELSE ceil(0.8 * len(words) - 1e-9) END AS least FROM full_),
 raw AS (SELECT k, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM doc),
 line AS (SELECT k, i, l, sum(CASE WHEN regexp_matches(l, '{ALNUM}') THEN 0 ELSE 1 END)
            OVER (PARTITION BY k ORDER BY i) AS p FROM raw),
@@ -141,11 +143,19 @@ block AS (
     SELECT k, l FROM line UNION ALL
     SELECT k, string_agg(l, chr(10) ORDER BY i) AS l FROM line WHERE regexp_matches(l, '{ALNUM}')
     GROUP BY k, p HAVING count(*) > 1)),
-token AS (SELECT b, k, unnest(list_distinct(regexp_extract_all(l, '{ALNUM}'))) AS word FROM block),
+spot AS (
+  SELECT b, k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT b, k, regexp_extract_all(l, '{ALNUM}') AS w FROM block)),
+maybe AS (
+  SELECT b, k, n FROM (SELECT b, k, n, count(DISTINCT word) AS c FROM spot JOIN tmpl USING (word) GROUP BY b, k, n) JOIN size USING (n)
+  WHERE c >= least),
+place_ AS (
+  SELECT b, k, n, x.i, list(DISTINCT y.word) AS held FROM maybe JOIN full_ USING (n) JOIN spot x USING (b, k) JOIN spot y USING (b, k)
+  WHERE list_contains(words, x.word) AND y.i >= x.i AND y.i < x.i + span GROUP BY b, k, n, x.i),
 met AS (
-  SELECT b, k, n, label, common / size AS part FROM (
-    SELECT b, k, n, label, count(*) AS common FROM token JOIN tmpl USING (word) GROUP BY b, k, n, label)
-  JOIN size USING (n) WHERE common >= ceil(0.8 * size - 1e-9)),
+  SELECT b, k, n, any_value(label) AS label, max(len(list_intersect(held, words)) / size) AS part
+  FROM place_ JOIN full_ USING (n) JOIN size USING (n)
+  WHERE list_has_all(held, must) AND NOT list_has_any(held, without) AND len(list_intersect(held, words)) >= least
+  GROUP BY b, k, n),
 notice AS (SELECT k, count(*) AS n_notices, list(DISTINCT label) AS labels, max(part) AS score FROM met GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
