@@ -11,7 +11,7 @@
    grams that are most frequent within tasks, a table of bounded size. Nearly all prefixes lie in the
    first part, and a gram that only one set has is dropped there.
 3. The sets of a part go to one task and into a prefix tree in which sets with the same beginning
-   share nodes. Every set walks the tree once: overlaps are counted once per shared node, and a
+   share nodes. The sets walk down the tree, until all are connected: overlaps are counted once per shared node, and a
    subtree is left as soon as its lengths, or the grams left in both sets, can't reach the
    threshold. A part too large for a task is cut into chunks, and every two chunks meet in a task.
 4. The links found, no more than one per set and task, give the components.
@@ -38,11 +38,15 @@ COUNTED_GRAMS = 2_000_000
 FREQUENT = 1_000_000
 #: Grams of the sets that a task holds at once; of more, two chunks of half as many.
 BLOCK_GRAMS = 4_000_000
+#: And how many sets, whatever their size.
+BLOCK_SETS = 20_000
 #: Sets that may share a first gram in one task; more are salted.
 SHARERS = 100_000
 
 #: Grams with a hash below are counted exactly: a quarter of all.
 COUNTED = np.uint64(1 << 62)
+#: Cells of the table by which a task looks up the grams of the probes that go down a tree together.
+_HELD = 1 << 25
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -80,9 +84,10 @@ def _digests(gram: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def _needed(sizes, percent: int):
-    """The least overlap with which a set of this size can reach the threshold."""
-    return -(-(sizes * percent) // 100)
+def _needed(sizes, percent: int, whole: int = 100):
+    """The least overlap with which a set of this size can reach the threshold; with ``whole`` of 100 and
+    ``percent`` more, with which two sets of this size together do."""
+    return -(-(sizes * percent) // whole)
 
 
 def _band_width(percent: int) -> float:
@@ -284,7 +289,7 @@ class PrefixTree:
     """Sets as sorted sequences in a compressed prefix tree.
 
     Nodes hold runs of grams (``node_at:node_at + node_size`` of ``grams``) and stand in the order of
-    their depth; ``leaf[r]`` is the node that ends set ``r``. ``low`` and ``high`` bound the sizes of
+    their level, the children of a node together (``child_at:child_end``). ``low`` and ``high`` bound the sizes of
     the sets below a node, ``depth`` is the number of grams down to its end.
     """
 
@@ -319,56 +324,93 @@ class PrefixTree:
         for i in np.argsort(table[:, 2], kind="stable").tolist():
             if table[i, 0] >= 0:
                 level[i] = level[table[i, 0]] + 1
-        rank = np.lexsort((np.arange(len(table)), level))
-        place = np.empty(len(table), np.int64)
-        place[rank] = np.arange(len(table))
+        first_gram = np.array([sets[r][a] if b > a else -1 for _, r, a, b in table.tolist()], np.int64)
+        # By level, parent and first gram: the children of a node are neighbours, in the order of their grams.
+        place = np.zeros(len(table), np.int64)
+        rank, at = np.empty(len(table), np.int64), 0
+        by_level = np.argsort(level, kind="stable")
+        cuts = np.searchsorted(level[by_level], np.arange(level.max() + 2))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            nodes = by_level[a:b]
+            above = np.where(table[nodes, 0] >= 0, place[table[nodes, 0]], -1)
+            nodes = nodes[np.lexsort((first_gram[nodes], above))]
+            place[nodes] = np.arange(at, at + len(nodes))
+            rank[at : at + len(nodes)] = nodes
+            at += len(nodes)
         table = table[rank]
         self.parent = np.where(table[:, 0] >= 0, place[table[:, 0]], -1)
         self.depth = table[:, 3]
         self.node_size = table[:, 3] - table[:, 2]
         self.node_at = np.cumsum(self.node_size) - self.node_size
         self.grams = np.concatenate([sets[r][a:b] for _, r, a, b in table.tolist()])
-        self.leaf = place[leaf]
+        self.first_gram = first_gram[rank]
+        leaf = place[leaf]
         self.lengths = lengths
-        self.levels = np.searchsorted(level[rank], np.arange(level.max() + 2))
+        levels = np.searchsorted(level[rank], np.arange(level.max() + 2))
+        self.roots = int(levels[1])
+        inner = np.arange(len(table))
+        self.child_at = np.searchsorted(self.parent[self.roots :], inner) + self.roots
+        self.child_end = np.searchsorted(self.parent[self.roots :], inner, side="right") + self.roots
+        #: Which sets end at a node: ``ends[end_at[i]:end_at[i + 1]]``.
+        self.ends = np.argsort(leaf, kind="stable")
+        self.end_at = np.searchsorted(leaf[self.ends], np.arange(len(table) + 1))
         self.low = np.full(len(table), np.iinfo(np.int64).max)
         self.high = np.zeros(len(table), np.int64)
-        np.minimum.at(self.low, self.leaf, lengths)
-        np.maximum.at(self.high, self.leaf, lengths)
-        for l in range(len(self.levels) - 2, 0, -1):
-            at = slice(self.levels[l], self.levels[l + 1])
+        np.minimum.at(self.low, leaf, lengths)
+        np.maximum.at(self.high, leaf, lengths)
+        for l in range(len(levels) - 2, 0, -1):
+            at = slice(levels[l], levels[l + 1])
             np.minimum.at(self.low, self.parent[at], self.low[at])
             np.maximum.at(self.high, self.parent[at], self.high[at])
-        self._held = np.zeros(size, bool)
-
-    def walk(self, probe: np.ndarray, percent: int) -> np.ndarray:
-        """The sets whose Jaccard similarity with ``probe`` reaches the threshold."""
-        self._held[probe] = True
-        n, overlap, alive = len(probe), np.zeros(len(self.parent), np.int64), np.zeros(len(self.parent), bool)
-        for l in range(len(self.levels) - 1):
-            nodes = np.arange(self.levels[l], self.levels[l + 1])
-            # The sizes below must allow the threshold.
-            fit = (100 * self.high[nodes] >= percent * n) & (100 * n >= percent * self.low[nodes])
-            if l:
-                fit &= alive[self.parent[nodes]]
-            nodes = nodes[fit]
-            if not len(nodes):
-                break
+        self._size = size
+
+    def walk(self, probes: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """For some probes the sets whose Jaccard similarity with them reaches the threshold, as pairs of
+        the probe's place and the set.
+
+        The probes go down together. Only nodes below those that can still reach the threshold are looked
+        at; where no gram may be missed any more, only those that go on with a gram of the probe.
+        """
+        held = np.zeros((len(probes), self._size), bool)
+        for i, probe in enumerate(probes):
+            held[i, probe] = True
+        held = held.ravel()
+        lengths, both = np.array([len(p) for p in probes]), 100 + percent
+        who, nodes = np.repeat(np.arange(len(probes)), self.roots), np.tile(np.arange(self.roots), len(probes))
+        before, missed = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        out = []
+        while len(nodes):
+            n = lengths[who]
+            # The sizes below must allow the threshold; of a set of s grams it allows so many to be missed.
+            longest = np.minimum(self.high[nodes], 100 * n // percent)
+            spare = longest - _needed(n + longest, percent, both) - missed
+            fit = (100 * self.high[nodes] >= percent * n) & (100 * n >= percent * self.low[nodes]) & (spare >= 0)
+            fit &= (spare > 0) | held[who * self._size + self.first_gram[nodes]]
+            who, nodes, before, n = who[fit], nodes[fit], before[fit], n[fit]
             sizes = self.node_size[nodes]
             begin = np.cumsum(sizes) - sizes
             at = np.repeat(self.node_at[nodes] - begin, sizes) + np.arange(sizes.sum())
             hits = np.zeros(len(at) + 1, np.int64)
-            np.cumsum(self._held[self.grams[at]], out=hits[1:])
-            found = hits[begin + sizes] - hits[begin]
-            if l:
-                found += overlap[self.parent[nodes]]
-            overlap[nodes] = found
+            np.cumsum(held[np.repeat(who * self._size, sizes) + self.grams[at]], out=hits[1:])
+            found = before + hits[begin + sizes] - hits[begin]
             # At most the rest of the probe, or of the longest set below, can still be shared.
             most = found + np.minimum(n - found, self.high[nodes] - self.depth[nodes])
-            alive[nodes] = (100 + percent) * most >= percent * (n + self.low[nodes])
-        self._held[probe] = False
-        common = np.where(alive[self.leaf], overlap[self.leaf], 0)
-        return np.flatnonzero((100 + percent) * common >= percent * (n + self.lengths))
+            alive = both * most >= percent * (n + self.low[nodes])
+            who, nodes, found = who[alive], nodes[alive], found[alive]
+            ended = self.end_at[nodes + 1] - self.end_at[nodes]
+            sets = self.ends[_ranges(self.end_at[nodes], ended)]
+            of = np.repeat(who, ended)
+            near = both * np.repeat(found, ended) >= percent * (lengths[of] + self.lengths[sets])
+            out.append((of[near], sets[near]))
+            below = self.child_end[nodes] - self.child_at[nodes]
+            missed = np.repeat(self.depth[nodes] - found, below)
+            who, before, nodes = np.repeat(who, below), np.repeat(found, below), _ranges(self.child_at[nodes], below)
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The whole numbers of each range, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -391,12 +433,24 @@ def linked_sets(
     ordered = [np.sort(s) for s in np.split(rank[local], cuts)]
     tree = PrefixTree(ordered, len(known))
     parent, forest = list(range(len(sets))), []
-    for r in range(len(sets)) if probes is None else probes:
-        for other in tree.walk(ordered[r], percent).tolist():
-            a, b = _find(parent, r), _find(parent, other)
+    component = np.arange(len(sets))
+    order = list(range(len(sets)) if probes is None else probes)
+    most = max(1, min(64, _HELD // max(1, len(known))))
+    at, batch = 0, 1
+    # Once all sets are connected no further link adds anything.
+    while at < len(order) and len(forest) < len(sets) - 1:
+        asking = order[at : at + batch]
+        place, other = tree.walk([ordered[r] for r in asking], percent)
+        one = np.array(asking)[place]
+        new = component[one] != component[other]
+        for r, o in zip(one[new].tolist(), other[new].tolist()):
+            a, b = _find(parent, r), _find(parent, o)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                forest.append((r, other))
+                forest.append((r, o))
+        if new.any():
+            component = np.array([_find(parent, x) for x in range(len(sets))])
+        at, batch = at + batch, min(most, 2 * batch)
     return forest
 
 
@@ -425,11 +479,14 @@ def _candidate_links(docs: DataFrame, described: DataFrame, n: int, percent: int
     """Links ``a, b`` between hashes of sets whose components hold every pair that can be similar."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_grams(described, FREQUENT))
     fronts = docs.select("text").mapInArrow(_fronts(n, percent, known), _FRONT)
-    of_gram, of_set = Window.partitionBy("gram"), Window.partitionBy("d1")
+    of_gram, of_set = Window.partitionBy("gram", "deal"), Window.partitionBy("d1")
+    # The sets of a gram known to be frequent are dealt out; all of them go by its known count.
+    deal = F.pmod(F.xxhash64("d1"), 1 + F.floor(F.col("often") / sharers)).cast("int")
     shared = (
-        fronts.repartition("gram")
-        .dropDuplicates(["gram", "d1"])
-        .withColumn("count", F.count(F.lit(1)).over(of_gram))
+        fronts.withColumn("deal", deal)
+        .repartition("gram", "deal")
+        .dropDuplicates(["gram", "deal", "d1"])
+        .withColumn("count", F.when(F.col("often") < sharers, F.count(F.lit(1)).over(of_gram)).otherwise(F.col("often")))
         .where("count > 1")
     )
     # Grams that no other set has come first in a set; they were dropped, but they count for the place.
@@ -482,7 +539,8 @@ def near_duplicates(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"), F.count_if("own").alias("owned")
     )
     # Of a part in chunks, two meet in a task.
-    ways = F.when(F.col("total") <= block_grams, 1).otherwise(F.ceil(2 * F.col("total") / block_grams)).cast("int")
+    filled = F.greatest(F.col("total") / block_grams, F.col("sets") / BLOCK_SETS)
+    ways = F.when(filled <= 1, 1).otherwise(F.ceil(2 * filled)).cast("int")
     sizes = sizes.where("sets > 1 and owned > 0").select("block", "slot", ways.alias("chunks"))
     to_send = stage(
         members.join(sizes, ["block", "slot"]).select(

@@ -104,4 +104,28 @@ def test_tree_walk_matches_all_pairs(seed):
     tree = jaccard.PrefixTree(ranked, len(whole))
     for p in ranked:
         wanted = {j for j, q in enumerate(ranked) if 100 * len(np.intersect1d(p, q)) >= 85 * len(np.union1d(p, q))}
-        assert set(tree.walk(p, 85).tolist()) == wanted
+        assert set(tree.walk([p], 85)[1].tolist()) == wanted
+
+
+def test_probes_go_down_together(monkeypatch):
+    """A family of near copies and many small sets: the same components however many probes share a walk."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**62, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.04, rng.integers(0, 2**62, 60).astype(np.uint64), base)) for _ in range(120)]
+    pool = rng.integers(0, 2**62, 40).astype(np.uint64)
+    sets += [np.unique(rng.choice(pool, rng.integers(3, 9))) for _ in range(300)]
+    sets = list({s.tobytes(): s for s in sets}.values())
+
+    def groups(links):
+        parent = list(range(len(sets)))
+        for a, b in links:
+            a, b = jaccard._find(parent, a), jaccard._find(parent, b)
+            parent[max(a, b)] = min(a, b)
+        return [jaccard._find(parent, i) for i in range(len(sets))]
+
+    pairs = [(i, j) for i, a in enumerate(sets) for j in range(i) if 185 * len(np.intersect1d(a, sets[j])) >= 85 * (len(a) + len(sets[j]))]
+    for cells in (1, 1 << 25):
+        monkeypatch.setattr(jaccard, "_HELD", cells)
+        links = jaccard.linked_sets(sets, 85)
+        assert {tuple(sorted(x, reverse=True)) for x in links} <= set(pairs)
+        assert groups(links) == groups(pairs)
