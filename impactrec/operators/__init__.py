@@ -1,3 +1,4 @@
+from impactrec.operators.adaptive import propose, tune_adaptive
 from impactrec.operators.encode import (
     DEFAULT_RULES,
     Rule,
@@ -43,9 +44,11 @@ from impactrec.operators.reduce import (
     pca_inputs,
     select_features,
 )
+from impactrec.operators.sparse import Sparse, sparse_features, value_slots, vector_cells
 from impactrec.operators.split import split_by_key, split_part, split_random
 from impactrec.operators.stats import chi_square, chi_square_test, corr_matrix, corr_pair
 from impactrec.operators.trees import decision_paths, leaf_paths, prefix_predictions, tree_nodes
 from impactrec.operators.tune import DEFAULT_SPACE, refit, refit_found, sample_space, tune_folds, tune_random
+from impactrec.operators.wide import pca_wide
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -15,6 +15,9 @@ from impactrec.functions.ordering import running_totals
 from impactrec.sources.schema import FEATURE_SETS, slot_names
 from impactrec.staging import stage
 
+#: Values of a column that a model on the driver takes; beyond them it refuses instead of filling the driver.
+MAX_CATEGORIES = 100_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -93,7 +96,8 @@ def string_indexer(
         labels[name].append((-n, value))
     crowded = [c for c, found in labels.items() if max_categories is not None and len(found) > max_categories]
     if crowded:
-        raise ValueError(f"more than {max_categories} categories: {', '.join(crowded)}")
+        hint = "raise max_categories, or build the vectors with sparse_features, which has no limit"
+        raise ValueError(f"more than {max_categories} categories: {', '.join(crowded)}; {hint}")
     return PipelineModel([
         StringIndexerModel.from_labels(
             [value for _, value in sorted(labels[c])], inputCol=c, outputCol=c + suffix, handleInvalid=handle_invalid
@@ -124,12 +128,15 @@ def index_strings(
     return df
 
 
-def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Index with ``keep``, then encode: one slot per known value, all zeros for an unknown one."""
+def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int | None = MAX_CATEGORIES) -> DataFrame:
+    """Index with ``keep``, then encode: one slot per known value, all zeros for an unknown one.
+
+    A column of more than ``max_categories`` values is an error: ``sparse_features`` has no such limit.
+    """
     encoder = OneHotEncoder(
         inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_encoded" for c in cols]
     )
-    stages = [string_indexer(df, cols, "keep"), encoder]
+    stages = [string_indexer(df, cols, "keep", max_categories=max_categories), encoder]
     return Pipeline(stages=stages).fit(df).transform(df).drop(*[f"{c}_index" for c in cols])
 
 

@@ -16,7 +16,7 @@ from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembl
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from impactrec.operators.encode import string_indexer
+from impactrec.operators.encode import MAX_CATEGORIES, string_indexer
 from impactrec.sources.schema import KEY, LABEL, model_columns
 from impactrec.staging import checkpoint_root
 
@@ -45,12 +45,16 @@ def feature_model(
     key: str = KEY,
     feature_mode: str = "all_numeric",
     handle_invalid: str = "skip",
+    max_categories: int | None = MAX_CATEGORIES,
 ) -> PipelineModel:
-    """Fitted stages from a product table to its ``features`` vector."""
+    """Fitted stages from a product table to its ``features`` vector.
+
+    The model holds the categories on the driver; more than ``max_categories`` in a column are an error.
+    """
     strings, numbers = model_columns(df, feature_mode, (key, label))
     stages = []
     if strings:
-        stages += string_indexer(df, strings, handle_invalid, "Index").stages
+        stages += string_indexer(df, strings, handle_invalid, "Index", max_categories).stages
     inputs = [f"{c}Index" for c in strings] + numbers
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return PipelineModel(stages)

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     PCA,
+    ElementwiseProduct,
     OneHotEncoder,
     QuantileDiscretizer,
     StandardScaler,
@@ -17,9 +18,10 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
-from impactrec.operators.encode import string_indexer
+from impactrec.operators.encode import MAX_CATEGORIES, string_indexer
 from impactrec.operators.stats import chi_square_test
 from impactrec.sources.schema import KEY, LABEL, categorical_columns, numeric_columns, slot_names
 
@@ -110,7 +112,7 @@ def pca_inputs(df: DataFrame, exclude: Sequence[str] = (KEY, LABEL)) -> tuple[Da
     """Index the string columns; return the table and its columns to analyse, indices first."""
     strings, numbers = categorical_columns(df, exclude), numeric_columns(df, exclude)
     if strings:
-        df = string_indexer(df, strings, "keep").transform(df)
+        df = string_indexer(df, strings, "keep", max_categories=MAX_CATEGORIES).transform(df)
     return df, [f"{c}_index" for c in strings] + numbers
 
 
@@ -125,22 +127,24 @@ def pca(df: DataFrame, cols: Sequence[str], k: int | None = None) -> Components:
     stages = [
         VectorAssembler(inputCols=names, outputCol="features"),
         StandardScaler(inputCol="features", outputCol="scaled_features", withStd=True, withMean=False),
-        PCA(k=k or len(names), inputCol="scaled_features", outputCol="pca_features"),
+        PCA(k=k or len(names), inputCol="scaled_features", outputCol="_pca_unturned"),
     ]
     model = Pipeline(stages=stages).fit(df)
     fitted = model.stages[-1]
     spark = df.sparkSession
     ratios = [(i + 1, float(v)) for i, v in enumerate(fitted.explainedVariance)]
     weights = fitted.pc.toArray()
-    # A component is as good with its sign changed: the largest loading is positive.
-    weights = weights * np.sign(weights[np.abs(weights).argmax(axis=0), np.arange(weights.shape[1])])
+    # A component is as good with its sign changed: the largest loading is positive, in the scores as well.
+    signs = np.sign(weights[np.abs(weights).argmax(axis=0), np.arange(weights.shape[1])])
+    weights = weights * signs
+    turn = ElementwiseProduct(scalingVec=Vectors.dense(signs), inputCol="_pca_unturned", outputCol="pca_features")
     loadings = [
         (component + 1, name, float(weights[row, component]))
         for component in range(weights.shape[1])
         for row, name in enumerate(names)
     ]
     return Components(
-        model.transform(df),
+        turn.transform(model.transform(df)).drop("_pca_unturned"),
         cumulative_variance(spark.createDataFrame(ratios, "component int, ratio double")),
         spark.createDataFrame(loadings, "component int, feature string, loading double"),
     )

@@ -368,6 +368,19 @@ lines AS (SELECT l_linenumber AS line, 1e9 + l_linenumber * CAST(1e-5 AS DOUBLE)
         "index_many_values": _with(_index("part", "p_name"))
         + "SELECT p_partkey, p_name, COALESCE(i, (SELECT CAST(COUNT(*) AS DOUBLE) FROM ix_p_name)) AS p_name_index "
         + "FROM part LEFT JOIN ix_p_name ON v = p_name",
+        "one_hot_many_values": _with(
+            _index("part", "p_name"), _index("part", "p_brand"),
+            "sizes AS (SELECT (SELECT COUNT(*) FROM ix_p_name) AS names, (SELECT COUNT(*) FROM ix_p_brand) AS brands)",
+        )
+        + _union([
+            f"SELECT p_partkey, CAST(names + brands + 1 AS INT) AS n_slots, CAST({slot} AS BIGINT) AS slot, '{c}' AS feature, "
+            f"{value} AS value, CAST({weight} AS DOUBLE) AS weight FROM sizes, part {join}"
+            for c, slot, value, weight, join in [
+                ("p_name", "i", "p_name", "1", "JOIN ix_p_name ON v = p_name"),
+                ("p_brand", "names + i", "p_brand", "1", "JOIN ix_p_brand ON v = p_brand"),
+                ("p_size", "names + brands", "CAST(NULL AS VARCHAR)", "p_size", "WHERE p_size <> 0"),
+            ]
+        ]),
         "split_per_mille": "SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) "
         + "AS BIGINT) < 4277787426 THEN 0 ELSE 1 END AS part FROM orders",
         "metrics_with_missing_labels": _with(
@@ -421,6 +434,14 @@ lines AS (SELECT l_linenumber AS line, 1e9 + l_linenumber * CAST(1e-5 AS DOUBLE)
         "pca_reconstruction": _with(_ENCODED) + _corr_matrix("encoded", [*_NUMBERS, *_DUMMIES], diagonal=True),
         "cumulative_variance": _with(_EIGEN)
         + "SELECT component, ROUND(ratio, 6) AS ratio, ROUND(cumulative, 6) AS cumulative FROM running",
+        "wide_cumulative_variance": _with(_EIGEN)
+        + "SELECT component, ROUND(ratio, 6) AS ratio, ROUND(cumulative, 6) AS cumulative FROM running",
+        "pca_index_scores": _with(_PRODUCTS, *[_index("products", c) for c in _STRINGS], f"""indexed AS (SELECT ID, {", ".join(
+            f"COALESCE(ix_{c}.i, (SELECT COUNT(*) FROM ix_{c})) AS {c}" for c in _STRINGS
+        )} FROM products {" ".join(f"LEFT JOIN ix_{c} ON ix_{c}.v = products.{c}" for c in _STRINGS)})""")
+        + "SELECT ID, ROUND(SQRT(" + " + ".join(
+            f"POW(COALESCE({c} / NULLIF((SELECT STDDEV_SAMP({c}) FROM indexed), 0), 0), 2)" for c in _STRINGS
+        ) + "), 6) AS length FROM indexed",
         "components_needed": _with(_EIGEN) + "SELECT MIN(component) AS k FROM running WHERE cumulative >= 0.95",
         "keyed_split": _with(_PRODUCTS)
         + f"SELECT ID, CASE WHEN {_KEY_BUCKET} < {_FOUR_FIFTHS} THEN 0 ELSE 1 END AS part FROM products",
@@ -459,6 +480,8 @@ lines AS (SELECT l_linenumber AS line, 1e9 + l_linenumber * CAST(1e-5 AS DOUBLE)
         "tree_leaves": _separable(),
         "tune_folds": _with(_PRODUCTS, f"""parts AS (SELECT CAST(FLOOR({_KEY_BUCKET} / 1073741824) AS INT) AS fold FROM products)""")
         + "SELECT fold, COUNT(*) AS n_rows, CAST(1 AS DOUBLE) AS accuracy FROM parts GROUP BY fold",
+        "tune_adaptive": _with(_PRODUCTS)
+        + f"SELECT 20 AS n_trials, CAST(1 AS DOUBLE) AS best_accuracy, COUNT(*) AS n_rated FROM products WHERE {_KEY_BUCKET} >= {_FOUR_FIFTHS}",
         "decision_tree_separable": _separable(),
         "random_forest_separable": _separable(),
         "one_vs_rest_separable": _separable(),

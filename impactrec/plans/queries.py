@@ -345,6 +345,18 @@ def index_many_values(spark, folder):
     return ops.index_strings(load_table(spark, folder, "part").select("p_partkey", "p_name"), ["p_name"], "keep")
 
 
+@query
+def one_hot_many_values(spark, folder):
+    """Sparse vectors over all part names, brands and sizes: the slots that each part sets, by name."""
+    part = load_table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    found = ops.sparse_features(part, ["p_name", "p_brand"], ["p_size"])
+    cells = F.explode(F.arrays_zip("features.indices", "features.values")).alias("cell")
+    cells = found.cells.select("p_partkey", F.col("features.size").alias("n_slots"), cells)
+    return cells.join(found.slots, F.col("cell.indices") == F.col("position")).select(
+        "p_partkey", "n_slots", F.col("cell.indices").cast("bigint").alias("slot"), "feature", "value", F.col("cell.values").alias("weight")
+    )
+
+
 @query
 def string_index_skip(spark, folder):
     cols = ["Manufacturing_location", "Drying_instruction"]
@@ -449,6 +461,32 @@ def pca_reconstruction(spark, folder):
     )
 
 
+@query
+def pca_index_scores(spark, folder):
+    """Scores over the five indexed strings. All components together turn a row, so they keep its length."""
+    cols = ["Type", "Manufacturing_location", "Use_location", "Washing_instruction", "Drying_instruction"]
+    table, inputs = ops.pca_inputs(_stored_products(spark, folder).select("ID", *cols))
+    scores = vector_to_array(F.col("pca_features"))
+    length = F.sqrt(F.aggregate(scores, F.lit(0.0), lambda total, x: total + x * x))
+    return ops.pca(table, inputs).scores.select("ID", F.round(length, 6).alias("length"))
+
+
+@query
+def wide_cumulative_variance(spark, folder):
+    """The components of three line-item columns, found without their covariance."""
+    lines = ops.assemble(_lineitem(spark, folder), ["l_quantity", "l_extendedprice", "l_discount"]).select("features")
+    return _rounded(ops.pca_wide(lines, "features", 3).variance, "ratio", "cumulative")
+
+
+@query
+def wide_sparse_components(spark, folder):
+    """The first components of a slot for each part name, brand and type: the parts' scores."""
+    part = load_table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    found = ops.sparse_features(part, ["p_name", "p_brand", "p_type"], ["p_size"])
+    scores = ops.pca_wide(found.table.select("p_partkey", "features"), "features", 3).scores
+    return scores.select("p_partkey", *[F.round(F.get("pca_features", F.lit(i)), 6).alias(f"score_{i + 1}") for i in range(3)])
+
+
 def _line_variance(spark, folder):
     return ops.pca(_lineitem(spark, folder), ["l_quantity", "l_extendedprice", "l_discount"]).variance
 
@@ -793,6 +831,20 @@ def tune_folds(spark, folder):
     return found.folds.join(best, "trial").select("fold", "n_rows", accuracy)
 
 
+#: Most of these settings miss classes of the separable label.
+UNEVEN_SPACE = {"maxDepth": (1, 8), "maxBins": (64, 64), "minInfoGain": (0.0, 0.5), "impurity": ["gini", "entropy"]}
+
+
+@query
+def tune_adaptive(spark, folder):
+    """The best of a few proposed trees on the separable label, with the rows it was rated on."""
+    prepared = workflows.prepare(product_table(spark, folder))
+    train, valid = ops.split_by_key(prepared)
+    found = ops.tune_adaptive(train, valid, UNEVEN_SPACE, n=20, batch=5, startup=10, algo="dt")
+    best = found.trials.agg(F.count("trial").alias("n_trials"), F.round(F.max("accuracy"), 6).alias("best_accuracy"))
+    return best.withColumn("n_rated", F.lit(valid.count()).cast("bigint"))
+
+
 @query
 def best_model_metrics(spark, folder):
     return workflows.evaluate(_tuned(spark, folder).held_out).summary
