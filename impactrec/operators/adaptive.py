@@ -43,7 +43,7 @@ class _Range:
         x = source.random() if centre is None else -1.0
         while not 0 <= x <= 1:
             x = source.gauss((centre - self.low) / self.length, self.width)
-        value = self.low + x * self.length
+        value = min(self.low + x * self.length, self.high)
         return min(max(round(value), math.ceil(self.low)), math.floor(self.high)) if self.whole else value
 
 
