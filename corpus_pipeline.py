@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from impactrec.llm import jaccard, mixing, quality, toxicity, unigram
 from impactrec.llm.queries import PIECES, SOURCE_WEIGHTS, toxicity_model
 from impactrec.llm.tables import small, table
-from impactrec.staging import stage
+from impactrec.staging import stage, staged
 
 _ROW = "_pipeline_row"
 
@@ -74,8 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
+    """All stages, each written and read again. What a stage has staged for itself goes when it has been written."""
     docs = table(spark, sf_dir, "documents")
     for _, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir))
+        with staged(spark):
+            docs = stage(step(spark, docs, sf_dir), result=True)
     return docs
