@@ -8,7 +8,9 @@ is larger. Texts are always processed whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +159,19 @@ def gram_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def return_memory() -> None:
+    """Give back what Arrow and numpy keep for later: it would add up in the worker, which lives on after the task."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 10_000
 ) -> Iterator[pa.RecordBatch]:
@@ -174,8 +189,7 @@ def slices(
                 begin, filled = row, 0
             filled += size
         yield batch.slice(begin)
-        # What Arrow keeps for later would add up in the worker, which lives on after the task.
-        pa.default_memory_pool().release_unused()
+        return_memory()
 
 
 def as_long(hashes: np.ndarray) -> np.ndarray:
