@@ -3,7 +3,8 @@
 Groups come in order of falling size; each enters the open shard with the least room that
 still holds it, found in a balanced tree (a treap keyed by remaining room). Groups of the
 same size are interchangeable, so the tree sees the histogram of sizes and not the groups:
-it places as many groups of a size as fit into the tightest shard in one step. The histogram
+it places as many groups of a size as fit into the tightest shard in one step, and shards of
+consecutive numbers with the same room are one entry of the tree, filled in one step, too. The histogram
 has at most ``4096 + 2048 * 51`` sizes, as those above 4096 are rounded up to 12 significant
 bits, which makes it small enough for the driver whatever the number of groups; a rounded
 size is less than 0.05 % above the true one. Groups are ranked within their size, and rows
@@ -91,39 +92,81 @@ class Treap:
 
 @dataclass
 class Packing:
-    """``runs`` holds ``(size, first, last, bin)``: where the groups of a size go by their rank from 0."""
+    """``ranges`` holds ``(size, first, last, bin, each)``: the groups of a size of rank ``first`` (from 0) to
+    ``last`` go into consecutive bins from ``bin`` on, ``each`` into one."""
 
     capacity: int
     bins: int = 0
-    runs: list[tuple[int, int, int, int]] = field(default_factory=list)
+    ranges: list[tuple[int, int, int, int, int]] = field(default_factory=list)
+
+    @property
+    def runs(self) -> list[tuple[int, int, int, int]]:
+        """The ranges bin by bin: ``(size, first, last, bin)``."""
+        return [
+            (size, at, min(at + each - 1, last), number + k)
+            for size, first, last, number, each in self.ranges
+            for k, at in enumerate(range(first, last + 1, each))
+        ]
 
 
 def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> Packing | None:
     """Pack ``(size, groups)``; a group above the capacity has a bin of its own.
 
-    With ``most``, None as soon as more bins are needed.
+    With ``most``, None as soon as more bins are needed. Time and memory go with the number of sizes,
+    not with that of bins or groups.
     """
     open_bins, out = Treap(), Packing(capacity)
+
+    def leave_open(room: int, number: int, count: int) -> None:
+        if room > 0 and count > 0:
+            open_bins.insert((room, number, count))
+
     for size, groups in sorted(sizes, reverse=True):
         placed = 0
         while placed < groups:
             found = open_bins.ceiling((size, -1)) if size <= capacity else None
             if found is None:
                 room, number = max(capacity, size), out.bins
-                out.bins += 1
+                each = room // size
+                count = -(-(groups - placed) // each)
+                out.bins += count
                 if most is not None and out.bins > most:
                     return None
             else:
-                room, number = found
                 open_bins.remove(found)
-            n = min(groups - placed, room // size)
-            out.runs.append((size, placed, placed + n - 1, number))
-            placed += n
-            if room - n * size > 0 and size <= capacity:
-                open_bins.insert((room - n * size, number))
+                room, number, count = found
+                each = room // size
+            full = min(count, (groups - placed) // each)
+            if full:
+                out.ranges.append((size, placed, placed + full * each - 1, number, each))
+                placed += full * each
+                leave_open(room - each * size, number, full)
+            if full < count:
+                if rest := groups - placed:
+                    out.ranges.append((size, placed, groups - 1, number + full, rest))
+                    placed = groups
+                    leave_open(room - rest * size, number + full, 1)
+                    full += 1
+                leave_open(room, number + full, count - full)
     return out
 
 
+def by_parts(ranges: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
+    """``(size, width)``, and each range once for every part of ``width`` ranks that it touches.
+
+    The width is the mean length of a size's ranges, so that there are at most three times as many rows as
+    ranges, and groups that look only at the rows of their own part meet three each on average.
+    """
+    lengths: dict[int, list[int]] = {}
+    for size, first, last, _, _ in ranges:
+        entry = lengths.setdefault(size, [0, 0])
+        entry[0] += last - first + 1
+        entry[1] += 1
+    widths = {size: -(-ranks // n) for size, (ranks, n) in lengths.items()}
+    rows = [(r[0], part, *r[1:]) for r in ranges for part in range(r[1] // widths[r[0]], r[2] // widths[r[0]] + 1)]
+    return list(widths.items()), rows
+
+
 def even_packing(sizes: list[tuple[int, int]], bins: int) -> Packing:
     """The packing into at most ``bins`` bins with the least capacity that a binary search finds."""
     total = sum(s * n for s, n in sizes)
@@ -151,20 +194,25 @@ def pack(
 
     Give ``capacity`` for as few shards of that capacity as best fit needs, or ``bins`` for that
     many shards of near equal size. ``size`` is a positive long; the group columns must not be
-    null. A group above the capacity has a shard of its own. An empty table has no shards.
+    null, and may have any name but ``shard``. A group above the capacity has a shard of its own. An
+    empty table has no shards.
     """
     spark = df.sparkSession
-    groups = stage(size_classes(df, group, size))
+    keys = [f"_group{i}" for i in range(len(group))]
+    named = df.select(*[F.col(c).alias(k) for c, k in zip(group, keys)], F.col(size).alias("_size"))
+    groups = stage(size_classes(named, keys, "_size"))
     histogram = [(r["class"], r["count"]) for r in groups.groupBy("class").count().toLocalIterator()]
     packing = even_packing(histogram, bins) if bins else best_fit_decreasing(histogram, capacity)
-    ranked = running_totals(groups, by=["class"], order=[F.col(c) for c in group], sums=["one"], keep=group)
-    ranked = ranked.select(*group, "class", (F.col("cum_one") - 1).alias("_rank"))
-    schema = "class long, _first long, _last long, shard int"
-    # No more runs than sizes and bins together.
-    runs = small(spark.createDataFrame(packing.runs, schema), len(packing.runs))
-    inside = F.col("_rank").between(F.col("_first"), F.col("_last"))
-    joined = ranked.alias("g").join(runs.alias("r"), (F.col("g.class") == F.col("r.class")) & inside)
-    return joined.select(*[F.col(f"g.{c}").alias(c) for c in group], "shard")
+    ranked = running_totals(groups, by=["class"], order=[F.col(k) for k in keys], sums=["one"], keep=keys)
+    ranked = ranked.select(*keys, "class", (F.col("cum_one") - 1).alias("_rank"))
+    widths, rows = by_parts(packing.ranges)
+    widths = small(spark.createDataFrame(widths, "class long, _width long"), len(widths))
+    schema = "class long, _part long, _first long, _last long, _bin int, _each long"
+    ranges = small(spark.createDataFrame(rows, schema), len(rows))
+    parted = ranked.join(widths, "class").withColumn("_part", F.expr("_rank div _width"))
+    joined = parted.join(ranges, ["class", "_part"]).where("_rank between _first and _last")
+    shard = F.expr("cast(_bin + (_rank - _first) div _each as int)").alias("shard")
+    return joined.select(*[F.col(k).alias(c) for c, k in zip(group, keys)], shard)
 
 
 def number_rows(df: DataFrame, by: str, order: list[str], name: str) -> DataFrame:

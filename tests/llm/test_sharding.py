@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from impactrec.llm.sharding import Treap, best_fit_decreasing, even_packing, pack, rounded_up, rounded_up_column, shard_documents
+from impactrec.llm.sharding import Treap, best_fit_decreasing, by_parts, even_packing, pack, rounded_up, rounded_up_column, shard_documents
 
 
 def plain_best_fit(sizes, capacity):
@@ -77,3 +77,38 @@ def test_capacity_is_kept(spark):
     out = pack(groups, ["g"], "bytes", capacity=100).join(groups, "g").groupBy("shard").agg(F.sum("bytes").alias("b"))
     loads = [r["b"] for r in out.collect()]
     assert max(loads) <= 100 and len(loads) <= 1 + sum(loads) / 99
+
+
+def test_many_bins_are_few_ranges():
+    packing = best_fit_decreasing([(60, 10**9), (30, 10**9 + 7), (7, 5)], 100)
+    assert packing.bins == 10**9 + 3 and len(packing.ranges) < 10
+    placed = {size: sorted((first, last) for s, first, last, *_ in packing.ranges if s == size) for size in (60, 30, 7)}
+    for size, groups in ((60, 10**9), (30, 10**9 + 7), (7, 5)):
+        assert placed[size][0][0] == 0 and placed[size][-1][1] == groups - 1
+        assert all(a[1] + 1 == b[0] for a, b in zip(placed[size], placed[size][1:]))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_parts_lead_to_the_range_of_every_rank(seed):
+    rng = random.Random(seed)
+    sizes = [(s, rng.randint(1, 60)) for s in rng.sample(range(1, 200), 30)]
+    packing = best_fit_decreasing(sizes, 250)
+    widths, rows = by_parts(packing.ranges)
+    width, wanted = dict(widths), {(s, k): b for s, first, last, b in packing.runs for k in range(first, last + 1)}
+    assert len(rows) <= 3 * len(packing.ranges)
+    for (size, rank), number in wanted.items():
+        met = [r for r in rows if r[0] == size and r[1] == rank // width[size] and r[2] <= rank <= r[3]]
+        assert [r[4] + (rank - r[2]) // r[5] for r in met] == [number]
+
+
+def test_many_equal_groups_of_a_shard_each(spark):
+    """Group columns may be named as those used inside."""
+    groups = spark.range(50_000).select(F.col("id").alias("class"), F.lit(60).cast("long").alias("one"))
+    out = pack(groups, ["class"], "one", capacity=100)
+    assert out.columns == ["class", "shard"]
+    assert out.agg(F.count("*"), F.countDistinct("shard"), F.min("shard"), F.max("shard")).first() == (50_000, 50_000, 0, 49_999)
+
+
+def test_no_groups(spark):
+    nothing = spark.createDataFrame([], "g string, bytes long")
+    assert pack(nothing, ["g"], "bytes", capacity=100).collect() == []
