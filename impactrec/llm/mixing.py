@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from impactrec.functions.ordering import running_totals
+from impactrec.llm.tables import small, unused
 from impactrec.llm.words import SPACED, Texts, slices
 from impactrec.staging import stage
 
@@ -75,6 +76,7 @@ def mix(
     most: float = 2.0,
     seed: str = "mix:",
     keep: Sequence[str] = ("doc_id",),
+    ties: Sequence[str] = ("text",),
 ) -> DataFrame:
     """How many words of each document the mix takes: ``taken``, repeats counted.
 
@@ -83,11 +85,14 @@ def mix(
     as a sequence that repeats over the sources in code-point order. A null source is a source of
     its own. Texts that are null or without words have size 0 and give nothing. Repeated rows are
     each counted; which of several equal rows comes first does not change the result. The first
-    column of ``keep`` is the document's key. Per-source totals are the only thing that the driver
-    sees: one row for each source that has a weight.
+    column of ``keep`` is the document's key; documents of one key go by size and then by a hash of
+    the columns ``ties``, so that other texts of the same key and size come in the same order on every
+    run. Per-source totals are the only thing that the driver sees: one row for each source that has
+    a weight.
     """
-    keep = list(keep)
-    sized = stage(word_sizes(docs, [*keep, "source"]))
+    keep, [tie] = list(keep), unused(docs, "_tie")
+    hashed = docs.withColumn(tie, F.xxhash64(*[F.col(c) for c in ties]))
+    sized = stage(word_sizes(hashed, [*keep, "source", tie]))
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     by_source = weights if isinstance(weights, dict) else cycled_weights(list(totals), weights)
     goal = targets(totals, by_source, share * sum(totals.values()), most)
@@ -97,14 +102,13 @@ def mix(
         "_name string, _missing boolean, source_size long, target double, _budget long",
     )
     keyed = sized.select(
-        *keep, "source", "size", F.coalesce("source", F.lit("")).alias("_name"),
+        *keep, "source", "size", tie, F.coalesce("source", F.lit("")).alias("_name"),
         F.col("source").isNull().alias("_missing"), shuffle_key(seed, keep[0]).alias("_key"),
     )
-    order = [F.col("_key"), F.col(keep[0]), F.col("size")]
+    order = [F.col("_key"), F.col(keep[0]), F.col("size"), F.col(tie)]
     summed = running_totals(keyed, by=["_name", "_missing"], order=order, sums=["size"], keep=[*keep, "source"])
-    joined = summed.join(
-        F.broadcast(plan.withColumn("_name", F.coalesce("_name", F.lit("")))), ["_name", "_missing"]
-    )
+    named = plan.withColumn("_name", F.coalesce("_name", F.lit("")))
+    joined = summed.join(small(named, len(totals)), ["_name", "_missing"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.col("source_size"))).otherwise(0)
     rest = F.col("_budget") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("cum_size") - F.col("size"))))

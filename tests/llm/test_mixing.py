@@ -29,3 +29,13 @@ def test_odd_rows(spark, odd):
         target[r["source"]] = r["target"]
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
     assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+
+
+def test_texts_of_one_key_and_size_come_in_one_order(spark):
+    rows = [(i % 3, f"w{i} " * 5, f"w{i}", "s") for i in range(60)] + [(9, "x y z", "x", "t")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string, source string")
+    seen = {
+        tuple(sorted(map(tuple, mix(docs.repartition(n), (3, 1, 2), share=0.4, keep=("doc_id", "word")).select("doc_id", "word", "taken").collect())))
+        for n in (1, 3, 7)
+    }
+    assert len(seen) == 1

@@ -65,5 +65,14 @@ def test_near_duplicates_at_five_words(spark, tmp_path):
     assert len(left) == 2 and far == next(r["text"] for r in left if r["doc_id"] == 2).split()
 
 
+def test_mixing_with_repeated_ids(spark, tmp_path):
+    """The same documents are mixed however the rows are split, though many texts have one id and size."""
+    rows = [(i % 2, f"word{i} " * 9, None, f"s{i % 3}", 0, *"1", 2, *"34567") for i in range(90)]
+    folder = write(spark, tmp_path, rows)
+    docs = table(spark, folder, "documents")
+    mixed = [Counter(STAGES["mixing"](spark, docs.repartition(n), folder).collect()) for n in (1, 6)]
+    assert mixed[0] == mixed[1] and mixed[0].total() > 0
+
+
 def test_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
