@@ -49,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one at a source's cut if half of it fits."""
     rows = _numbered(docs)
-    mixed = mixing.mix(rows, SOURCE_WEIGHTS, keep=("doc_id", _ROW))
+    mixed = mixing.mix(rows, SOURCE_WEIGHTS, keep=("doc_id", _ROW), ties=("text", "lang", "n_chars"))
     times = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
     taken = stage(mixed.where("taken > 0").select(_ROW, times.alias("_pipeline_times")).where("_pipeline_times > 0"))
     repeated = rows.join(small(taken, taken.count()), _ROW)
