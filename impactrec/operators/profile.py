@@ -391,25 +391,29 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, least_share: fl
 def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """``(column_name, bucket, lower, upper, n)``: equal-width histograms of all numeric columns together.
 
-    One scan finds the ends of every column, a second counts all bins; no row is shuffled. Empty bins have a
-    row; a column of one value has one bin, and one without numbers none.
+    One scan finds the ends of every column; a second turns each row into a cell per column, whose bin is worked
+    out once, and counts cells on the map side, so that only counts are shuffled. Empty bins have a row; a column
+    of one value has one bin, and one without numbers none.
     """
     names = [c for c in _described(df, cols) if _is_numeric(df, c)]
+    shape = "column_name string, bucket int, lower double, upper double, n long"
+    if not names:
+        return df.sparkSession.createDataFrame([], shape)
     values = {f"v{i}": F.col(c).cast("double") for i, c in enumerate(names)}
     finite = df.select(*[F.when(~F.isnan(v) & (F.abs(v) < math.inf), v).alias(i) for i, v in values.items()])
     ends = finite.agg(*[F.struct(F.min(i).alias("low"), F.max(i).alias("high")).alias(i) for i in values]).first()
-    parts, plan = [], []
-    for i, c in zip(values, names):
-        low, high = ends[i]
-        if low is None:
-            continue
-        width = (high - low) / bins
-        place = F.least(F.floor((F.col(i) - low) / width), F.lit(bins - 1)) if width else F.lit(0)
-        held = F.when(F.col(i).isNotNull(), place)
-        parts.append(F.array(*[F.count_if(held == b) for b in range(bins if width else 1)]).alias(i))
-        plan.append((i, c, low, width))
-    counted = finite.agg(*parts).first() if parts else None
+    # (position, name, least value, width of a bin) of the columns with numbers.
+    plan = [(k, c, low, (high - low) / bins) for k, (c, (low, high)) in enumerate(zip(names, ends)) if low is not None]
+    if not plan:
+        return df.sparkSession.createDataFrame([], shape)
+    cells = finite.select(F.posexplode(F.array(*[F.col(f"v{k}") for k, *_ in plan])).alias("at", "v")).where("v IS NOT NULL")
+    low, width = (F.get(F.array(*[F.lit(x[side]) for x in plan]), F.col("at")) for side in (2, 3))
+    place = F.least(F.floor((F.col("v") - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
+    filled = cells.groupBy("at", F.when(width == 0, F.lit(0)).otherwise(place).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counted = {(r["at"], r["bucket"]): r["n"] for r in filled.collect()}
     table = [
-        (c, b, low + b * width, low + (b + 1) * width, n) for i, c, low, width in plan for b, n in enumerate(counted[i])
+        (c, b, low + b * width, low + (b + 1) * width, counted.get((at, b), 0))
+        for at, (_, c, low, width) in enumerate(plan)
+        for b in range(bins if width else 1)
     ]
-    return df.sparkSession.createDataFrame(table, "column_name string, bucket int, lower double, upper double, n long")
+    return df.sparkSession.createDataFrame(table, shape)

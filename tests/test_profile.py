@@ -198,3 +198,14 @@ def test_histograms_of_odd_columns(spark):
     found = [tuple(r) for r in histograms(table, bins=3).collect()]
     assert found == [("x", 0, 1.0, 2.0, 1), ("x", 1, 2.0, 3.0, 1), ("x", 2, 3.0, 4.0, 1), ("same", 0, 5.0, 5.0, 4)]
     assert histograms(table.where("false")).collect() == []
+
+
+def test_histograms_work_out_a_bin_once(spark, monkeypatch):
+    """A row is not compared with every bin: the aggregates of the scans do not grow with the bins."""
+    import importlib
+
+    module = importlib.import_module("impactrec.operators.profile")
+    monkeypatch.setattr(module.F, "count_if", lambda *_: pytest.fail("an aggregate for each bin"))
+    table = spark.range(1000).select((F.col("id") % 500).cast("int").alias("a"), F.lit(None).cast("double").alias("none"), F.lit(2.5).alias("b"))
+    found = [tuple(r) for r in histograms(table, bins=499).collect()]
+    assert found == [("a", i, float(i), i + 1.0, 4 if i == 498 else 2) for i in range(499)] + [("b", 0, 2.5, 2.5, 1000)]
