@@ -132,6 +132,20 @@ def _leaf_votes(forest, spark: SparkSession) -> list[np.ndarray]:
     return [t / np.maximum(t.sum(1, keepdims=True), 1e-300) for t in tables]
 
 
+def _prefix_classes(leaves: np.ndarray, tables: Sequence[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """A row per row of ``leaves`` with the class of most votes after each of the ``wanted`` trees, counted from 0.
+
+    One running sum per class is held, not the sums after every tree.
+    """
+    best = np.empty((len(leaves), len(wanted)))
+    votes = np.zeros((len(leaves), tables[0].shape[1]))
+    for i, shares in enumerate(tables[: wanted.max(initial=-1) + 1]):
+        votes += shares[leaves[:, i]]
+        if (ended := wanted == i).any():
+            best[:, ended] = votes.argmax(1)[:, None]
+    return best
+
+
 def prefix_predictions(model: PipelineModel, df: DataFrame, sizes: Sequence[int], keep: Sequence[str]) -> DataFrame:
     """``keep`` and ``predictions``: for each of ``sizes`` the class that the first so many trees of a forest vote for.
 
@@ -151,8 +165,7 @@ def prefix_predictions(model: PipelineModel, df: DataFrame, sizes: Sequence[int]
         tables = shared.value
         for batch in batches:
             leaves = batch.column("_leaf").flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, len(tables))
-            votes = np.stack([t[leaves[:, i]] for i, t in enumerate(tables)], 1)
-            best = np.cumsum(votes, axis=1)[:, wanted].argmax(2).astype(np.float64)
+            best = _prefix_classes(leaves, tables, wanted)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(wanted), pa.int32()), pa.array(best.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, "predictions"])
 

@@ -112,3 +112,23 @@ def test_folds(rows):
         assert t.accuracy == pytest.approx(sum(shares) / 3)
         assert t.spread == pytest.approx((sum((x - t.accuracy) ** 2 for x in shares) / 2) ** 0.5)
     assert found.search.rows.count() == rows.count()
+
+
+def test_votes_of_many_trees_take_no_more_room():
+    """Running sums are as after every tree, with the same rounding, and their memory does not grow with the trees."""
+    import tracemalloc
+
+    import numpy as np
+
+    from impactrec.operators import trees
+
+    source = np.random.default_rng(4)
+    tables = [source.dirichlet(np.ones(5), 40) for _ in range(90)]
+    leaves = source.integers(0, 40, (5000, 90))
+    wanted = np.array([89, 0, 17, 17])
+    expected = np.cumsum(np.stack([t[leaves[:, i]] for i, t in enumerate(tables)], 1), axis=1)[:, wanted].argmax(2)
+    tracemalloc.start()
+    found = trees._prefix_classes(leaves, tables, wanted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == expected).all() and peak < 10 * 5000 * 5 * 8
