@@ -199,7 +199,7 @@ def tune_folds(
 
 
 def refit_found(search: Search, seed: int = 42, algo: str = "rf", label: str = LABEL) -> PipelineModel:
-    """Train with the best settings on the vectors of both parts, which the search has made."""
+    """Train with the best settings on the vectors the search has made; ``refit`` learns the categories of all rows anew."""
     floor = bins_needed(search.features)
     classes = class_values(search.rows, label)
     fitted = fit_classifier(search.rows, algo, search.best, seed, label, floor, classes=classes)
